@@ -1,0 +1,55 @@
+"""Encoding of single texts inside a worker, for SQL functions that get no native chunks."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+
+from sparkloom.functions.normalize import MARK, normalize_text
+from sparkloom.operators.encode import Tables, merger
+
+_compiled: dict[str, object] = {}
+
+
+def _pieces(pattern: str, text: str) -> list[str]:
+    if pattern not in _compiled:
+        import regex  # the third-party engine: the standard one has no Unicode classes
+
+        _compiled[pattern] = regex.compile(pattern)
+    out, last = [], 0
+    for m in _compiled[pattern].finditer(text):
+        if m.end() > m.start():
+            out += [text[last : m.start()]] * (m.start() > last) + [m.group()]
+            last = m.end()
+    return out + [text[last:]] * (last < len(text))
+
+
+def _marked(text: str, mode: int) -> list[str]:
+    if not text:
+        return []
+    text = text.replace(" ", MARK)
+    if mode == 2 or (mode == 3 and not text.startswith(MARK)):
+        text = MARK + text
+    out, start = [], 0
+    for i in range(1, len(text)):
+        if text[i] == MARK and text[i - 1] != MARK:
+            out.append(text[start:i])
+            start = i
+    return [*out, text[start:]]
+
+
+def encode_local(t: Tables, plan: tuple[tuple[str, ...], int], text: str) -> list[int]:
+    """Ids of one text; ``plan`` is (stages, mode of space marks)."""
+    stages, mode = plan
+    text = normalize_text(text, t.forms)
+    if mode:
+        chunks = _marked(text, mode)
+    else:
+        chunks = [text] if text else []
+        for pattern in stages:
+            chunks = [p for c in chunks for p in _pieces(pattern, c)]
+    if not chunks:
+        return []
+    m = merger(t)
+    ids, _ = m.gather(m.slots(pa.array(chunks, pa.string())), np.array([0, len(chunks)]))
+    return ids.tolist()
