@@ -243,8 +243,8 @@ class Encoder:
         s = self.spec
         if s.byte_fallback or s.metaspace:
             raise ValueError("offsets need a byte-level model")
-        if not s.monotonic:
-            raise ValueError("offsets need merges in rank order")
+        if (s.byte_ids < 0).any():
+            raise ValueError("offsets need a token for every byte")
         shared, engine, forms = self.shared, self.engine, s.forms
 
         @F.arrow_udf("struct<ids: array<int>, spans: array<struct<start: int, end: int>>>")

@@ -11,8 +11,12 @@ from sparkloom.api import SparkTokenizer
 
 
 def read_texts(spark: SparkSession, folder: str, schema: T.StructType | str, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of the Parquet files that arrive in a folder."""
+    """A stream of the Parquet files that arrive in a folder; a path of one file streams that file."""
     reader = spark.readStream.schema(schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        reader = reader.option("pathGlobFilter", place.getName())
+        folder = place.getParent().toString()
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)
