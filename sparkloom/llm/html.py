@@ -206,8 +206,8 @@ def _select(tree: _Tree) -> list[str]:
             a = tree.parent[a]
     score = [p * (1 - links[i] / length[i]) if length[i] else 0.0 for i, p in enumerate(points)]
     top = max(range(n), key=lambda i: (score[i], i))
-    if score[top] <= 0:
-        kept = {0}
+    if score[top] <= 0:  # no paragraph is long enough to give points
+        kept = {i for i in range(n) if tree.name[i] in _CONTENT and length[i]} or {0}
     else:
         a, content = top, -1
         while a >= 0:

@@ -44,7 +44,7 @@ CLASSES = {"hex": (20, 3.0), "token": (20, 3.9)}
 ALLOWED = (
     re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(rb"[0-9+/_=-]+"),  # numbers, dates, rules
-    re.compile(rb"(?:[a-z]+|[A-Z]?[a-z]+|[A-Z]+)(?:[/_+=-]+(?:[a-z]+|[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/_+=-]*"),  # words, paths
+    re.compile(rb"[/_+=-]*(?:[a-z]+|[A-Z]?[a-z]+|[A-Z]+)(?:[/_+=-]+(?:[a-z]+|[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/_+=-]*"),  # words, paths
     re.compile(rb"(?:[A-Z]?[a-z]{2,})+"),  # camel case
     re.compile(rb"(?i:.*example.*|.*sample.*|.*placeholder.*|x{8,}.*)"),
 )
