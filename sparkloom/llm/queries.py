@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontaminate, html, jaccard, langid, licenses, lm, pieces, quality, repeats, secrets
+from sparkloom.llm import decontaminate, html, jaccard, langid, licenses, lm, oracles, pieces, quality, repeats, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,4 +69,8 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_suffix_dedup": oracles.REPEATS,
+    "op2_decontamination": oracles.CONTAMINATION,
+    "op8_ngram_jaccard_join": oracles.SIMILAR,
+}
