@@ -8,6 +8,7 @@ doesn't match, so ``regexp_extract_all`` yields all pieces and no Python is need
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,17 +73,17 @@ def _stage(pattern: str) -> str:
 
 
 def isolate(text: Column, stages: tuple[str, ...]) -> Column:
-    """Pieces of a text after all stages; empty matches are no pieces."""
+    """Pieces of a text after all stages, none of which may match the empty text."""
+
+    def split(pattern: str) -> Callable[[Column], Column]:
+        return lambda piece: F.regexp_extract_all(piece, F.lit(_stage(pattern)), F.lit(0))
+
     pieces: Column | None = None
     for pattern in stages:
-        full = F.lit(_stage(pattern))
-        if pieces is None:
-            pieces = F.regexp_extract_all(text, full, F.lit(0))
-        else:
-            pieces = F.flatten(F.transform(pieces, lambda p, full=full: F.regexp_extract_all(p, full, F.lit(0))))
+        pieces = split(pattern)(text) if pieces is None else F.flatten(F.transform(pieces, split(pattern)))
     if pieces is None:
         return F.when(text == "", F.array().cast("array<string>")).when(text.isNotNull(), F.array(text))
-    return F.filter(pieces, lambda p: p != "")
+    return pieces
 
 
 def at_marks(text: Column) -> Column:
@@ -91,8 +92,13 @@ def at_marks(text: Column) -> Column:
 
 
 def check_pattern(spark, pattern: str) -> None:
-    """Raises ValueError if the pattern doesn't compile."""
+    """Raises ValueError if the pattern doesn't compile, or matches the empty text (its empty matches
+    would hide the gaps)."""
+    compiler = spark._jvm.java.util.regex.Pattern
     try:
-        spark._jvm.java.util.regex.Pattern.compile(_stage(pattern))
+        compiler.compile(_stage(pattern))
+        empty = compiler.compile(f"(?U){to_java(pattern)}").matcher("").find()
     except Exception as error:
         raise ValueError(f"the split pattern doesn't compile: {pattern!r}") from error
+    if empty:
+        raise ValueError(f"a split pattern that matches the empty text isn't supported: {pattern!r}")
