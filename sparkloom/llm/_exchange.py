@@ -5,12 +5,14 @@ asks about keys (64-bit hashes): it sorts them, combines equal ones, and sends e
 that packs the arrays.  The task of a range sees every chunk's keys of that range, and answers each
 chunk with arrays in the order of its question.  A key counts at most once a chunk, however many
 rows hold it, so a hot key makes no large group; chunks and ranges number as
-``spark.sql.shuffle.partitions`` says, which is what to raise with the data.
+``spark.sql.shuffle.partitions`` says, which is what to raise with the data.  Rows travel by a column
+``to`` whose values Spark's hash partitioning sends to one partition each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm._blocks import U64
 
-MESSAGE = "dest int, chunk int, kind int, body binary"
+MESSAGE = "to int, dest int, chunk int, kind int, body binary"
 
 
 def parts(df: DataFrame) -> int:
@@ -27,10 +29,36 @@ def parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _murmur3(value: int) -> int:
+    """Spark's hash of one int (seed 42)."""
+    m = 0xFFFFFFFF
+    k = (value & m) * 0xCC9E2D51 & m
+    k = ((k << 15 | k >> 17) & m) * 0x1B873593 & m
+    h = 42 ^ k
+    h = ((h << 13 | h >> 19) & m) * 5 + 0xE6546B64 & m
+    h ^= 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+@lru_cache(maxsize=8)
+def routes(n: int) -> tuple[int, ...]:
+    """For every partition number below n an int that Spark hashes to it."""
+    found: dict[int, int] = {}
+    value = 0
+    while len(found) < n:
+        found.setdefault(_murmur3(value) % n, value)
+        value += 1
+    return tuple(found[i] for i in range(n))
+
+
 def chunked(df: DataFrame, n: int, id_col: str, **columns) -> DataFrame:
-    """(chunk, *columns): the rows in n chunks by a hash of the id."""
+    """(to, chunk, *columns): the rows in n chunks by a hash of the id."""
     chunk = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(n)).cast("int")
-    return df.select(chunk.alias("chunk"), *[c.alias(name) for name, c in columns.items()]).repartition(n, "chunk")
+    to = F.element_at(F.lit(list(routes(n))), chunk + 1).cast("int")
+    return df.select(to.alias("to"), chunk.alias("chunk"), *[c.alias(name) for name, c in columns.items()]).repartition(n, "to")
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -58,28 +86,33 @@ def slices(keys: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
-def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    """Rows of (dest, chunk, kind, body) as a table."""
-    cols = list(zip(*rows)) if rows else [[], [], [], []]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["dest", "chunk", "kind", "body"])
+Rows = list[tuple[int, int, int, bytes]]
 
 
-def ask(chunks: DataFrame, question: Callable[[int, pa.Table], pa.Table]) -> DataFrame:
+def messages(rows: Rows, n: int, back: bool = False) -> pa.Table:
+    """Rows of (dest, chunk, kind, body) as a table, addressed to the key range or back to the chunk."""
+    way = routes(n)
+    full = [(way[r[1] if back else r[0]], *r) for r in rows]
+    cols = list(zip(*full)) if full else [[], [], [], [], []]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["to", "dest", "chunk", "kind", "body"])
+
+
+def ask(chunks: DataFrame, n: int, question: Callable[[int, pa.Table], Rows]) -> DataFrame:
     """The messages of all chunks."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return question(key[0].as_py(), table)
+        return messages(question(table["chunk"][0].as_py(), table), n)
 
-    return chunks.groupBy("chunk").applyInArrow(run, MESSAGE)
+    return chunks.groupBy("to").applyInArrow(run, MESSAGE)
 
 
-def answer(asked: DataFrame, respond: Callable[[list[list[np.ndarray]]], list[tuple]]) -> DataFrame:
+def answer(asked: DataFrame, n: int, respond: Callable[[list[list[np.ndarray]]], list[tuple]]) -> DataFrame:
     """Every range's answers: ``respond`` gets the arrays of each message of kind 0 and returns as many
     tuples of arrays.  Messages of another kind pass through to the chunk that sent them."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        dest = key[0].as_py()
+        dest = table["dest"][0].as_py()
         kinds, chunk = table["kind"].to_pylist(), table["chunk"].to_pylist()
         bodies = table["body"].combine_chunks()
         if isinstance(bodies, pa.ChunkedArray):
@@ -88,9 +121,9 @@ def answer(asked: DataFrame, respond: Callable[[list[list[np.ndarray]]], list[tu
         got = respond([unpack(bodies[i]) for i in own]) if own else []
         rows = [(dest, chunk[i], 0, pack(*a)) for i, a in zip(own, got)]
         rows += [(dest, chunk[i], k, bodies[i].as_py()) for i, k in enumerate(kinds) if k != 0]
-        return messages(rows)
+        return messages(rows, n, back=True)
 
-    return asked.groupBy("dest").applyInArrow(run, MESSAGE)
+    return asked.groupBy("to").applyInArrow(run, MESSAGE)
 
 
 def collect(table: pa.Table, kind: int = 0) -> list[list[np.ndarray]]:
@@ -103,6 +136,11 @@ def finish(chunks: DataFrame, answers: DataFrame, final: Callable[[int, pa.Table
     """Every chunk with its answers."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        return final(key[0].as_py(), left, right)
+        return final(left["chunk"][0].as_py(), left, right)
+
+    return chunks.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(run, schema)
+
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+def ask_again(chunks: DataFrame, answers: DataFrame, n: int, question: Callable[[int, pa.Table, pa.Table], Rows]) -> DataFrame:
+    """The messages of all chunks, given the answers to an earlier question."""
+    return finish(chunks, answers, lambda chunk, left, right: messages(question(chunk, left, right), n), MESSAGE)

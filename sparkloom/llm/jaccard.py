@@ -153,7 +153,7 @@ def _cell_messages(docs: DataFrame, n: int, gram: int, percent: int) -> DataFram
                 for d in range(n):
                     own = slice(cut[d], cut[d + 1])
                     rows.append((d, 0, 0, X.pack(k[own], node[own], size[own])))
-                yield from X.messages(rows).to_batches()
+                yield from X.messages(rows, n).to_batches()
             keys.clear(), nodes.clear(), sizes.clear()
             held = 0
 
@@ -208,7 +208,7 @@ def _edges(messages: DataFrame, percent: int) -> DataFrame:
                 a, b = pair[:, 0], pair[:, 1]
         return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return messages.groupBy("dest").applyInArrow(run, "a long, b long")
+    return messages.groupBy("to").applyInArrow(run, "a long, b long")
 
 
 def _distance(x: np.ndarray, y: np.ndarray) -> float:

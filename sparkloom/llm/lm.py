@@ -61,7 +61,7 @@ def _grams(tokens: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 
 def _question(n: int, order: int):
-    def run(chunk: int, table: pa.Table) -> pa.Table:
+    def run(chunk: int, table: pa.Table) -> X.Rows:
         tokens, first = _tokens(table)
         seen = ~table["held"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
         seen = np.repeat(seen, np.diff(first))
@@ -77,7 +77,7 @@ def _question(n: int, order: int):
             cut = X.slices(even, n)
             for d in range(n):
                 arrays[d] += [even[cut[d] : cut[d + 1]], _small(count[cut[d] : cut[d + 1]])]
-        return X.messages([(d, chunk, 0, X.pack(*a)) for d, a in enumerate(arrays)])
+        return [(d, chunk, 0, X.pack(*a)) for d, a in enumerate(arrays)]
 
     return run
 
@@ -170,7 +170,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     n = X.parts(docs)
     chunks = X.chunked(docs, n, id_col, id=F.col(f"`{id_col}`"), text=F.col(f"`{text_col}`").cast("string"), held=held_out(id_col))
-    answers = X.answer(X.ask(chunks, _question(n, order)), _respond(order))
+    answers = X.answer(X.ask(chunks, n, _question(n, order)), n, _respond(order))
     id_type = docs.schema[id_col].dataType
     kinds = T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields
     schema = T.StructType([T.StructField(id_col, id_type), *kinds])

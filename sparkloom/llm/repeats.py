@@ -144,14 +144,14 @@ def _wide(base: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _ask_phrases(n: int, length: int, gram: int):
-    def run(chunk: int, table: pa.Table) -> pa.Table:
+    def run(chunk: int, table: pa.Table) -> X.Rows:
         d = _dictionary(_parsed(table, length, gram))
         cut = X.slices(d.keys, n)
         rows = []
         for k in range(n):
             own = slice(cut[k], cut[k + 1])
             rows.append((k, chunk, 0, X.pack(d.keys[own], d.contents[own], *_narrow(d.ids[own]))))
-        return X.messages(rows)
+        return rows
 
     return run
 
@@ -212,7 +212,7 @@ def _windows(c_data: np.ndarray, lo: np.ndarray, hi: np.ndarray, check: np.ndarr
 
 
 def _ask_windows(n: int, length: int, gram: int):
-    def run(chunk: int, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(chunk: int, table: pa.Table, answers: pa.Table) -> X.Rows:
         c = _parsed(table, length, gram)
         d = _dictionary(c)
         codes = np.concatenate([a[0] for a in X.collect(answers)]) if answers.num_rows else np.zeros(0, np.uint8)
@@ -235,7 +235,7 @@ def _ask_windows(n: int, length: int, gram: int):
             own = slice(cut[k], cut[k + 1])
             rows.append((k, chunk, 0, X.pack(w.hash[own], w.check[own], *_narrow(ids[own]))))
         state = X.pack(start, end, lo, hi, check)
-        return X.messages([*rows, (chunk % n, chunk, 1, state)])
+        return [*rows, (chunk, chunk, 1, state)]
 
     return run
 
@@ -309,8 +309,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("gram must lie between 1 and length")
     n = X.parts(docs)
     chunks = X.chunked(docs, n, id_col, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
-    phrases = X.answer(X.ask(chunks, _ask_phrases(n, length, gram)), _judge_phrases)
-    asked = X.finish(chunks, phrases, _ask_windows(n, length, gram), X.MESSAGE)
-    windows = X.answer(asked, _judge_windows)
+    phrases = X.answer(X.ask(chunks, n, _ask_phrases(n, length, gram)), n, _judge_phrases)
+    asked = X.ask_again(chunks, phrases, n, _ask_windows(n, length, gram))
+    windows = X.answer(asked, n, _judge_windows)
     schema = T.StructType([T.StructField(id_col, T.LongType()), *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string").fields])
     return X.finish(chunks, windows, _remove(n, length, id_col, pa.int64()), schema)
