@@ -117,4 +117,5 @@ def parse(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tupl
     row = np.searchsorted(offsets, lo, "right") - 1
     content = span_hash(prefix, lo, hi + window, 11)
     content = mix(content + (at - lo).astype(U64) * U64(_M) + (hi - lo).astype(U64))
-    return Phrases(lo, hi, at, row, key, content), prefix
+    # The smallest of many hashes is a small number: it is mixed anew to spread over all key ranges.
+    return Phrases(lo, hi, at, row, mix(key + U64(_M)), content), prefix
