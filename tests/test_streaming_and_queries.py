@@ -25,29 +25,20 @@ def test_windows_and_late_rows(spark, tmp_path):
     t = SparkTokenizer(queries.MODEL, spark)
     at = lambda minute: datetime.datetime(2024, 1, 1, 0, minute)
     schema = "ts timestamp, kind string, text string"
-    for k, rows in enumerate([[(at(1), "a", "x y"), (at(2), "a", "z")], [(at(40), "b", "x")], [(at(3), "a", "late late")], [(at(59), "b", "x")]]):
+    batches = [[(at(1), "a", "x y"), (at(2), "a", "z")], [(at(40), "b", "x")], [(at(41), "b", "x")], [(at(3), "a", "late late")], [(at(58), "b", "x")], [(at(59), "b", "x")]]
+    seen: set[str] = set()
+    for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        for f in os.listdir(tmp_path / "in"):
-            os.utime(tmp_path / "in" / f, (1_700_000_000 + k, 1_700_000_000 + k)) if f.endswith(".parquet") and f not in seen_files(tmp_path) else None
-        remember(tmp_path)
+        for f in set(os.listdir(tmp_path / "in")) - seen:
+            os.utime(tmp_path / "in" / f, (1_700_000_000 + 10 * k, 1_700_000_000 + 10 * k))
+            seen.add(f)
     stream = streaming.read_texts(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
     counted = streaming.tokens_per_window(stream, t, "ts", "text", "5 minutes", "10 minutes", "kind")
     query = counted.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     query.processAllAvailable()
     query.stop()
     got = {(r.window.start.minute, r.kind): r.n_tokens for r in spark.table("windows").collect()}
-    assert got[0, "a"] == 3 and got[40, "b"] == 1
-
-
-_seen: set = set()
-
-
-def seen_files(_):
-    return _seen
-
-
-def remember(path):
-    _seen.update(os.listdir(path / "in"))
+    assert got[0, "a"] == 3 and got[40, "b"] == 2
 
 
 def test_registry(spark):
