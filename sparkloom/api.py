@@ -160,14 +160,13 @@ class SparkAutoTokenizer(SparkTokenizer):
         c = spec.config
         names = ("bos", "eos", "unk", "sep", "cls", "mask")
         self.bos_token, self.eos_token, self.unk_token, self.sep_token, self.cls_token, self.mask_token = (post.token_text(c.get(f"{n}_token")) for n in names)
-        usual = (t for t in ("<pad>", "[PAD]", "<|pad|>", "<|endoftext|>") if t in spec.ids)
+        usual = (t for t in "<pad> [PAD] <|pad|> <|endoftext|>".split() if t in spec.ids)
         self.pad_token = post.token_text(c.get("pad_token")) or self.eos_token or next(usual, None)
         limit = c.get("model_max_length")
         self.model_max_length = limit if isinstance(limit, int) and limit < 10**15 else None
-        self.padding_side = c.get("padding_side", "right")
-        self.truncation_side = c.get("truncation_side", "right")
-        self.chat_template = c.get("chat_template")
+        self.padding_side, self.truncation_side = (c.get(f"{what}_side", "right") for what in ("padding", "truncation"))
         self.template = post.template(spec)
+        self.chat_template = c.get("chat_template")
 
     @classmethod
     def from_file(cls, path: str, config: dict | str | None = None, **kw) -> SparkAutoTokenizer:
@@ -260,7 +259,7 @@ class SparkAutoTokenizer(SparkTokenizer):
 
     def tokenize(self, text: Column | str, add_special_tokens: bool = False) -> Column:
         """Token strings of a text."""
-        return self.convert_ids_to_tokens(self.encode(text, add_special_tokens=add_special_tokens))
+        return self.convert_ids_to_tokens(self.encode(text, None, add_special_tokens))
 
     def convert_ids_to_tokens(self, ids: Column | str, skip_special_tokens: bool = False) -> Column:
         """Token strings of ids, null for unknown ones."""

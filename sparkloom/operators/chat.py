@@ -58,7 +58,8 @@ def choose(template: str | list[dict] | None, tools: bool = False) -> str:
     """A model's template: of several, tool_use with tools, else default, else the first."""
     if isinstance(template, list):
         by = {t.get("name"): t.get("template") for t in template}
-        template = by.get("tool_use") if tools and "tool_use" in by else by.get("default") or next(iter(by.values()), None)
+        wanted = ["tool_use"] * bool(tools) + ["default", *by]
+        template = next((by[name] for name in wanted if by.get(name)), None)
     if not template:
         raise ValueError("this tokenizer has no chat template")
     return template
@@ -104,7 +105,7 @@ def _compiled(template: str):
         def fail(message: str):
             raise TemplateError(message)
 
-        env = ImmutableSandboxedEnvironment(trim_blocks=True, lstrip_blocks=True)
+        env = ImmutableSandboxedEnvironment(**dict.fromkeys(("lstrip_blocks", "trim_blocks"), True))
         env.filters["tojson"] = lambda value, **_: json.dumps(value, ensure_ascii=False)
         env.globals["raise_exception"] = fail
         _cache[template] = env.from_string(template)

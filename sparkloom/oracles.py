@@ -9,27 +9,31 @@ from __future__ import annotations
 
 from sparkloom.queries import END, MULTI, RANKS, START, STOP
 
+_BREAK = r"[\r\n]"
+_BREAKS = rf"\s*{_BREAK}+"
 _CONTRACTION = "'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]"
 _S = r"\x01"
+_EITHER = r"\p{Lo}\p{M}\p{Lm}"
+_UPPER, _LOWER = rf"[{_EITHER}\p{{Lt}}\p{{Lu}}]", rf"[{_EITHER}\p{{Ll}}]"
 #: name: (white space run to cut, pattern)
 _GRAMMARS = {
     "word": (r"(\s+)(\s\S)", rf"'(?:ll|re|ve|[dmst])| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}{_S}]+|\s+"),
     "generic": (
         r"([^\S\r\n]+)([^\S\r\n]\S)",
-        rf"{_CONTRACTION}|[^\r\n\p{{L}}\p{{N}}{_S}]?\p{{L}}+|\p{{N}}{{1,3}}| ?[^\s\p{{L}}\p{{N}}{_S}]+[\r\n]*|\s*[\r\n]+|\s+",
+        rf"{_CONTRACTION}|[^\r\n\p{{L}}\p{{N}}{_S}]?\p{{L}}+|\p{{N}}{{1,3}}| ?[^\s\p{{L}}\p{{N}}{_S}]+{_BREAK}*|{_BREAKS}|\s+",
     ),
     "marks": (
         r"([^\S\r\n]+)([^\S\r\n]\S)",
-        rf"{_CONTRACTION}|[^\r\n\p{{L}}\p{{N}}{_S}]?[\p{{L}}\p{{M}}]+|\p{{N}}| ?[^\s\p{{L}}\p{{M}}\p{{N}}{_S}]+[\r\n]*|\s*[\r\n]+|\s+",
+        rf"{_CONTRACTION}|[^\r\n\p{{L}}\p{{N}}{_S}]?[\p{{L}}\p{{M}}]+|\p{{N}}| ?[^\s\p{{L}}\p{{M}}\p{{N}}{_S}]+{_BREAK}*|{_BREAKS}|\s+",
     ),
     "camel": (
         r"([^\S\r\n]+)([^\S\r\n]\S)",
         "|".join(
             [
                 rf"[^\r\n\p{{L}}\p{{N}}{_S}]?{a}(?:{_CONTRACTION})?"
-                for a in (r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+", r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*")
+                for a in (f"{_UPPER}*{_LOWER}+", f"{_UPPER}+{_LOWER}*")
             ]
-            + [rf"\p{{N}}{{1,3}}| ?[^\s\p{{L}}\p{{N}}{_S}]+[\r\n/]*|\s*[\r\n]+|\s+"]
+            + [rf"\p{{N}}{{1,3}}| ?[^\s\p{{L}}\p{{N}}{_S}]+[\r\n/]*|{_BREAKS}|\s+"]
         ),
     ),
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from functools import cached_property
+from operator import itemgetter
+from pathlib import Path
 
 import numpy as np
 
@@ -101,7 +103,7 @@ class Spec:
         """Token of every single byte, -1 for none; spelt in the byte alphabet first, then smallest."""
         out = np.full(256, -1, np.int64)
         spelt = np.zeros(256, bool)
-        for token, i in sorted(self.vocab.items(), key=lambda x: x[1]):
+        for token, i in sorted(self.vocab.items(), key=itemgetter(1)):
             raw = self._bytes(token)
             if len(raw) != 1:
                 continue
@@ -270,11 +272,9 @@ def parse(model: dict, config: dict | None = None) -> Spec:
 def load(path: str, config: dict | str | None = None) -> Spec:
     """The spec of a tokenizer.json file; ValueError if it can't be read or reproduced."""
     try:
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
+        model = json.loads(Path(path).read_text("utf-8"))
     except (OSError, UnicodeDecodeError, json.JSONDecodeError) as error:
         raise ValueError(f"{path} can't be read as a tokenizer: {error}") from error
     if isinstance(config, str):
-        with open(config, encoding="utf-8") as f:
-            config = json.load(f)
+        config = json.loads(Path(config).read_text("utf-8"))
     return parse(model, config)

@@ -9,6 +9,7 @@ import json
 import os
 import tempfile
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -135,16 +136,16 @@ def named(name: str, path: str, check: bool = True) -> Spec:
 def to_tokenizer_json(ranks: dict[bytes, int], pattern: str | None, specials: dict[str, int] | None = None) -> dict:
     """The ranks as a tokenizer.json; without a pattern the word grammar of ByteLevel itself."""
     merges = []
-    for token, _ in sorted(ranks.items(), key=lambda x: x[1]):
+    for token in sorted(ranks, key=ranks.__getitem__):
         pair = merge_of(token, ranks) if len(token) > 1 else None
         if pair:
             merges.append([to_surface(pair[0]), to_surface(pair[1])])
     level = {"type": "ByteLevel", "use_regex": pattern is None, "add_prefix_space": False, "trim_offsets": True}
     split = {"type": "Split", "behavior": "Isolated", "invert": False, "pattern": {"Regex": pattern}}
     return {
-        "model": {"type": "BPE", "vocab": {to_surface(t): r for t, r in ranks.items()}, "merges": merges},
+        "model": {"merges": merges, "vocab": {to_surface(t): r for t, r in ranks.items()}, "type": "BPE"},
         "pre_tokenizer": level if pattern is None else {"type": "Sequence", "pretokenizers": [split, level]},
-        "decoder": {"type": "ByteLevel"},
+        "decoder": dict(type="ByteLevel"),
         "added_tokens": [{"id": i, "content": t, "special": True} for t, i in (specials or {}).items()],
     }
 
@@ -157,8 +158,8 @@ def cached_json(path: str, pattern: str, specials: dict[str, int] | None = None,
     target = os.path.join(folder, f"{key}.json")
     if not os.path.exists(target):
         handle, part = tempfile.mkstemp(dir=folder)
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            json.dump(to_tokenizer_json(read_ranks(path), pattern, specials), f)
+        os.close(handle)
+        Path(part).write_text(json.dumps(to_tokenizer_json(read_ranks(path), pattern, specials)), "utf-8")
         os.replace(part, target)
     return target
 
@@ -170,28 +171,34 @@ def specials_of_config(config: dict) -> dict[str, int]:
 
 def _static_text(node: ast.AST) -> str | None:
     """The text of an expression of literals, sums and joins; None if it is anything else."""
-    if isinstance(node, ast.Constant):
-        return node.value if isinstance(node.value, str) else None
-    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
-        sides = _static_text(node.left), _static_text(node.right)
-        return None if None in sides else "".join(sides)
-    call = isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "join"
-    if call and len(node.args) == 1 and isinstance(node.args[0], (ast.List, ast.Tuple)):
-        glue, parts = _static_text(node.func.value), [_static_text(x) for x in node.args[0].elts]
-        return None if glue is None or None in parts else glue.join(parts)
+    match node:
+        case ast.Constant(value=str() as text):
+            return text
+        case ast.BinOp(left=left, op=ast.Add(), right=right):
+            sides = _static_text(left), _static_text(right)
+            return None if None in sides else "".join(sides)
+        case ast.Call(func=ast.Attribute(value=glue, attr="join"), args=[ast.List(elts=items) | ast.Tuple(elts=items)]):
+            between, parts = _static_text(glue), [_static_text(x) for x in items]
+            return None if between is None or None in parts else between.join(parts)
     return None
 
 
 def pattern_of_source(source: str) -> str | None:
     """The value of ``pat_str`` in a Python module's source, by reading it; nothing is executed."""
     try:
-        tree = ast.parse(source)
+        nodes = list(ast.walk(ast.parse(source)))
     except SyntaxError:
         return None
-    for node in ast.walk(tree):
-        targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
-        names = {t.id if isinstance(t, ast.Name) else t.attr if isinstance(t, ast.Attribute) else "" for t in targets}
-        if "pat_str" in names and node.value is not None and (text := _static_text(node.value)):
+    for node in nodes:
+        match node:
+            case ast.Assign(targets=targets, value=value):
+                pass
+            case ast.AnnAssign(target=target, value=ast.AST() as value):
+                targets = [target]
+            case _:
+                continue
+        named = {getattr(t, "id", None) or getattr(t, "attr", None) for t in targets}
+        if "pat_str" in named and (text := _static_text(value)):
             return text
     return None
 
@@ -205,11 +212,10 @@ def from_folder(folder: str) -> Spec:
     from sparkloom.plans.spec import load
 
     config: dict = {}
-    for name in ("special_tokens_map.json", "tokenizer_config.json"):
-        place = os.path.join(folder, name)
-        if os.path.exists(place):
-            with open(place, encoding="utf-8") as f:
-                config.update(json.load(f))
+    for stem in "special_tokens_map tokenizer_config".split():
+        place = Path(folder, f"{stem}.json")
+        if place.exists():
+            config.update(json.loads(place.read_text("utf-8")))
     path = os.path.join(folder, "tokenizer.json")
     if os.path.exists(path):
         return load(path, config)

@@ -19,6 +19,18 @@ from sparkloom.plans.spec import UnsupportedTokenizer, load, parse, to_surface
 from sparkloom.sources import ranks, tables
 
 END = "<|endoftext|>"
+LEVEL = {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}
+BARE = LEVEL | {"use_regex": False}
+
+
+def steps(*parts):
+    return {"pretokenizers": list(parts), "type": "Sequence"}
+
+
+def split(pattern, behavior="Isolated"):
+    return dict(type="Split", behavior=behavior, invert=False, pattern=dict(Regex=pattern))
+
+
 POOL = ["the", "The", " ", "  ", "\n", "\t", "'s", "'LL", "1234", "é", "ñ", "日本", "GDP", "camelCase", "!", "...", "\r\n", "ſ", "😀", "٣", END, "/", "x", "é", " ", "ǅ"]
 
 
@@ -127,9 +139,8 @@ def test_multi_split(spark, texts, stages):
 def test_multi_split_equals_the_library(spark, texts):
     """Digits, a Han run, then words: against the same configuration in an independent library."""
     model = json.load(open(queries.MODEL))
-    split = lambda p: {"type": "Split", "pattern": {"Regex": p}, "behavior": "Isolated", "invert": False}
-    stages = [{"type": "Digits", "individual_digits": True}, split(HAN), split(generic_grammar(3, True)), {"type": "ByteLevel", "use_regex": False, "add_prefix_space": False, "trim_offsets": True}]
-    model["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": stages}
+    stages = [{"type": "Digits", "individual_digits": True}, split(HAN), split(generic_grammar(3, True)), LEVEL | {"use_regex": False, "trim_offsets": True}]
+    model["pre_tokenizer"] = steps(*stages)
     oracle = tokenizers.Tokenizer.from_str(json.dumps(model))
     got = collect(texts, SparkTokenizer(parse(model), spark).encode_special("text").alias("ids"))
     assert all(got[i].ids == oracle.encode(t).ids for i, t in enumerate(TEXTS))
@@ -155,24 +166,23 @@ def test_broken_pattern_is_rejected_at_load(spark, rank_table):
         SparkTokenizer(ranks.spec_of_ranks(rank_table, "x*"), spark)
 
 
-LEVEL = {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}
 TINY = {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}
 
 
 @pytest.mark.parametrize(
     "change",
     [
-        {"normalizer": {"type": "Lowercase"}},
-        {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Strip"}]}},
-        {"normalizer": {"type": "Replace", "pattern": {"Regex": " +"}, "content": "▁"}},
-        {"model": TINY | {"byte_fallback": True}, "pre_tokenizer": {"type": "Punctuation"}},
+        {"normalizer": dict(type="Lowercase")},
+        {"normalizer": dict(normalizers=[dict(type="NFC"), dict(type="Strip")], type="Sequence")},
+        {"normalizer": dict(type="Replace", pattern=dict(Regex=" +"), content="▁")},
+        {"model": TINY | dict(byte_fallback=True), "pre_tokenizer": dict(type="Punctuation")},
         {"pre_tokenizer": None},
-        {"pre_tokenizer": {"type": "Whitespace"}},
-        {"pre_tokenizer": {"type": "ByteLevel", "use_regex": False}},
-        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits"}]}},
-        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "a"}, "behavior": "Isolated"}, LEVEL]}},
-        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "a"}, "behavior": "Removed"}, LEVEL | {"use_regex": False}]}},
-        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"\Ga"}, "behavior": "Isolated"}, LEVEL | {"use_regex": False}]}},
+        {"pre_tokenizer": dict(type="Whitespace")},
+        {"pre_tokenizer": BARE},
+        {"pre_tokenizer": steps(dict(type="Digits"))},
+        {"pre_tokenizer": steps(split("a"), LEVEL)},
+        {"pre_tokenizer": steps(split("a", "Removed"), BARE)},
+        {"pre_tokenizer": steps(split(r"\Ga"), BARE)},
         {"pre_tokenizer": {"type": "Metaspace", "prepend_scheme": "never"}},
         {"model": {"vocab": [["a", -1.0]]}},
         {"model": {}},
@@ -251,8 +261,8 @@ def test_byte_fallback_equals_sentencepiece(spark):
 @pytest.mark.parametrize("scheme,want", [("always", [2, 9, 2]), ("first", [2, 9, 0])])
 def test_prefix_around_added_tokens(spark, scheme, want):
     model = {
-        "model": {"vocab": {"a": 0, "▁": 1, "▁a": 2} | {f"<0x{b:02X}>": 10 + b for b in range(256)}, "merges": ["▁ a"], "byte_fallback": True},
-        "pre_tokenizer": {"type": "Metaspace", "prepend_scheme": scheme},
+        "model": {"vocab": {"a": 0, "▁": 1, "▁a": 2} | {f"<0x{b:02X}>": 10 + b for b in range(256)}, "byte_fallback": True, "merges": ["▁ a"]},
+        "pre_tokenizer": dict(type="Metaspace", prepend_scheme=scheme),
         "added_tokens": [{"id": 9, "content": "<x>", "special": True}],
     }
     t = SparkTokenizer(parse(model), spark)
@@ -292,7 +302,7 @@ def test_decode_is_lossy_and_strict(spark):
 
 def loop_truncate(a, b, budget):
     a, b = list(range(a)), list(range(b))
-    while len(a) + len(b) > budget and (a or b):
+    while (a or b) and budget < len(b) + len(a):
         if len(a) >= len(b) and a:
             a.pop()
         else:

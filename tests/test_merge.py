@@ -44,7 +44,7 @@ def test_random_tables(seed):
 
 
 @pytest.mark.parametrize("inverted", [True, False])
-@pytest.mark.parametrize("n", [1, 2, 30, 31, 32, 50, 62, 100, 257, 1000])
+@pytest.mark.parametrize("n", [1000, 257, 100, 62, 50, 32, 31, 30, 2, 1])
 def test_runs_of_one_letter(inverted, n):
     """A vocabulary of runs a..a(31), each the last one plus a letter, in rank order or against it."""
     rows = [(size - 2, 0, size - 1) for size in range(2, 32)]
