@@ -34,7 +34,7 @@ def rows(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-# quality ---------------------------------------------------------------------------------------
+# quality
 
 
 def brute_quality(t):
@@ -85,7 +85,7 @@ def test_js_distance():
     assert d == pytest.approx([0, 1, 0], abs=1e-9)
 
 
-# secrets ---------------------------------------------------------------------------------------
+# secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -135,7 +135,7 @@ def test_redact(spark):
     assert got == {1: ("é [secret] end", "keep", 14), 2: ("clean", None, 5), 3: (None, "z", None)}
 
 
-# licences --------------------------------------------------------------------------------------
+# licences
 
 
 def test_license_base(spark):
@@ -182,7 +182,7 @@ def test_license_tags(spark):
     assert got[2].labels == "gpl" and got[2].permissive is None
 
 
-# decontamination -------------------------------------------------------------------------------
+# decontamination
 
 
 def brute_contamination(t, items, window):
@@ -242,7 +242,7 @@ def test_postings(spark):
     assert [tuple(r) for r in decontaminate.postings(docs, bench).collect()] == [("a", 0, [0, 2])]
 
 
-# languages -------------------------------------------------------------------------------------
+# languages
 
 
 def language_rows(n=600, seed=1):
@@ -285,7 +285,7 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(df, empty).collect()} == {"und"}
 
 
-# pages -----------------------------------------------------------------------------------------
+# pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <header><h1>Site</h1><p>Welcome, to the site, of sites, with a long line of header text here.</p></header>
@@ -315,7 +315,7 @@ def test_extract_pages(spark):
     assert html.extract_pages(df.limit(0)).columns == ["page_id", "url", "text", "n_chars"]
 
 
-# pieces ----------------------------------------------------------------------------------------
+# pieces
 
 
 def toy(seed=1, n=60):
