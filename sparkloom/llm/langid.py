@@ -192,11 +192,15 @@ def held_out(id_col: str, folds: int = 5, fold: int = 0):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", s: Settings = Settings()) -> Model:
     """Trains on at most ``s.sample`` labelled rows outside the held-out fold.
 
-    The sample is the rows with the smallest hash of the id: the same rows at any partitioning.
+    The sample is the rows with the smallest hash of the id: the same rows at any partitioning.  Rows
+    whose hash is too large to be among them are left out before anything is sorted or sent.
     """
+    labelled = docs.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull())
+    share = min(1.0, 1.3 * s.sample / max(labelled.count(), 1))
+    order = F.xxhash64(F.col(f"`{id_col}`"), F.lit(s.seed))
     rows = (
-        docs.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-        .select(F.xxhash64(F.col(f"`{id_col}`"), F.lit(s.seed)).alias("order"), F.substring(F.col(f"`{text_col}`"), 1, s.sample_chars).alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+        labelled.where((order <= min(int(share * 2**64) - 2**63, 2**63 - 1)) & F.col(f"`{text_col}`").isNotNull())
+        .select(order.alias("order"), F.substring(F.col(f"`{text_col}`"), 1, s.sample_chars).alias("text"), F.col(f"`{lang_col}`").alias("lang"))
         .orderBy("order", "lang", "text")
         .limit(s.sample)
         .collect()
