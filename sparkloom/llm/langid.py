@@ -217,6 +217,5 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     The model is broadcast; its size is fixed by ``Settings`` (buckets times languages).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keyed = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), held_out(id_col).alias("held_out_")) if "held_out_" not in (id_col, text_col) else docs
-    got = _map.measured(keyed, id_col, text_col, SCHEMA, lambda block: predicted(block, shared.value), also=("held_out_",))
-    return got.withColumnRenamed("held_out_", "held_out")
+    got = _map.measured(docs, id_col, text_col, SCHEMA, lambda block: predicted(block, shared.value))
+    return got.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score", "rejected")

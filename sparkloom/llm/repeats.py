@@ -17,7 +17,7 @@ in a third of all texts makes a large group; a trigger with more than ``CROWDED`
 one chunk sends a single mark instead of them.  Phrases are compared by trigger and content hash
 (128 bits), windows by a window and a trigger hash (96 bits).
 
-"Earlier" means a smaller id, or the same text and an earlier start.  Defined results: null and empty
+Ids are integers.  "Earlier" means a smaller id, or the same text and an earlier start.  Defined results: null and empty
 texts have no bytes; of rows with the same id the one with the smaller text comes first, equal rows
 in the order in which they are read; null ids come last; empty tables give empty results; other
 columns are ignored.
