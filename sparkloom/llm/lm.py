@@ -18,6 +18,9 @@ and the score follows from the formulas; empty tables give empty results; other
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import log10
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +30,59 @@ from pyspark.sql import types as T
 from sparkloom.llm import _blocks as B
 from sparkloom.llm import _exchange as X
 
+@dataclass
+class Automaton:
+    """The backoff automaton of a small corpus, as a whole: what the chunks use in parts.
+
+    States are histories; ``arcs`` give log10 probabilities of seen tokens, ``failure`` the shortened
+    history and the log10 weight of going there.  Unknown tokens leave the empty state by its own
+    failure arc, back into it, with the probability of one unseen token.
+    """
+
+    arcs: dict[tuple, dict]
+    failure: dict[tuple, tuple[tuple, float]]
+    end: object
+    order: int
+
+    @classmethod
+    def train(cls, texts: list[list], order: int = 2, mu: float = 500.0, end: object = None) -> Automaton:
+        """From lists of tokens."""
+        counts: list[dict[tuple, int]] = [{} for _ in range(order + 1)]
+        for tokens in texts:
+            row = (end, *tokens, end)
+            for k in range(1, order + 1):
+                for i in range(max(k - 1, 1), len(row)):
+                    gram = row[i - k + 1 : i + 1]
+                    counts[k][gram] = counts[k].get(gram, 0) + 1
+        total, distinct = sum(counts[1].values()), len(counts[1])
+        arcs: dict[tuple, dict] = {(): {g[0]: (c + 1) / (total + distinct + 1) for g, c in counts[1].items()}}
+        failure = {(): ((), log10(1 / (total + distinct + 1)))}
+        for k in range(2, order + 1):
+            for gram, c in counts[k].items():
+                h = gram[:-1]
+                seen = counts[k - 1][h]
+                arcs.setdefault(h, {})[gram[-1]] = (c + mu * arcs[h[1:]][gram[-1]]) / (seen + mu)
+                failure[h] = (h[1:], log10(mu / (seen + mu)))
+        return cls({h: {w: log10(p) for w, p in own.items()} for h, own in arcs.items()}, failure, end, order)
+
+    def score(self, tokens: list) -> float:
+        """Log10 probability of a text, in one traversal."""
+        state: tuple = (self.end,) if self.order > 1 and (self.end,) in self.arcs else ()
+        total = 0.0
+        for token in [*tokens, self.end]:
+            while token not in self.arcs[state]:
+                shorter, weight = self.failure[state]
+                total += weight
+                if not state:
+                    break
+                state = shorter
+            total += self.arcs[state].get(token, 0.0)
+            state = (*state, token)[-(self.order - 1) :] if self.order > 1 else ()
+            while state not in self.arcs:
+                state = state[1:]
+        return total
+
+
 END = B.U64(B.mix_int(0x656E64))
 ORDER = 2
 MU = 500.0

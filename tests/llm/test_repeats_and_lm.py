@@ -123,17 +123,29 @@ def test_scores_equal_brute_force(spark, order):
         assert got[i][4:] == pytest.approx(w[4:], rel=1e-9)
 
 
-def test_probabilities_add_up(spark):
-    """Over all continuations of a history, seen or not, the model's probabilities sum to one."""
-    rows = [(1, "a b a c"), (3, "b a"), (4, "c c b")]
-    want = brute_lm(rows, 1, 1.0)
-    n, vocabulary = want[1][3], 4
-    df = spark.createDataFrame(rows + [(100 + i, f"a {w}") for i, w in enumerate(["a", "b", "c", "never"])], "doc_id long, text string")
-    from pyspark.sql import functions as F
-
-    folds = {r.doc_id: r.held_out for r in df.select("doc_id", lm.held_out("doc_id").alias("held_out")).collect()}
-    assert any(folds.values()) or n >= vocabulary
-    assert df.agg(F.count("*")).first()[0] == 7
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_automaton(order):
+    """One traversal with failure arcs gives the model's probability, and probabilities add up."""
+    rng = random.Random(order)
+    rows = [(i, "".join(rng.choice("abcde ") + " " for _ in range(rng.randint(0, 20)))) for i in range(40)]
+    want = brute_lm(rows, order, 2.0)
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    model = lm.Automaton.train([split(t) for i, t in rows if not want[i][0]], order, 2.0)
+    for i, t in rows:
+        assert model.score(split(t)) == pytest.approx(want[i][5])
+    vocabulary = [*"abcde", None, "never"]
+    for state in model.arcs:
+        total = 0.0
+        for w in vocabulary:
+            at, p = state, 0.0
+            while w not in model.arcs[at]:
+                shorter, weight = model.failure[at]
+                p += weight
+                if not at:
+                    break
+                at = shorter
+            total += 10 ** (p + model.arcs[at].get(w, 0.0))
+        assert total == pytest.approx(1)
 
 
 def test_scores_without_training_rows(spark):
