@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.plans.spec import Spec
@@ -129,9 +129,11 @@ def mask(ids: Column, width: Column | int, side: str = "right") -> Column:
 def longest(df: DataFrame, ids: str, batch: str | None = None) -> tuple[DataFrame, Column]:
     """The frame with the longest row's size: of the rows with the same ``batch``, or of all.
 
-    All rows: one aggregate of one row, joined back by broadcast (its size is one number).
+    An aggregate with partial maxima, then a scalar subquery or a join by batch, so that a batch that
+    holds most rows is never gathered in one task.
     """
-    if batch is not None:
-        return df.withColumn("_width", F.max(F.size(ids)).over(Window.partitionBy(batch))), F.col("_width")
-    width = df.agg(F.coalesce(F.max(F.size(ids)), F.lit(0)).alias("_width"))
-    return df.join(F.broadcast(width)), F.col("_width")
+    most = F.coalesce(F.max(F.size(ids)), F.lit(0))
+    if batch is None:
+        return df, df.agg(most.alias("_width")).scalar()
+    widths = df.groupBy(F.col(batch).alias("_batch")).agg(most.alias("_width"))
+    return df.join(widths, F.col(batch).eqNullSafe(F.col("_batch"))).drop("_batch"), F.col("_width")
