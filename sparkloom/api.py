@@ -113,18 +113,27 @@ class SparkTokenizer:
         return f"{type(self).__name__}(n_vocab={self.spec.size})"
 
     def register(self, prefix: str = "tok") -> None:
-        """SQL functions {prefix}_encode, {prefix}_count, {prefix}_decode and {prefix}_explode.
+        """SQL functions {prefix}_encode, {prefix}_count, {prefix}_offsets, {prefix}_decode and {prefix}_explode.
 
         They take text and split it in the worker's own process; plans of DataFrames split natively.
         """
-        shared, added = self.encoder.shared, self.spec
+        shared, plan = self.encoder.shared, (self.spec.stages, self.spec.metaspace)
+
         @F.arrow_udf("array<int>")
         def tok_encode(texts: pa.Array) -> pa.Array:
-            return pa.array([None if t is None else encode_local(shared.value, added_stages, t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+            return pa.array([None if t is None else encode_local(shared.value, plan, t) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
         @F.arrow_udf("int")
         def tok_count(texts: pa.Array) -> pa.Array:
-            return pa.array([None if t is None else len(encode_local(shared.value, added_stages, t)) for t in texts.to_pylist()], pa.int32())
+            return pa.array([None if t is None else len(encode_local(shared.value, plan, t)) for t in texts.to_pylist()], pa.int32())
+
+        @F.arrow_udf("array<struct<start: int, end: int>>")
+        def tok_offsets(texts: pa.Array) -> pa.Array:
+            out = []
+            for t in texts.to_pylist():
+                ends = None if t is None else np.cumsum(shared.value.lengths[np.array(encode_local(shared.value, plan, t), np.int64)])
+                out.append(None if t is None else [{"start": int(a), "end": int(b)} for a, b in zip([0, *ends[:-1]], ends)])
+            return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
         @F.arrow_udf("string")
         def tok_decode(lists: pa.Array) -> pa.Array:
@@ -133,20 +142,18 @@ class SparkTokenizer:
                 out += [None] if x is None else decode.decode_rows(shared.value, np.array(x, np.int64), np.array([0, len(x)]))
             return pa.array(out, pa.string())
 
-        added_stages = (added.stages, added.metaspace)
-
         @F.udtf(returnType="pos int, id int, token string, start int, `end` int")
         class tok_explode:
             def eval(self, text: str) -> Iterator[tuple]:
                 if text is None:
                     return
                 t, at = shared.value, 0
-                for pos, i in enumerate(encode_local(t, added_stages, text)):
+                for pos, i in enumerate(encode_local(t, plan, text)):
                     raw = t.arena[t.arena_first[i] : t.arena_first[i + 1]].tobytes()
                     yield pos, int(i), raw.decode("utf-8", "replace"), at, at + len(raw)
                     at += len(raw)
 
-        for name, f in (("encode", tok_encode), ("count", tok_count), ("decode", tok_decode)):
+        for name, f in (("encode", tok_encode), ("count", tok_count), ("offsets", tok_offsets), ("decode", tok_decode)):
             self.spark.udf.register(f"{prefix}_{name}", f)
         self.spark.udtf.register(f"{prefix}_explode", tok_explode)
 

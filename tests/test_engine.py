@@ -466,6 +466,8 @@ def test_sql_functions(spark, texts):
     want = collect(texts, t.encode("text").alias("x"))
     for r in spark.sql("select id, text, tk_encode(text) as x, tk_count(text) as n, tk_decode(tk_encode(text)) as d from texts").collect():
         assert r.x == want[r.id].x and r.d == r.text and r.n == (None if r.x is None else len(r.x))
+    spans = {r.id: r.o for r in spark.sql("select id, tk_offsets(text) as o from texts").collect()}
+    assert spans == {r.id: None if r.id < 0 else r.s for r in texts.select("id", t.encode_offsets("text").spans.alias("s")).collect()}
     exploded = spark.sql("select t.pos, t.id, t.start, t.end from texts, lateral tk_explode(text) t where texts.id = 3 order by t.pos").collect()
     assert [r.id for r in exploded] == want[3].x and exploded[-1].end == len(TEXTS[3].encode())
     local = [encode_local(t.encoder.tables, (t.spec.stages, t.spec.metaspace), x) for x in TEXTS[:50]]
