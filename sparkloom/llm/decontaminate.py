@@ -208,7 +208,7 @@ def contamination(
             hit, names, counts, w = _hits(block, shared.value, slop)
             return _finish(counts, B.sums(hit, w.first), names)
 
-        return _map.measured(docs, id_col, text_col, SCHEMA, measure, )
+        return _map.measured(docs, id_col, text_col, SCHEMA, measure)
     # Several blocks of tests: the texts' hits are joined over the blocks by one grouping.
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     keyed = keyed.withColumn("row", F.xxhash64("id", "text"))
