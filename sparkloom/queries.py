@@ -16,6 +16,7 @@ from sparkloom.functions.pretokenize import NUMBER, at_marks, camel_grammar, gen
 from sparkloom.operators import chat, post
 from sparkloom.plans.spec import AddedToken, Spec
 from sparkloom.sources import ranks, tables
+from sparkloom.sources.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,7 +45,7 @@ def _auto(spark: SparkSession, post_processor: dict | None = None, **config) ->
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _text(ids: Column) -> Column:
