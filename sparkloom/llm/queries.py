@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import decontaminate, html, jaccard, langid, licenses, lm, oracles, pieces, quality, repeats, secrets
+from sparkloom.sources.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +16,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for an operator that doesn't shuffle, over all cores."""
+    return spread(_table(spark, sf_dir, name))
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(_spread(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,20 +34,20 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(_spread(spark, sf_dir, "documents"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract_pages(_table(spark, sf_dir, "pages"))
+    return html.extract_pages(_spread(spark, sf_dir, "pages"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.fit(docs))
+    return langid.identify(spread(docs), langid.fit(docs))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    return secrets.find_secrets(_spread(spark, sf_dir, "documents"))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +55,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_digest(_table(spark, sf_dir, "documents"))
+    return pieces.encode_digest(_spread(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_scores(_table(spark, sf_dir, "documents"))
+    return quality.quality_scores(_spread(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
