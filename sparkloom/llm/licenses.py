@@ -2,8 +2,8 @@
 
 The lower-cased text is reduced to its words, one blank between them, and an Aho-Corasick automaton
 over all phrases runs once over a block of many texts.  The base phrases count wherever their words
-stand consecutively.  ``SPDX-License-Identifier:`` tags are followed by a licence expression, which a
-shunting-yard parser evaluates (``with`` binds closest, then ``and``, then ``or``): its licences
+stand consecutively.  Every ``SPDX-License-Identifier:`` tag is followed by a licence expression of any
+length up to the end of its line or text, which a shunting-yard parser evaluates (``with`` binds closest, then ``and``, then ``or``): its licences
 become labels, and the expression as a whole tells whether the text may be used under permissive
 terms alone.
 
@@ -48,7 +48,10 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "unlicense", "cc0", "bsl", "zlib", "cc-by-1", "cc-by-2", "cc-by-3", "cc-by-4", "0bsd")
-_TAG = re.compile(rb"spdx-license-identifier\x20*:[\x20\t]*([^\r\n]{1,1000})", re.I)
+_TAG = re.compile(rb"spdx-license-identifier\x20*:", re.I)
+#: What an expression may reach over: the rest of the line, up to a colon, which no expression holds
+#: (so a line of many tags is read once).
+_REST = re.compile(rb"[^\r\n:]*")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+-]+")
 _RANK = {"with": 3, "and": 2, "or": 1}
 
@@ -172,9 +175,9 @@ def scanned(block: B.Block) -> dict:
     for m in _TAG.finditer(raw):
         r = int(np.searchsorted(block.offsets, m.start(), "right")) - 1
         stop = int(block.offsets[r + 1])
-        if m.start(1) >= stop:
+        if m.end() >= stop or raw[m.end()] in b"\r\n":
             continue
-        postfix, names, _ = parse_expression(raw[m.start(1) : min(m.end(1), stop)].decode("utf-8", "replace"))
+        postfix, names, _ = parse_expression(_REST.match(raw, m.end(), stop).group().decode("utf-8", "replace"))
         more.setdefault(r, set()).update(f"spdx:{x}" for x in names if x)
         tags[r] = tags.get(r, 0) + 1
         verdict = permissive(postfix)

@@ -182,6 +182,19 @@ def test_license_tags(spark):
     assert got[2].labels == "gpl" and got[2].permissive is None
 
 
+def test_license_tags_whole():
+    """Long expressions, several tags a line, and neighbours without a line feed between them."""
+    long = " AND ".join(["MIT"] * 400 + ["GPL-2.0-only"])
+    texts = ["SPDX-License-Identifier: MIT", "SPDX-License-Identifier: GPL-2.0", f"SPDX-License-Identifier: {long}",
+             "SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-3.0", "x SPDX-License-Identifier:", "MIT", "SPDX-License-", "Identifier: ISC"]
+    got = licenses.scanned(next(B.blocks(pa.array(texts))))
+    assert got["labels"] == ["spdx:mit", "spdx:gpl-2.0", "spdx:gpl-2.0-only,spdx:mit", "spdx:gpl-3.0,spdx:mit", "", "", "", ""]
+    assert got["permissive"] == [True, False, False, False, None, None, None, None]
+    for i, t in enumerate(texts):
+        alone = licenses.scanned(next(B.blocks(pa.array([t]))))
+        assert all(alone[k][0] == got[k][i] for k in got)
+
+
 # decontamination
 
 
