@@ -79,6 +79,20 @@ def test_quality_verdict(spark):
     assert quality.quality_scores(frame(spark, [])).count() == 0
 
 
+def test_quality_without_common_words():
+    """Long texts of too few common words go, though their characters look like prose."""
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}{c}" for a in ("ti", "ren", "so", "mal") for b in ("ka", "lo", "ne", "vi") for c in ("", "s", "da", "rum")]
+    salad = [rng.choice(vocabulary) for _ in range(20000)]
+    few = list(salad)
+    few[::2500] = ["the"] * 8
+    prose = [rng.choice("the of and to in a is that".split()) if rng.random() < 0.25 else w for w in salad]
+    texts = [" ".join(salad), " ".join(few), " ".join(prose), " ".join(salad[:60]), " ".join(prose[:60])]
+    got = quality.judged(next(B.blocks(pa.array(texts))))
+    assert not got["base_failed"].any() and (got["class_distance"] < quality.Rules().class_limit).all()
+    assert got["kept"].tolist() == [False, False, True, False, True]
+
+
 def test_js_distance():
     p = np.array([[1.0, 1, 0], [0, 0, 5], [2, 2, 0]])
     d = quality.js_distance(p, np.array([1.0, 1, 0]))
