@@ -3,7 +3,9 @@
 A text's features are all n-grams of 2, 3 and 4 bytes of its lower-cased words (digits and
 punctuation count as blanks; blanks bound the words), hashed into ``buckets`` rows of an embedding
 table.  Their mean goes through a linear layer and a softmax.  Both layers are
-trained by mini-batch stochastic gradient descent in numpy on a bounded sample of labelled rows.
+trained by mini-batch stochastic gradient descent in numpy on a bounded sample of labelled rows, whose
+texts are learnt from whole: only their bags (buckets and shares) travel, of at most ``buckets``
+entries however long the text is.
 For prediction the two layers are multiplied into one table of logits a bucket, so a feature costs
 one look-up of a few numbers.  Temperature and rejection limit are fitted on a part of the sample
 that training doesn't see: ``rejected`` marks predictions less sure than all but ``reject_share`` of
@@ -16,6 +18,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +42,6 @@ class Settings:
     """Production parameters.  ``sample`` bounds the labelled rows used in training."""
 
     sample: int = 4000
-    sample_chars: int = 1000
     buckets: int = 1 << 15
     dim: int = 16
     epochs: int = 6
@@ -99,21 +101,34 @@ def _mean(table: np.ndarray, block: B.Block, buckets: int) -> np.ndarray:
     return out / np.maximum(3 * np.diff(offsets), 1)[:, None]
 
 
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bags_of(block: B.Block, buckets: int) -> list[Bag]:
+    """(buckets, their shares) of every text of a block."""
+    codes, off = features(block, buckets)
+    n = len(block.data)
+    out = []
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+        own, count = B.uniq_counts(np.concatenate([codes[j * n + a : j * n + b] for j in range(3)]))
+        out.append((own, (count / max(3 * (b - a), 1)).astype(np.float32)))
+    return out
+
+
 def train(texts: list[str], labels: list[str], s: Settings = Settings()) -> Model:
     """Fits a model to labelled texts."""
+    column = pa.array(texts, pa.large_string())
+    return train_bags([bag for block in B.blocks(column) for bag in bags_of(block, s.buckets)], labels, s)
+
+
+def train_bags(bags: list[Bag], labels: list[str], s: Settings = Settings()) -> Model:
+    """Fits a model to the bags of labelled texts."""
     names = sorted(set(labels))
     k = len(names)
     if k == 0:
         return Model([], np.zeros((s.buckets, 1), np.float32), np.zeros(1), 1.0, 0.0)
     rng = np.random.default_rng(s.seed)
     y = np.searchsorted(names, labels)
-    bags = []
-    for block in B.blocks(pa.array([t[: s.sample_chars] for t in texts], pa.large_string())):
-        codes, off = features(block, s.buckets)
-        n = len(block.data)
-        for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-            own, count = B.uniq_counts(np.concatenate([codes[j * n + a : j * n + b] for j in range(3)]))
-            bags.append((own, (count / max(3 * (b - a), 1)).astype(np.float32)))
     order = rng.permutation(len(bags))
     held, seen = order[: len(bags) // 8], order[len(bags) // 8 :]
     emb = rng.normal(0, 0.1, (s.buckets, s.dim)).astype(np.float32)
@@ -143,8 +158,7 @@ def train(texts: list[str], labels: list[str], s: Settings = Settings()) -> Mode
             emb[used] -= rate * 200 * (bag.T @ back)
     model = Model(names, (emb @ out).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     if len(held):
-        column = pa.array([texts[i] for i in held], pa.large_string())
-        z = np.concatenate([_logits(model, b) for b in B.blocks(column)])
+        z = np.array([bags[i][1].astype(np.float64) @ model.table[bags[i][0]] for i in held]) + model.bias
         truth = y[held]
         best = min((_loss(z / t, truth), t) for t in np.geomspace(0.05, 20, 41))
         model.temperature = float(best[1])
@@ -198,14 +212,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     labelled = docs.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull())
     share = min(1.0, 1.3 * s.sample / max(labelled.count(), 1))
     order = F.xxhash64(F.col(f"`{id_col}`"), F.lit(s.seed))
-    rows = (
-        labelled.where((order <= min(int(share * 2**64) - 2**63, 2**63 - 1)) & F.col(f"`{text_col}`").isNotNull())
-        .select(order.alias("order"), F.substring(F.col(f"`{text_col}`"), 1, s.sample_chars).alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-        .orderBy("order", "lang", "text")
-        .limit(s.sample)
-        .collect()
-    )
-    return train([r.text for r in rows], [r.lang for r in rows], s)
+    rows = labelled.where((order <= min(int(share * 2**64) - 2**63, 2**63 - 1)) & F.col(f"`{text_col}`").isNotNull())
+    rows = rows.select(order.alias("order"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in B.blocks(batch.column(2)):
+                bags = bags_of(block, s.buckets)
+                part = batch.slice(block.lo, block.n)
+                packed = [pa.array([x.tobytes() for x in column], pa.binary()) for column in zip(*bags)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *packed], names=["order", "lang", "own", "share"])
+
+    got = rows.mapInArrow(run, "order long, lang string, own binary, share binary").orderBy("order", "lang", "own", "share").limit(s.sample).collect()
+    bags = [(np.frombuffer(r.own, np.uint32), np.frombuffer(r.share, np.float32)) for r in got]
+    return train_bags(bags, [r.lang for r in got], s)
 
 
 SCHEMA = "lang_pred string, score double, rejected boolean"

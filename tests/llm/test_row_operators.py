@@ -6,6 +6,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import _blocks as B
 from sparkloom.llm import decontaminate, html, langid, licenses, pieces, quality, secrets
@@ -303,6 +304,19 @@ def test_language_sees_the_text_alone(spark):
     assert {i: tuple(r) for i, r in one.items()} == {i: tuple(r) for i, r in other.items()}
 
 
+def test_language_learns_from_whole_texts(spark):
+    """All texts begin with the same 2,000 characters; what tells languages apart stands behind."""
+    head = "0x lorem ipsum dolor sit amet " * 70
+    df = spark.createDataFrame([(i, head + t * 10, lang) for i, t, lang in language_rows()], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    got = rows(langid.identify(df, model))
+    truth = {r.doc_id: r.lang for r in df.collect()}
+    assert np.mean([got[i].lang_pred == truth[i] for i in got if got[i].held_out]) > 0.9
+    texts = [(r.text, r.lang) for r in df.where(~langid.held_out("doc_id")).orderBy(F.xxhash64("doc_id", F.lit(7))).collect()]
+    plain = langid.train([t for t, _ in texts], [x for _, x in texts])
+    assert plain.labels == model.labels and plain.temperature == model.temperature
+
+
 def test_language_edges(spark):
     df = spark.createDataFrame([(1, None, "xx"), (2, "", "xx"), (3, "123 !?", "xx"), (4, "日本", None), (5, "ka lo", "xx")], "doc_id long, text string, lang string")
     got = rows(langid.identify(df, langid.fit(df)))
