@@ -243,37 +243,59 @@ def decontaminate(
 ) -> DataFrame:
     """The documents without contaminated ones; from the others, hit words are cut out of the text.
 
-    All columns return; ``length_col``, where present, follows texts that changed.
+    All columns return; ``length_col``, where present, follows texts that changed.  Tests in several
+    blocks mark the unchanged text one after the other; it is judged and cut once, by all marks.
     """
     at = docs.columns.index(text_col)
     length = docs.columns.index(length_col) if length_col in docs.columns else -1
-    schema = docs.schema
-    for tests in _test_blocks(benchmark, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(compile_tests(tests, window))
+    schema, width = docs.schema, len(docs.columns)
+    # Between blocks of tests a row carries the bits of the words that were hit so far, null for none.
+    marks = "marks"
+    while marks in docs.columns:
+        marks += "_"
+    marked = T.StructType([*schema.fields, T.StructField(marks, T.BinaryType())])
+    spark = docs.sparkSession
+    shared_tests = [spark.sparkContext.broadcast(compile_tests(tests, window)) for tests in _test_blocks(benchmark, item_col, item_text_col)]
+    for k, shared in enumerate(shared_tests):
+        last = k == len(shared_tests) - 1
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, first=k == 0, last=last):
             for batch in batches:
                 for block in B.blocks(batch.column(at), SEGMENT_BYTES):
                     hit, _, counts, w = _hits(block, shared.value, 0)
-                    n_hit = B.sums(hit, w.first)
                     part = batch.slice(block.lo, block.n)
-                    cut = np.flatnonzero((n_hit > 0) & (20 * n_hit < counts))
-                    if len(cut):
-                        texts = part.column(at).to_pylist()
-                        lengths = part.column(length).to_pylist() if length >= 0 else None
-                        for r in cut.tolist():
-                            texts[r] = _without(block, w, hit, r)
-                            if lengths is not None:
-                                lengths[r] = len(texts[r])
-                        part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
-                        if lengths is not None:
-                            part = part.set_column(length, part.schema.field(length), pa.array(lengths, part.schema.field(length).type))
-                    yield part.filter(pa.array((n_hit == 0) | (20 * n_hit < counts)))
-
-        docs = docs.mapInArrow(run, schema)
+                    if not first:
+                        for r, bits in enumerate(part.column(width).to_pylist()):
+                            if bits is not None:
+                                hit[w.first[r] : w.first[r + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=int(counts[r])).astype(bool)
+                        part = part.select(range(width))
+                    n_hit = B.sums(hit, w.first)
+                    if last:
+                        yield _judged(part, block, w, hit, n_hit, at, length)
+                        continue
+                    bits = [np.packbits(hit[w.first[r] : w.first[r + 1]]).tobytes() if n_hit[r] else None for r in range(block.n)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bits, pa.binary())], names=[*part.schema.names, marks])
+
+        docs = docs.mapInArrow(run, schema if last else marked)
     return docs
 
 
+def _judged(part: pa.RecordBatch, block: B.Block, w: B.Words, hit: np.ndarray, n_hit: np.ndarray, at: int, length: int) -> pa.RecordBatch:
+    """The rows of a block that stay, hit words cut out of their texts."""
+    cut = np.flatnonzero((n_hit > 0) & (20 * n_hit < w.counts))
+    if len(cut):
+        texts = part.column(at).to_pylist()
+        lengths = part.column(length).to_pylist() if length >= 0 else None
+        for r in cut.tolist():
+            texts[r] = _without(block, w, hit, r)
+            if lengths is not None:
+                lengths[r] = len(texts[r])
+        part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+        if lengths is not None:
+            part = part.set_column(length, part.schema.field(length), pa.array(lengths, part.schema.field(length).type))
+    return part.filter(pa.array((n_hit == 0) | (20 * n_hit < w.counts)))
+
+
 def _without(block: B.Block, w: B.Words, hit: np.ndarray, row: int) -> str:
     """A row's text without its runs of hit words (and what stands between their words)."""
     a, b = int(w.first[row]), int(w.first[row + 1])

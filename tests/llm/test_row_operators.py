@@ -256,6 +256,24 @@ def test_decontaminate_cuts_and_drops(spark):
     assert got == {2: (f"{clean}  tail", len(clean) + 6), 3: (clean, 5)}
 
 
+def test_decontaminate_in_blocks_equals_one_block(spark, monkeypatch):
+    """Tests in several blocks judge and cut the unchanged text as one block does."""
+    items = [" ".join(f"{x}{i}" for i in range(30)) for x in "abcdefgh"] + [" ".join(f"a{i}" for i in range(20, 30)) + " x y z"]
+    filler = [f"w{i}" for i in range(900)]
+    texts = [" ".join(filler[:500] + [items[0]] + filler[500:] + [items[k]]) for k in range(1, 8)]  # 6 % hit, by two items
+    texts += [" ".join(filler + filler + [items[0] + " x y z tail"]), " ".join(filler + [items[3]]), items[2], "", None, " ".join(filler)]
+    texts += [" ".join([*filler, *filler, *items[1].split()[:6], items[0], *items[1].split()[6:19]])]  # a cut makes neighbours
+    docs = spark.createDataFrame([(i, t, 5, "m") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, marks string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    clean = lambda: {tuple(r) for r in decontaminate.decontaminate(docs, bench).collect()}
+    one = clean()
+    assert {r[0] for r in one} == {7, 8, 10, 11, 12, 13}
+    for most in (400, 60):
+        monkeypatch.setattr(decontaminate, "MAX_TEST_BYTES", most)
+        assert len(list(decontaminate._test_blocks(bench, "item_id", "text"))) > 1
+        assert clean() == one
+
+
 def test_proximity():
     tests = decontaminate.compile_tests([("x", "red green blue")], 3)
     block = next(B.blocks(pa.array(["red very green blue", "blue green red", "red a b c green blue", "red green blue"])))
