@@ -23,8 +23,10 @@ the metric in three steps, none of which loses a link:
 
 Words are lower-cased runs of ``[^\\x20\\x09-\\x0D]``; a document of fewer than n words has its whole
 sequence as one n-gram.  Null, empty and blank documents have no set and link with nothing.  Sets are
-compared by 64-bit n-gram hashes, and told apart by a 64-bit hash of the set.  Repeated ids count as
-documents of their own in counts; empty tables give empty results; other columns are ignored.
+compared by 64-bit n-gram hashes, and told apart by a 64-bit hash of the set.  Every row is a document
+of its own, also where ids repeat or are null: the join runs on keys of sets and 64-bit hashes of rows,
+never on ids.  A component is named by its smallest id, null if it has none but null ones.  Empty tables
+give empty results; other columns are ignored by ``similar`` and handed on by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,13 +126,13 @@ def cells(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, gram: int) -> DataFrame:
-    """(id, n_shingles, key): key is null for documents without words."""
+    """(id, row, n_shingles, key): key is null for documents without words."""
 
     def measure(block: B.Block) -> dict:
         sets = shingle_sets(block, gram)
         return {"n_shingles": [len(s) for s in sets], "key": [set_key(s) if len(s) else None for s in sets]}
 
-    return _map.measured(docs, "id", "text", "n_shingles long, key long", measure)
+    return _map.measured(docs, "id", "text", "n_shingles long, key long", measure, also=("row",))
 
 
 def _cell_messages(docs: DataFrame, n: int, gram: int, percent: int) -> DataFrame:
@@ -236,7 +238,7 @@ def _split(members: DataFrame, big: DataFrame, percent: int) -> DataFrame:
                 for q, x in enumerate(d):
                     if x <= d[home] + 2 * r + 1e-9:
                         region = _child(row["region"], q)
-                        out.append((region, row["node"], row["copies"], row["rep"], row["set"], row["homes"] + [home], row["at"] + [q]))
+                        out.append((region, row["node"], row["copies"], row["set"], row["homes"] + [home], row["at"] + [q]))
             yield _members(out)
 
     return joined.mapInArrow(run, MEMBERS)
@@ -257,13 +259,13 @@ def _blocked(members: DataFrame, big: DataFrame, limit: int) -> DataFrame:
                     # A negative home marks a level of blocks.
                     pair = min(home, other) * _BLOCKS + max(home, other)
                     region = _child(row["region"], pair)
-                    out.append((region, row["node"], row["copies"], row["rep"], row["set"], row["homes"] + [-1 - home], row["at"] + [pair]))
+                    out.append((region, row["node"], row["copies"], row["set"], row["homes"] + [-1 - home], row["at"] + [pair]))
                 yield _members(out)
 
     return chosen.mapInArrow(run, MEMBERS)
 
 
-MEMBERS = "region long, node long, copies long, rep long, set binary, homes array<int>, at array<int>"
+MEMBERS = "region long, node long, copies long, set binary, homes array<int>, at array<int>"
 
 
 def _child(region: int, q: int) -> int:
@@ -272,8 +274,8 @@ def _child(region: int, q: int) -> int:
 
 
 def _members(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    names = ["region", "node", "copies", "rep", "set", "homes", "at"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = ["region", "node", "copies", "set", "homes", "at"]
     cols = list(zip(*rows)) if rows else [[] for _ in kinds]
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
 
@@ -309,7 +311,6 @@ def _verify(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         node = table["node"].to_numpy()
         copies = table["copies"].to_numpy()
-        rep = table["rep"].to_numpy()
         sets = [np.frombuffer(b.as_py(), B.U64) for b in table["set"]]
         homes = table["homes"].to_pylist()
         at = table["at"][0].as_py()
@@ -334,7 +335,7 @@ def _verify(percent: int):
             np.add.at(more, j, copies[i])
             x.append(np.full(len(j), i))
             y.append(j)
-        root = rep.copy()
+        root = node.copy()
         if x:
             x, y = np.concatenate(x), np.concatenate(y)
             while True:
@@ -345,7 +346,7 @@ def _verify(percent: int):
                 if np.array_equal(before, root):
                     break
         keep = more > 0
-        return pa.table([pa.array(node[keep]), pa.array(more[keep]), pa.array(rep[keep]), pa.array(root[keep])], names=["node", "more", "rep", "root"])
+        return pa.table([pa.array(node[keep]), pa.array(more[keep]), pa.array(root[keep])], names=["node", "more", "root"])
 
     return run
 
@@ -354,27 +355,43 @@ def similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT, limit: int = LIMIT
 ) -> DataFrame:
     """One row per document: size of its set, number of other documents linked directly, component."""
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = _grouped(docs.withColumn("row", F.xxhash64("id", "text")), gram, percent, limit)
+    return out.select(
+        F.col("id").alias(id_col),
+        "n_shingles",
+        F.when(F.col("key").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("more", F.lit(0))).cast("long").alias("n_similar"),
+        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component_id"),
+    )
+
+
+def _grouped(docs: DataFrame, gram: int, percent: int, limit: int) -> DataFrame:
+    """(id, row, n_shingles, key, copies, more, least) of documents (id, text, row).
+
+    ``row`` is a hash of the row, ``copies`` counts the rows of its set, ``more`` those of linked sets;
+    ``least`` holds id and row of the component's first row: by id, null ones last, then by hash.
+    """
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
     ensure_checkpoint_dir(docs)
     n = X.parts(docs)
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sets = _sets(docs, gram).checkpoint()
-    nodes = sets.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
+    nodes = sets.where("key is not null").groupBy("key").agg(first.alias("least"), F.count("*").alias("copies"))
     found = components(_edges(_cell_messages(docs, n, gram, percent), percent))
-    wanted = found.join(nodes, found.node == nodes.key).select("node", "rep", "copies", F.col("root").alias("region"))
+    wanted = found.join(nodes, found.node == nodes.key).select("node", F.col("least.row").alias("place"), "copies", F.col("root").alias("region"))
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in B.blocks(batch.column(4)):
+            for block in B.blocks(batch.column(3)):
                 own = shingle_sets(block, gram)
                 part = batch.slice(block.lo, block.n)
                 empty = pa.array([[]] * block.n, pa.list_(pa.int32()))
-                cols = [part.column(3), part.column(0), part.column(2), part.column(1), pa.array([s.tobytes() for s in own], pa.binary()), empty, empty]
+                cols = [part.column(2), part.column(0), part.column(1), pa.array([s.tobytes() for s in own], pa.binary()), empty, empty]
                 ok = pa.array([set_key(s) == k if len(s) else False for s, k in zip(own, part.column(0).to_pylist())], pa.bool_())
-                yield pa.RecordBatch.from_arrays(cols, names=["region", "node", "copies", "rep", "set", "homes", "at"]).filter(ok)
+                yield pa.RecordBatch.from_arrays(cols, names=["region", "node", "copies", "set", "homes", "at"]).filter(ok)
 
-    members = wanted.join(docs, F.col("rep") == F.col("id")).select("node", "rep", "copies", "region", "text")
+    members = wanted.join(docs, F.col("place") == F.col("row")).select("node", "copies", "region", "text")
     members = members.mapInArrow(with_sets, MEMBERS).dropDuplicates(["node"])
     members = members.checkpoint()
     split = False
@@ -396,23 +413,35 @@ def similar(
         if last:
             break
     members = members if small is None else members.unionByName(small)
-    results = members.groupBy("region").applyInArrow(_verify(percent), "node long, more long, rep long, root long").checkpoint()
+    results = members.groupBy("region").applyInArrow(_verify(percent), "node long, more long, root long").checkpoint()
     if split:
-        joined = components(results.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-        per_node = results.groupBy("node", "rep").agg(F.sum("more").alias("more"))
-        results = per_node.join(joined, per_node.rep == joined.node.alias("x"), "left").select(per_node.node, "more", "rep", F.coalesce("root", "rep").alias("root"))
-    info = nodes.join(results.select(F.col("node").alias("key"), "more", "root"), "key", "left")
-    out = sets.join(info, "key", "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        F.when(F.col("key").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("more", F.lit(0))).cast("long").alias("n_similar"),
-        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.least("rep", F.coalesce("root", "rep"))).alias("component_id"),
-    )
+        joined = components(results.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        per_node = results.groupBy("node").agg(F.sum("more").alias("more"))
+        results = per_node.join(joined, "node", "left").select("node", "more", F.coalesce("root", "node").alias("root"))
+    results = results.withColumnRenamed("node", "key")
+    roots = nodes.join(results, "key").groupBy("root").agg(F.min("least").alias("least_of_all"))
+    results = results.join(roots, "root").select("key", "more", "least_of_all")
+    info = nodes.join(results, "key", "left").select("key", "copies", "more", F.coalesce("least_of_all", "least").alias("least"))
+    return sets.join(info, "key", "left")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all columns."""
-    groups = similar(docs, id_col, text_col, gram, percent)
-    gone = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone_"))
-    return docs.join(gone, docs[id_col] == F.col("gone_"), "left_anti")
+    """Exactly one row of every component, with all columns: the one with the smallest id.
+
+    Null ids come last; of several rows with that id the one with the smallest hash over its columns
+    stays, of equal rows any.  Rows without words have no component and all stay.
+    """
+    columns, row, rank = docs.columns, "row", "rank"
+    while {row, rank} & set(columns):
+        row, rank = row + "_", rank + "_"
+    # Maps have no hash; rows that differ in them alone count as equal.
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    keyed = docs.withColumn(row, F.xxhash64(*hashed, *[c.isNull() for c in hashed]))
+    slim = keyed.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(row).alias("row"))
+    groups = _grouped(slim, gram, percent, LIMIT)
+    gone = groups.where(F.col("key").isNotNull() & (F.col("row") != F.col("least.row"))).select(F.col("row").alias("gone_")).distinct()
+    left = keyed.join(gone, keyed[row] == F.col("gone_"), "left_anti")
+    # Equal rows of the first one: the exchange of the join serves the ranking too.
+    ranked = left.withColumn(rank, F.row_number().over(Window.partitionBy(row).orderBy(row)))
+    wordless = ~F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return ranked.where((F.col(rank) == 1) | wordless).select(*[F.col(f"`{c}`") for c in columns])

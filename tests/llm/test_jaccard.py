@@ -92,6 +92,31 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in brute(rows).items() if x[2] == i)
 
 
+NEAR = " ".join(f"n{i}" for i in range(60))
+OTHER = " ".join(f"o{i}" for i in range(60))
+
+
+def test_keep_one_goes_by_row(spark):
+    """Repeated ids, repeated rows and null ids: exactly one row of each component stays."""
+    rows = [(3, NEAR, "a"), (5, NEAR + " x", "b"), (5, OTHER, "c"), (7, "k l m n o p", "d"), (7, "k l m n o p", "d"), (7, "k l m n o p", "e"),
+            (None, "q r s t u v w", "f"), (None, "Q r s t u v w", "g"), (None, OTHER + " y", "h"), (9, None, "i"), (9, None, "i"), (None, " ", "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(x[2][0].replace("e", "d").replace("g", "f") for x in got) == ["a", "c", "d", "f", "i", "i", "j"]
+    assert set(got) <= set(rows)
+
+
+@pytest.mark.parametrize("limit", [1024, 2])
+def test_null_and_repeated_ids_link(spark, limit):
+    rows = [(None, NEAR), (None, NEAR + " x"), (4, NEAR + " y"), (5, OTHER), (5, "k l m n o p"), (6, "K l m n o p"), (8, OTHER + " z"), (None, "u v w"), (None, "U v w")]
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), limit=limit).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3] or 0)
+    want = [(None, 56, 2, 4), (None, 57, 2, 4), (4, 57, 2, 4), (5, 56, 1, 5), (5, 2, 1, 5), (6, 2, 1, 5), (8, 57, 1, 5), (None, 1, 1, None), (None, 1, 1, None)]
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
+
+
 def test_cells_never_lose_a_link():
     """Sets that link share a cell, for many sizes and distances."""
     rng = np.random.default_rng(4)
