@@ -7,8 +7,9 @@ unigram (c(w) + 1) / (N + V + 1).  A text is traversed once from left to right:
 from the state reached, by its arc or over failure arcs, and adds its log10 probability.
 
 The automaton is never in one place.  Each chunk of texts asks for the counts of just those n-grams
-that its texts contain (``_exchange``), that is, for its part of the automaton, and traverses its
-texts with it.  All counts cover the whole training corpus.
+that its texts contain (``_exchange``).  With them it evaluates the automaton's closed form, the
+formulas above, at all tokens at once; ``Automaton`` walks states and failure arcs of a small corpus
+and is what tests hold the scores against.  All counts cover the whole training corpus.
 
 Tokens: lower-cased words between white space, then one end mark; the end mark also is the history
 of a text's first token.  Defined results: null and empty texts are the end mark alone; a null id
