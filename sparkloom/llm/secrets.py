@@ -6,8 +6,8 @@ six characters or more), ``access`` (AKIA and at least 16 more upper-case letter
 characters of one of the classes in ``CLASSES`` are candidates; a window slides over each, its
 symbol counts change by one in and one out at every step, and so does the sum of c * log2(c) from
 which the Shannon entropy follows.  A candidate whose best window reaches its class's limit is a
-finding unless the allow-list knows it (identifiers, paths, plain words, sample values) or it
-overlaps a base finding.
+finding unless the allow-list knows it (identifiers, paths, plain words, sample values).  Where base
+findings overlap a run, the parts between them of 20 or more characters are candidates instead.
 
 Offsets are code points, ends exclusive.  Null and empty texts have no findings; repeated rows are
 scanned one by one; empty tables give empty results; other columns are ignored by ``find_secrets``
@@ -127,12 +127,17 @@ def findings(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     s, e = _long_runs(block.data, _TOKEN, block.offsets, 20)
     for a, b in zip(s.tolist(), e.tolist()):
         k = int(np.searchsorted(be, a, "right"))
-        if k < len(bs) and bs[k] < b:
-            continue  # a base finding holds it
-        if raw is None:
-            raw = block.data.tobytes()
-        if _suspicious(raw[a:b]):
-            spans.append((a, b, 3))
+        # Base findings hold parts of it; the others are candidates if they are long enough.
+        while a < b:
+            stop = min(int(bs[k]), b) if k < len(bs) else b
+            if stop - a >= 20:
+                if raw is None:
+                    raw = block.data.tobytes()
+                if _suspicious(raw[a:stop]):
+                    spans.append((a, stop, 3))
+            if stop == b:
+                break
+            a, k = int(be[k]), k + 1
     all_ = np.array(sorted(spans), np.int64).reshape(-1, 3)
     return all_[:, 0], all_[:, 1], all_[:, 2]
 
