@@ -1,15 +1,17 @@
 """License scans: tags, notice phrases and licence expressions.
 
 The lower-cased text is reduced to its words, one blank between them, and an Aho-Corasick automaton
-over all phrases runs once over a block of many texts.  The base phrases count wherever their words
-stand consecutively.  Every ``SPDX-License-Identifier:`` tag is followed by a licence expression of any
-length up to the end of its line or text, which a shunting-yard parser evaluates (``with`` binds closest, then ``and``, then ``or``): its licences
-become labels, and the expression as a whole tells whether the text may be used under permissive
-terms alone.
+over all phrases and identifier tags runs once over a block of many texts.  The base phrases count
+wherever their words stand consecutively.  A tag is one where its words are written
+``SPDX-License-Identifier`` with a colon behind; a licence expression of any length follows, up to the
+end of its line or text, which a shunting-yard parser evaluates (``with`` binds closest, then ``and``,
+then ``or``): its licences become labels, and the expression as a whole tells whether the text may be
+used under permissive terms alone.
 
 Defined results: null and empty texts have no words and no label; a malformed expression gives the
-licences that it names and no verdict; repeated rows are scanned one by one; empty tables give empty
-results; other columns are ignored.
+licences that it names and no verdict; labels are sorted, and one that several phrases or tags give
+counts once; texts are scanned whole, in time linear in their length; repeated rows and rows with null
+or repeated ids give one result each; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,8 +49,17 @@ NOTICES = {
     "permission to use copy modify and or distribute this software for any purpose": "isc",
     "all rights reserved": "all-rights-reserved",
 }
-PERMISSIVE = ("mit", "apache", "bsd", "isc", "unlicense", "cc0", "bsl", "zlib", "cc-by-1", "cc-by-2", "cc-by-3", "cc-by-4", "0bsd")
-_TAG = re.compile(rb"spdx-license-identifier\x20*:", re.I)
+#: Identifiers of licences with permissive terms, in lower case; a ``+`` or a suffix ``-or-later`` changes
+#: nothing.
+PERMISSIVE = frozenset(
+    "0bsd afl-3.0 apache-1.0 apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent "
+    "bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc0-1.0 curl "
+    "ecl-2.0 fsfap ftl hpnd icu isc libpng mit mit-0 mit-modern-variant mulanpsl-2.0 ncsa ofl-1.1 openssl php-3.01 postgresql "
+    "psf-2.0 python-2.0 unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 w3c wtfpl x11 zlib zpl-2.1".split()
+)
+#: The words of an identifier tag, and how it is written.
+TAG = "spdx license identifier"
+_TAG = re.compile(rb"spdx-license-identifier\x20*+:", re.I)
 #: What an expression may reach over: the rest of the line, up to a colon, which no expression holds
 #: (so a line of many tags is read once).
 _REST = re.compile(rb"[^\r\n:]*")
@@ -109,7 +120,8 @@ def permissive(postfix: list) -> bool | None:
     stack: list[bool] = []
     for token in postfix:
         if isinstance(token, tuple):
-            stack.append(token[0].lower().startswith(PERMISSIVE))
+            name = token[0].lower().strip(".-")
+            stack.append(name.removesuffix("+").removesuffix("-or-later") in PERMISSIVE)
             continue
         right, left = stack.pop(), stack.pop()
         stack.append(left if token == "with" else left and right if token == "and" else left or right)
@@ -127,12 +139,23 @@ class _Scanner:
             i = len(self.labels)
             self.labels.append(label)
             self.automaton.add_word(f" {phrase} ", (i, len(phrase) + 2))
+        self.automaton.add_word(f" {TAG} ", (-1, len(TAG) + 2))
         self.automaton.make_automaton()
 
 
 _scanner: list[_Scanner] = []
 
 
+def _tag(raw: bytes, begin: int, stop: int) -> tuple[list[str], bool | None] | None:
+    """(licences, verdict) of the tag whose words begin there; None if it isn't written as one or
+    nothing follows."""
+    m = _TAG.match(raw, begin, stop)
+    if m is None or m.end() >= stop or raw[m.end()] in b"\r\n":
+        return None
+    postfix, names, _ = parse_expression(_REST.match(raw, m.end(), stop).group().decode("utf-8", "replace"))
+    return names, permissive(postfix)
+
+
 def scanned(block: B.Block) -> dict:
     """Columns of ``scan_licenses`` for a block."""
     if not _scanner:
@@ -159,30 +182,28 @@ def scanned(block: B.Block) -> dict:
     last = np.full(n, -1, np.int64)
     base: list[set] = [set() for _ in range(n)] if hits else []
     more: dict[int, set] = {}
+    free = [None] * n
+    tags: dict[int, int] = {}
     if hits:
+        raw = block.data.tobytes()
         at = np.searchsorted(place, [h[0] for h in hits])
         row = np.searchsorted(w.first, at, "right") - 1
-        for word, r, (_, i) in zip((at - w.first[row]).tolist(), row.tolist(), hits):
+        for word, begin, r, (_, i) in zip((at - w.first[row]).tolist(), w.start[at].tolist(), row.tolist(), hits):
+            if i < 0:
+                found = _tag(raw, begin, int(block.offsets[r + 1]))
+                if found is not None:
+                    names, verdict = found
+                    more.setdefault(r, set()).update(f"spdx:{x}" for x in names if x)
+                    tags[r] = tags.get(r, 0) + 1
+                    if verdict is not None:
+                        free[r] = verdict if free[r] is None else free[r] and verdict
+                continue
             more.setdefault(r, set()).add(scanner.labels[i])
             if i < len(BASE):
                 n_base[r] += 1
                 base[r].add(scanner.labels[i])
                 first[r] = word if first[r] < 0 else min(first[r], word)
                 last[r] = max(last[r], word)
-    free = [None] * n
-    raw = block.data.tobytes()
-    tags: dict[int, int] = {}
-    for m in _TAG.finditer(raw):
-        r = int(np.searchsorted(block.offsets, m.start(), "right")) - 1
-        stop = int(block.offsets[r + 1])
-        if m.end() >= stop or raw[m.end()] in b"\r\n":
-            continue
-        postfix, names, _ = parse_expression(_REST.match(raw, m.end(), stop).group().decode("utf-8", "replace"))
-        more.setdefault(r, set()).update(f"spdx:{x}" for x in names if x)
-        tags[r] = tags.get(r, 0) + 1
-        verdict = permissive(postfix)
-        if verdict is not None:
-            free[r] = verdict if free[r] is None else free[r] and verdict
     labels = [""] * n
     score = np.zeros(n)
     for r, own in more.items():
