@@ -8,9 +8,14 @@ points are discounted by the share of its text that is link text.  The best cont
 do siblings with a good share of its points or with paragraphs of their own.  An ``article`` or
 ``main`` element around the best container counts as the container.  Nothing else is dropped.
 
+Every step is linear in the page's length: open elements are looked up by name, end tags are matched in
+one pass, sums go up the tree once, and points reach ``ANCESTORS`` levels.
+
 Defined results: null and empty pages, and pages without text outside cut subtrees, give the empty
-text; unclosed and misnested elements are closed where their parents end; repeated rows are
-extracted one by one; empty tables give empty results; other columns are ignored.
+text; unclosed and misnested elements are closed where their parents end; a cut inline element that is
+never closed isn't cut; of containers with equal points the innermost, then the last counts; pages of
+any length are read whole; repeated rows and rows with null or repeated ids give one result each; empty
+tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,11 @@ from pyspark.sql import DataFrame
 from sparkloom.llm import _blocks as B
 from sparkloom.llm import _map
 
-_TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|!--(?:.*?-->|.*)|[!?][^>]*>)""", re.S)
+#: A tag (an end tag's slash, the name, the attributes), a comment or a declaration.  Where quotes don't
+#: pair, a tag ends at the next ``>``.  No part goes back over what it has read.
+_TAG = re.compile(
+    r"""<(?:(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^<>]*+(?=>))>|!--(?:(?s:.*?)-->|(?s:.*+))|[!?][^>]*+(?:>|$))"""
+)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|type)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s/>]|$)""", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "select", "xmp"}
 _RAW_TO_END = {"script", "style", "textarea", "title", "iframe"}
@@ -78,14 +87,70 @@ def _cut_by_attributes(name: str, attributes: str, in_content: bool) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, and the depths at which names, containers and content elements are open."""
+
+    def __init__(self) -> None:
+        self.stack = [0]
+        self.depths: dict[str, list[int]] = {}
+        self.fences = [-1]
+        self.contents = [-1]
+
+    def push(self, element: int, name: str) -> None:
+        depth = len(self.stack)
+        self.stack.append(element)
+        own = self.depths.get(name)
+        if own is None:
+            own = self.depths[name] = [-1]
+        own.append(depth)
+        if name in _FENCE:
+            self.fences.append(depth)
+        if name in _CONTENT:
+            self.contents.append(depth)
+
+    def pop(self, name: str) -> None:
+        self.stack.pop()
+        self.depths[name].pop()
+        if name in _FENCE:
+            self.fences.pop()
+        if name in _CONTENT:
+            self.contents.pop()
+
+    def last(self, name: str) -> int:
+        """Depth of the innermost open element of a name, -1 for none."""
+        own = self.depths.get(name)
+        return own[-1] if own else -1
+
+
+def _ends(page: str) -> dict[int, int]:
+    """Where each inline start tag's element ends: place behind the tag to place behind the end tag.
+
+    Tags of one name pair up like brackets, in one pass over the page.
+    """
+    found: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {}
+    for m in _TAG.finditer(page):
+        name = m.group(2)
+        if name is None:
+            continue
+        own = waiting.setdefault(name.lower(), [])
+        if not m.group(1):
+            own.append(m.end())
+        elif own:
+            found[own.pop()] = m.end()
+    return found
+
+
 def _parse(page: str, by_class: bool) -> _Tree:
     tree = _Tree()
-    stack = [0]
+    open_ = _Open()
+    stack = open_.stack
     text: list[str] = []
     linked = 0
     link = 0
-    content = 0
     at, size = 0, len(page)
+    ends: dict[int, int] | None = None
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -97,11 +162,10 @@ def _parse(page: str, by_class: bool) -> _Tree:
         linked = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal content, link
+        nonlocal link
         flush()
         while len(stack) > depth:
-            if tree.name[stack.pop()] in _CONTENT:
-                content -= 1
+            open_.pop(tree.name[stack[-1]])
         link = 0
 
     while at < size:
@@ -125,15 +189,17 @@ def _parse(page: str, by_class: bool) -> _Tree:
             if name == "a":
                 link = max(0, link - 1)
             elif name in _BLOCKS:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if tree.name[stack[depth]] == name:
-                        pop_to(depth)
-                        break
-                    if name not in _FENCE and tree.name[stack[depth]] in _CONTENT:
-                        break
+                depth = open_.last(name)
+                # An end tag doesn't close an element around the content that it stands in.
+                if depth > 0 and (name in _FENCE or depth >= open_.contents[-1]):
+                    pop_to(depth)
             continue
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+            end = None
+            if name not in endless:
+                end = re.compile(rf"</{re.escape(name)}\b[^<>]*>?", re.I).search(page, at)
+                if end is None:
+                    endless.add(name)
             if end or name in _RAW_TO_END:
                 at = end.end() if end else size
             continue
@@ -145,39 +211,37 @@ def _parse(page: str, by_class: bool) -> _Tree:
             continue
         attributes = m.group(3)
         if name in _BLOCKS:
-            own = _CLOSES.get(name)
-            for depth in range(len(stack) - 1, 0, -1):
-                have = tree.name[stack[depth]]
-                if have == "p" or (own and have in own):
-                    pop_to(depth)
-                    break
-                if have in _FENCE:
-                    break
+            # A paragraph, or an item of the same list or row, ends here unless a container began since.
+            depth = open_.last("p")
+            for other in _CLOSES.get(name, ()):
+                depth = max(depth, open_.last(other))
+            if depth > 0 and depth > open_.fences[-1]:
+                pop_to(depth)
             flush()
             parent = stack[-1]
+            content = open_.contents[-1] > 0
             cut = tree.cut[parent] or name in _CUT_TAGS or (name == "header" and not content)
             if not cut and by_class and attributes.strip():
-                cut = _cut_by_attributes(name, attributes, content > 0)
+                cut = _cut_by_attributes(name, attributes, content)
             tree.parent.append(parent)
             tree.name.append(name)
             tree.cut.append(cut)
-            stack.append(len(tree.name) - 1)
-            content += name in _CONTENT
+            open_.push(len(tree.name) - 1, name)
         elif name == "a":
             link += 1
-        elif by_class and attributes.strip() and not tree.cut[stack[-1]] and _cut_by_attributes(name, attributes, content > 0):
+        elif by_class and attributes.strip() and not tree.cut[stack[-1]] and _cut_by_attributes(name, attributes, open_.contents[-1] > 0):
             # Text around a cut inline element stays one block: reading goes on behind its end tag.
-            same = re.compile(rf"<(/?){re.escape(name)}\b[^>]*>", re.I)
-            depth, end = 1, at
-            while depth and (e := same.search(page, end)):
-                depth += -1 if e.group(1) else 1
-                end = e.end()
-            if depth == 0:
-                at = end
+            if ends is None:
+                ends = _ends(page)
+            at = ends.get(at, at)
     flush()
     return tree
 
 
+#: Levels above a paragraph that get points from it.
+ANCESTORS = 8
+
+
 def _select(tree: _Tree) -> list[str]:
     """The kept blocks in page order."""
     blocks = [(e, " ".join(t.split()), k) for e, t, k in tree.blocks if not tree.cut[e]]
@@ -186,24 +250,22 @@ def _select(tree: _Tree) -> list[str]:
         return []
     n = len(tree.name)
     points, length, links = [0.0] * n, [0] * n, [0] * n
-    menu = [0] * n
     for e, t, k in blocks:
-        a = e
-        while a >= 0:
-            length[a] += len(t)
-            links[a] += min(k, len(t))
-            a = tree.parent[a]
-        menu[e] += k > 0.8 * len(t)
+        length[e] += len(t)
+        links[e] += min(k, len(t))
         if len(t) < 25 or k > 0.5 * len(t):
             continue
         own = 1 + t.count(",") + t.count("、") + t.count("，") + min(len(t) // 100, 3)
         a, share = (tree.parent[e] if tree.name[e] in ("p", "h1", "h2", "h3", "li", "pre", "td") else e), 1.0
-        depth = 0
-        while a >= 0:
+        for depth in range(1, ANCESTORS + 1):
+            if a < 0:
+                break
             points[a] += own * share
-            depth += 1
             share = 0.5 if depth == 1 else 0.5 / (1.5 * depth)
             a = tree.parent[a]
+    for i in range(n - 1, 0, -1):  # parents come before their children
+        length[tree.parent[i]] += length[i]
+        links[tree.parent[i]] += links[i]
     score = [p * (1 - links[i] / length[i]) if length[i] else 0.0 for i, p in enumerate(points)]
     top = max(range(n), key=lambda i: (score[i], i))
     if score[top] <= 0:  # no paragraph is long enough to give points
