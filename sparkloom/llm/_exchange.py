@@ -80,6 +80,27 @@ def unpack(body: bytes | pa.Scalar) -> list[np.ndarray]:
     return out
 
 
+def thin(keys: np.ndarray) -> list[np.ndarray]:
+    """Sorted 64-bit keys as (first key, low and high part of the steps between them): six bytes a key.
+
+    Where a step takes more than 48 bits the keys themselves stand in the first array.
+    """
+    step = np.diff(keys)
+    if len(step) and int(step.max()) >> 48:
+        return [keys, np.zeros(0, np.uint32), np.zeros(0, np.uint16)]
+    return [keys[:1], step.astype(np.uint32), (step >> U64(32)).astype(np.uint16)]
+
+
+def thick(first: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The keys of ``thin``."""
+    if len(first) != 1:
+        return first
+    out = np.empty(len(low) + 1, U64)
+    out[0] = first[0]
+    out[1:] = (high.astype(U64) << U64(32)) | low
+    return np.cumsum(out, dtype=U64)
+
+
 def slices(keys: np.ndarray, n: int) -> np.ndarray:
     """n + 1 offsets of the key ranges in sorted 64-bit keys: range i has the keys from i / n on."""
     edges = np.array([(i << 64) // n for i in range(n)], U64)

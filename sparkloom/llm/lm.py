@@ -1,26 +1,30 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model's states are the n-gram histories seen in training.  A state has an arc for every token
-that followed it, with the smoothed probability, and a failure arc to its shortened history, with
-the weight mu / (c(h) + mu): p(w | h) = (c(hw) + mu p(w | h')) / (c(h) + mu), ending at the add-one
-unigram (c(w) + 1) / (N + V + 1).  A text is traversed once from left to right: every token moves on
-from the state reached, by its arc or over failure arcs, and adds its log10 probability.
+States are n-gram histories seen in training: the empty one, all single tokens, and longer ones that
+occur at least ``STATE`` times.  A state h has an arc for every token w that followed it, which carries
+log10 p(w | h) = log10((c(hw) + mu p(w | h')) / (c(h) + mu)) for the shortened history h' and leads to
+the longest state that ends hw; and a failure arc to h' with the weight log10(mu / (c(h) + mu)).  The
+empty state's arcs carry the add-one unigram (c(w) + 1) / (N + V + 1); a token never seen leaves it with
+1 / (N + V + 1), back into it.  A text is traversed once from left to right: the state carried so far is
+left by the token's arc, or over failure arcs first, and the weights met are added up.
 
 The automaton is never in one place.  Each chunk of texts asks for the counts of just those n-grams
-that its texts contain (``_exchange``).  With them it evaluates the automaton's closed form, the
-formulas above, at all tokens at once; ``Automaton`` walks states and failure arcs of a small corpus
-and is what tests hold the scores against.  All counts cover the whole training corpus.
+that its texts contain (``_exchange``), for longer ones only where their history is a state, so one
+round of questions follows the other.  From the answers it builds the part of the automaton that its
+texts can reach, as arrays of states, failure arcs and a hash table of arcs, and traverses all its texts
+with it, many at a time: texts are cut into runs of ``RUN`` tokens, each led by the tokens that
+determine the state in which it begins.  All counts cover the whole training corpus.
 
 Tokens: lower-cased words between white space, then one end mark; the end mark also is the history
 of a text's first token.  Defined results: null and empty texts are the end mark alone; a null id
-counts as the empty id for the fold; repeated rows count each time; with no training rows N = V = 0
+counts as the empty id for the fold; rows with repeated or null ids, and equal rows, count each time and
+are scored one by one; texts are scored whole, whatever their length; with no training rows N = V = 0
 and the score follows from the formulas; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -31,62 +35,19 @@ from pyspark.sql import types as T
 from sparkloom.llm import _blocks as B
 from sparkloom.llm import _exchange as X
 
-@dataclass
-class Automaton:
-    """The backoff automaton of a small corpus, as a whole: what the chunks use in parts.
-
-    States are histories; ``arcs`` give log10 probabilities of seen tokens, ``failure`` the shortened
-    history and the log10 weight of going there.  Unknown tokens leave the empty state by its own
-    failure arc, back into it, with the probability of one unseen token.
-    """
-
-    arcs: dict[tuple, dict]
-    failure: dict[tuple, tuple[tuple, float]]
-    end: object
-    order: int
-
-    @classmethod
-    def train(cls, texts: list[list], order: int = 2, mu: float = 500.0, end: object = None) -> Automaton:
-        """From lists of tokens."""
-        counts: list[dict[tuple, int]] = [{} for _ in range(order + 1)]
-        for tokens in texts:
-            row = (end, *tokens, end)
-            for k in range(1, order + 1):
-                for i in range(max(k - 1, 1), len(row)):
-                    gram = row[i - k + 1 : i + 1]
-                    counts[k][gram] = counts[k].get(gram, 0) + 1
-        total, distinct = sum(counts[1].values()), len(counts[1])
-        arcs: dict[tuple, dict] = {(): {g[0]: (c + 1) / (total + distinct + 1) for g, c in counts[1].items()}}
-        failure = {(): ((), log10(1 / (total + distinct + 1)))}
-        for k in range(2, order + 1):
-            for gram, c in counts[k].items():
-                h = gram[:-1]
-                seen = counts[k - 1][h]
-                arcs.setdefault(h, {})[gram[-1]] = (c + mu * arcs[h[1:]][gram[-1]]) / (seen + mu)
-                failure[h] = (h[1:], log10(mu / (seen + mu)))
-        return cls({h: {w: log10(p) for w, p in own.items()} for h, own in arcs.items()}, failure, end, order)
-
-    def score(self, tokens: list) -> float:
-        """Log10 probability of a text, in one traversal."""
-        state: tuple = (self.end,) if self.order > 1 and (self.end,) in self.arcs else ()
-        total = 0.0
-        for token in [*tokens, self.end]:
-            while token not in self.arcs[state]:
-                shorter, weight = self.failure[state]
-                total += weight
-                if not state:
-                    break
-                state = shorter
-            total += self.arcs[state].get(token, 0.0)
-            state = (*state, token)[-(self.order - 1) :] if self.order > 1 else ()
-            while state not in self.arcs:
-                state = state[1:]
-        return total
+END = B.U64(B.mix_int(0x656E64))
+ORDER = 3
+#: Weight of the shorter history, for histories of one token, two tokens and so on (the last one repeats).
+MU = (500.0, 20.0)
+#: Histories of two and more tokens are states if they occur so often.
+STATE = 2
+#: Tokens that one run of the traversal scores.
+RUN = 64
 
 
-END = B.U64(B.mix_int(0x656E64))
-ORDER = 2
-MU = 500.0
+def _mu(mu: tuple[float, ...], k: int) -> float:
+    """The weight for n-grams of length k >= 2."""
+    return mu[min(k - 2, len(mu) - 1)]
 
 
 def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -117,94 +78,241 @@ def _grams(tokens: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, n
     return key & ~B.U64(1), last
 
 
+@dataclass
+class _Gram:
+    """The distinct n-grams of one length in a chunk, by key."""
+
+    key: np.ndarray
+    last: np.ndarray  # token index at which one of its places ends
+    at: np.ndarray  # number of the n-gram that ends at each token, -1 for none
+    training: np.ndarray  # how often each occurs in the chunk's training texts
+
+
+def _distinct(tokens: np.ndarray, first: np.ndarray, seen: np.ndarray, k: int) -> _Gram:
+    key, last = _grams(tokens, first, k)
+    order = np.argsort(key)
+    key, last = key[order], last[order]
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    number = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
+    at = np.full(len(tokens), -1)
+    at[last] = number
+    return _Gram(key[new], last[new], at, np.bincount(number[seen[last]], minlength=len(new)))
+
+
+def _seen(table: pa.Table, first: np.ndarray) -> np.ndarray:
+    """Whether each token belongs to a training text."""
+    training = ~table["held"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+    return np.repeat(training, np.diff(first))
+
+
+def _wanted(g: _Gram, shorter: _Gram, coded: np.ndarray) -> np.ndarray:
+    """Which n-grams are asked about: their history is a state, and other chunks have both their history
+    and their end (else the chunk has all their places itself)."""
+    history, end = coded[shorter.at[g.last - 1]], coded[shorter.at[g.last]]
+    return (history >> 1 >= STATE) & (history & end & 1 > 0)
+
+
+def _known(g: _Gram, shorter: _Gram, coded: np.ndarray, answer: np.ndarray) -> np.ndarray:
+    """Answers for all n-grams whose history is a state; zero for the others."""
+    wanted = _wanted(g, shorter, coded)
+    out = np.where(coded[shorter.at[g.last - 1]] >> 1 >= STATE, 2 * g.training, 0)
+    out[wanted] = answer
+    return out
+
+
 def _question(n: int, order: int):
+    """The first round: n-grams of one and two tokens."""
+
     def run(chunk: int, table: pa.Table) -> X.Rows:
         tokens, first = _tokens(table)
-        seen = ~table["held"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
-        seen = np.repeat(seen, np.diff(first))
+        seen = _seen(table, first)
         arrays: list[list[np.ndarray]] = [[] for _ in range(n)]
-        for k in range(1, order + 1):
-            key, last = _grams(tokens, first, k)
-            key |= seen[last].astype(B.U64)
-            key.sort()
-            even = key & ~B.U64(1)
-            new = np.flatnonzero(np.concatenate(([True], even[1:] != even[:-1]))) if len(key) else np.zeros(0, np.int64)
-            count = np.add.reduceat((key & B.U64(1)).astype(np.int64), new) if len(new) else new
-            even = even[new]
-            cut = X.slices(even, n)
+        for k in range(1, min(order, 2) + 1):
+            g = _distinct(tokens, first, seen, k)
+            cut = X.slices(g.key, n)
             for d in range(n):
-                arrays[d] += [even[cut[d] : cut[d + 1]], _small(count[cut[d] : cut[d + 1]])]
+                arrays[d] += [*X.thin(g.key[cut[d] : cut[d + 1]]), _small(g.training[cut[d] : cut[d + 1]])]
         return [(d, chunk, 0, X.pack(*a)) for d, a in enumerate(arrays)]
 
     return run
 
 
+def _further(n: int, k: int):
+    """A further round: n-grams of k tokens, given the counts of shorter ones."""
+
+    def run(chunk: int, table: pa.Table, answers: pa.Table) -> X.Rows:
+        tokens, first = _tokens(table)
+        seen = _seen(table, first)
+        grams, coded, totals = _counted(tokens, first, seen, answers, k - 1)
+        g = _distinct(tokens, first, seen, k)
+        wanted = _wanted(g, grams[-1], coded[-1])
+        key, training = g.key[wanted], g.training[wanted]
+        cut = X.slices(key, n)
+        rows = [(d, chunk, 0, X.pack(*X.thin(key[cut[d] : cut[d + 1]]), _small(training[cut[d] : cut[d + 1]]))) for d in range(n)]
+        return [*rows, (chunk, chunk, 1, X.pack(totals, *[_small(c) for c in coded]))]
+
+    return run
+
+
+def _counted(tokens: np.ndarray, first: np.ndarray, seen: np.ndarray, answers: pa.Table, order: int) -> tuple[list[_Gram], list[np.ndarray], np.ndarray]:
+    """The chunk's n-grams of every length up to ``order``, the answers about them (twice the count, plus
+    one if other chunks have the n-gram too), and (N, V)."""
+    got, before = X.collect(answers), X.collect(answers, 1)
+    grams = [_distinct(tokens, first, seen, k) for k in range(1, order + 1)]
+    if before:
+        totals, *coded = (a.astype(np.int64) for a in before[0])
+        coded.append(_known(grams[-1], grams[-2], coded[-1], np.concatenate([a[1].astype(np.int64) for a in got])))
+    else:
+        totals = sum(a[0] for a in got)
+        coded = [np.concatenate([a[k].astype(np.int64) for a in got]) for k in range(1, order + 1)]
+    return grams, coded, totals
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     """Counts in the narrowest unsigned type that holds them."""
     top = int(x.max()) if len(x) else 0
     return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _respond(order: int):
-    def run(asked: list[list[np.ndarray]]) -> list[tuple]:
-        out: list[list[np.ndarray]] = [[] for _ in asked]
-        totals = np.zeros(2, np.int64)
-        for k in range(order):
-            keys = np.concatenate([a[2 * k] for a in asked])
-            counts = np.concatenate([a[2 * k + 1].astype(np.int64) for a in asked])
-            at = np.argsort(keys, kind="stable")
-            keys = keys[at]
-            new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-            total = np.add.reduceat(counts[at], new) if len(new) else new
-            if k == 0:
-                totals = np.array([total.sum(), (total > 0).sum()], np.int64)
-            full = np.empty(len(keys), np.int64)
-            full[at] = np.repeat(total, np.diff(np.append(new, len(keys))))
-            ends = np.cumsum([len(a[2 * k]) for a in asked])
-            for i, part in enumerate(np.split(full, ends[:-1])):
-                out[i].append(_small(part))
-        return [(totals, *o) for o in out]
+def _respond(asked: list[list[np.ndarray]]) -> list[tuple]:
+    """Answers about every message's keys (see ``_counted``), and (N, V) of the range's keys of the first
+    length."""
+    out: list[list[np.ndarray]] = [[] for _ in asked]
+    totals = np.zeros(2, np.int64)
+    for k in range(0, len(asked[0]), 4):
+        parts = [X.thick(*a[k : k + 3]) for a in asked]
+        keys = np.concatenate(parts)
+        counts = np.concatenate([a[k + 3].astype(np.int64) for a in asked])
+        at = np.argsort(keys, kind="stable")
+        keys = keys[at]
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        total = np.add.reduceat(counts[at], new) if len(new) else new
+        if k == 0:
+            totals = np.array([total.sum(), (total > 0).sum()], np.int64)
+        full = np.empty(len(keys), np.int64)
+        size = np.diff(np.append(new, len(keys)))  # a key comes once a message
+        full[at] = np.repeat(2 * total + (size > 1), size)
+        ends = np.cumsum([len(p) for p in parts])
+        for i, part in enumerate(np.split(full, ends[:-1])):
+            out[i].append(_small(part))
+    return [(totals, *o) for o in out]
 
-    return run
 
+@dataclass
+class Automaton:
+    """States by number (0 is the empty history), their failure arcs, and a hash table of arcs."""
+
+    failure: np.ndarray
+    weight: np.ndarray  # log10 weight of each failure arc
+    table: B.HashTable  # (state, token) to arc
+    score: np.ndarray  # log10 probability of each arc
+    target: np.ndarray
+    unknown: float
+    begin: int  # the state in front of a text
 
-def _final(order: int, mu: float, id_col: str, id_type: pa.DataType):
+    @staticmethod
+    def arc_key(state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        return B.mix(token ^ B.mix(state.astype(B.U64) + B.U64(1)))
+
+    @classmethod
+    def build(cls, tokens: np.ndarray, grams: list[_Gram], counts: list[np.ndarray], totals: np.ndarray, mu: tuple[float, ...]) -> Automaton:
+        """The part of the automaton that texts of these n-grams can reach."""
+        order, size = len(grams), 1
+        whole = float(totals[0] + totals[1] + 1)
+        state, chance, target = [], [], []
+        failure, weight = [np.zeros(1, np.int64)], [np.zeros(1)]
+        keys, scores, targets = [], [], []
+        for k, (g, c) in enumerate(zip(grams, counts), 1):
+            end = grams[k - 2].at[g.last] if k > 1 else None
+            own = np.full(len(c), -1)
+            if k < order:
+                # Nothing follows a final end mark.
+                is_state = (c >= STATE) & (tokens[g.last] != END) if k > 1 else c > 0
+                own[is_state] = size + np.arange(int(is_state.sum()))
+                size += int(is_state.sum())
+                failure.append(np.zeros(int(is_state.sum()), np.int64) if k == 1 else state[-1][end[is_state]])
+                m = _mu(mu, k + 1)
+                weight.append(np.log10(m / (c[is_state] + m)))
+            if k == 1:
+                p, source, leads = (c + 1) / whole, np.zeros(len(c), np.int64), np.where(own >= 0, own, 0)
+            else:
+                before = grams[k - 2].at[g.last - 1]
+                # The end mark in front of a text is no n-gram of one token there, but the same state.
+                before = np.where(before < 0, grams[0].at[_an_end(tokens)], before) if k == 2 else before
+                m = _mu(mu, k)
+                p = (c + m * chance[-1][end]) / (counts[k - 2][before] + m)
+                source = state[-1][before]
+                leads = np.where(own >= 0, own, target[-1][end])
+            arc = (c > 0) & (source >= 0)
+            keys.append(cls.arc_key(source[arc], tokens[g.last[arc]]))
+            scores.append(np.log10(p[arc]))
+            targets.append(leads[arc])
+            state.append(own), chance.append(p), target.append(leads)
+        begin = int(max(state[0][grams[0].at[_an_end(tokens)]], 0)) if order > 1 and len(tokens) else 0
+        return cls(np.concatenate(failure), np.concatenate(weight), B.HashTable(np.concatenate(keys)), np.concatenate(scores), np.concatenate(targets), -float(np.log10(whole)), begin)
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, log10 weight met) of each state and token: failure arcs, then an arc."""
+        state, total = state.copy(), np.zeros(len(state))
+        left = np.arange(len(state))
+        while len(left):
+            now = state[left]
+            arc = self.table.find(self.arc_key(now, token[left]))
+            found = arc >= 0
+            at = left[found]
+            total[at] += self.score[arc[found]]
+            state[at] = self.target[arc[found]]
+            stuck = ~found & (now == 0)
+            total[left[stuck]] += self.unknown
+            go = ~found & (now != 0)
+            left = left[go]
+            total[left] += self.weight[now[go]]
+            state[left] = self.failure[now[go]]
+        return state, total
+
+    def traverse(self, tokens: np.ndarray, first: np.ndarray, order: int, run: int = RUN) -> np.ndarray:
+        """Log10 probability of every text; a text's first token is the end mark in front."""
+        length = np.diff(first) - 1  # tokens to score, one at least
+        per = -(-length // run)
+        row = np.repeat(np.arange(len(length)), per)
+        number = B.ranges(np.zeros(len(per), np.int64), per)
+        begin = first[row] + 1 + number * run
+        end = np.minimum(begin + run, first[row + 1])
+        lead = np.where(number > 0, order - 1, 0)
+        at = begin - lead
+        state = np.where(number > 0, 0, self.begin)
+        by = np.argsort(at - end, kind="stable")  # the longest first: live runs are a prefix
+        row, begin, end, at, state = row[by], begin[by], end[by], at[by], state[by]
+        size = end - at
+        total = np.zeros(len(row))
+        for j in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -j, "left"))
+            place = at[:live] + j
+            state[:live], met = self.step(state[:live], tokens[place])
+            total[:live] += np.where(place >= begin[:live], met, 0.0)
+        return np.bincount(row, weights=total, minlength=len(length))
+
+
+def _an_end(tokens: np.ndarray) -> int:
+    """Place of a final end mark: the chunk's last token."""
+    return len(tokens) - 1
+
+
+def _final(order: int, mu: tuple[float, ...], id_col: str, id_type: pa.DataType):
     def run(chunk: int, table: pa.Table, answers: pa.Table) -> pa.Table:
-        got = X.collect(answers)
         tokens, first = _tokens(table)
-        total, distinct = (int(sum(int(a[0][i]) for a in got)) for i in (0, 1))
-        # The state after each token: its history's counts, from the longest gram down.
-        per_gram, known = [], None
-        for k in range(1, order + 1):
-            key, last = _grams(tokens, first, k)
-            counts = np.concatenate([a[k].astype(np.int64) for a in got])
-            at = np.argsort(key)
-            sorted_key = key[at]
-            number = np.cumsum(np.concatenate(([False], sorted_key[1:] != sorted_key[:-1]))) if len(key) else np.zeros(0, np.int64)
-            own = np.zeros(len(tokens), np.int64)
-            own[last[at]] = counts[number]
-            per_gram.append(own)
-        uni = per_gram[0]
+        grams, coded, totals = _counted(tokens, first, _seen(table, first), answers, order)
+        counts = [c >> 1 for c in coded]
         body = np.ones(len(tokens), bool)
         body[first[:-1]] = False
-        p = (uni + 1.0) / (total + distinct + 1.0)
-        base = np.where(body, np.log10(p), 0.0)
-        texts = int(uni[first[1:] - 1].max()) if len(first) > 1 else 0
-        history = uni.copy()
-        history[first[:-1]] = texts  # a leading end mark is as frequent as a final one
-        for k in range(2, order + 1):
-            arc = per_gram[k - 1]
-            state = np.zeros(len(tokens), np.int64)
-            state[1:] = history[:-1]
-            usable = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first)) >= k - 1
-            p = np.where(usable, (arc + mu * p) / (state + mu), p)
-            history = per_gram[k - 1]
-        score = np.where(body, np.log10(p), 0.0)
+        uni = np.where(body, counts[0][grams[0].at], 0)
+        base = np.where(body, np.log10((uni + 1.0) / float(totals.sum() + 1)), 0.0)
+        automaton = Automaton.build(tokens, grams, counts, totals, mu)
         rows = len(first) - 1
         columns = [
             table["id"].combine_chunks().cast(id_type), table["held"].combine_chunks(), pa.array(np.diff(first) - 1),
-            pa.array(B.sums(body & (uni > 0), first)), pa.array(np.full(rows, total)),
-            pa.array(_row_sums(base, first)), pa.array(_row_sums(score, first)),
+            pa.array(B.sums(body & (uni > 0), first)), pa.array(np.full(rows, int(totals[0]))),
+            pa.array(_row_sums(base, first)), pa.array(automaton.traverse(tokens, first, order)),
         ]
         return pa.table(columns, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -221,13 +329,15 @@ def held_out(id_col: str, folds: int = 7, fold: int = 2):
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mu: float = MU) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mu: tuple[float, ...] = MU) -> DataFrame:
     """One row per document: fold, tokens, known tokens, training tokens, unigram and model score."""
     from sparkloom.llm._map import arrow_type
 
     n = X.parts(docs)
     chunks = X.chunked(docs, n, id_col, id=F.col(f"`{id_col}`"), text=F.col(f"`{text_col}`").cast("string"), held=held_out(id_col))
-    answers = X.answer(X.ask(chunks, n, _question(n, order)), n, _respond(order))
+    answers = X.answer(X.ask(chunks, n, _question(n, order)), n, _respond)
+    for k in range(3, order + 1):
+        answers = X.answer(X.ask_again(chunks, answers, n, _further(n, k)), n, _respond)
     id_type = docs.schema[id_col].dataType
     kinds = T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields
     schema = T.StructType([T.StructField(id_col, id_type), *kinds])

@@ -5,8 +5,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from sparkloom.llm import _exchange as X
 from sparkloom.llm import lm, repeats
 
 
@@ -103,49 +106,71 @@ def brute_lm(rows, order, mu):
                 if p >= k - 1:
                     g = tuple(seq[p - k + 1 : p + 1])
                     h = grams[k - 1][g[:-1]]
-                    q = (grams[k][g] + mu * q) / (h + mu)
+                    if h >= (1 if k == 2 else lm.STATE):
+                        m = mu[min(k - 2, len(mu) - 1)]
+                        q = (grams[k][g] + m * q) / (h + m)
             score += math.log10(q)
         out[i] = (held[i], len(ws), sum(grams[1][(w,)] > 0 for w in ws), n, base, score)
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+def lm_rows(seed=2, n=50):
+    rng = random.Random(seed)
+    rows = [(i, "".join(rng.choice(["a ", "B ", "cc\n", "d  ", "É ", "zz ", f"q{rng.randrange(40)} "]) for _ in range(rng.randint(0, 30)))) for i in range(n)]
+    long = "".join(rng.choice(["a ", "b ", "cc ", "once "]) for _ in range(700))
+    return [*rows, (900, None), (901, ""), (902, "only here"), (903, long), (904, long), (905, long + "x")]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_equal_brute_force(spark, order):
-    rng = random.Random(2)
-    rows = [(i, "".join(rng.choice(["a ", "B ", "cc\n", "d  ", "É ", "zz "]) for _ in range(rng.randint(0, 30)))) for i in range(50)]
-    rows += [(900, None), (901, ""), (902, "only here")]
+    rows = lm_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as held", "text as score")
-    want = brute_lm(rows, order, 3.0)
-    got = {r.doc_id: tuple(r)[1:] for r in lm.score_texts(df, order=order, mu=3.0).collect()}
+    want = brute_lm(rows, order, (3.0, 0.5))
+    got = {r.doc_id: tuple(r)[1:] for r in lm.score_texts(df, order=order, mu=(3.0, 0.5)).collect()}
     assert got.keys() == want.keys()
     for i, w in want.items():
         assert got[i][:4] == w[:4]
         assert got[i][4:] == pytest.approx(w[4:], rel=1e-9)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+def built(rows, order, mu):
+    """(automaton, tokens, offsets) of a small corpus in one piece."""
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    table = pa.table({"text": [t for _, t in rows], "held": held})
+    tokens, first = lm._tokens(table)
+    seen = lm._seen(table, first)
+    grams = [lm._distinct(tokens, first, seen, k) for k in range(1, order + 1)]
+    counts = [g.training for g in grams]
+    totals = np.array([counts[0].sum(), (counts[0] > 0).sum()])
+    return lm.Automaton.build(tokens, grams, counts, totals, mu), tokens, first
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_automaton(order):
-    """One traversal with failure arcs gives the model's probability, and probabilities add up."""
-    rng = random.Random(order)
-    rows = [(i, "".join(rng.choice("abcde ") + " " for _ in range(rng.randint(0, 20)))) for i in range(40)]
-    want = brute_lm(rows, order, 2.0)
-    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
-    model = lm.Automaton.train([split(t) for i, t in rows if not want[i][0]], order, 2.0)
-    for i, t in rows:
-        assert model.score(split(t)) == pytest.approx(want[i][5])
-    vocabulary = [*"abcde", None, "never"]
-    for state in model.arcs:
-        total = 0.0
-        for w in vocabulary:
-            at, p = state, 0.0
-            while w not in model.arcs[at]:
-                shorter, weight = model.failure[at]
-                p += weight
-                if not at:
-                    break
-                at = shorter
-            total += 10 ** (p + model.arcs[at].get(w, 0.0))
-        assert total == pytest.approx(1)
+    """The traversal gives the model's probability however texts are cut into runs, and what leaves a
+    state adds up to one."""
+    rows = lm_rows(order)
+    model, tokens, first = built(rows, order, (2.0, 1.0))
+    want = brute_lm(rows, order, (2.0, 1.0))
+    for run in (1, 5, 64, 10**6):
+        assert model.traverse(tokens, first, order, run) == pytest.approx([want[i][5] for i, _ in rows])
+    vocabulary = np.append(np.unique(tokens), lm.B.U64(12345))
+    known = {t for i, t in enumerate(tokens.tolist()) if i not in set(first.tolist())}
+    in_training = [i for i, (d, _) in enumerate(rows) if not want[d][0]]
+    trained = {t for i in in_training for t in tokens[first[i] + 1 : first[i + 1]].tolist()}
+    assert trained < known
+    for state in range(len(model.failure)):
+        use = np.array([t for t in vocabulary.tolist() if t in trained] + [12345], np.uint64)
+        _, met = model.step(np.full(len(use), state), use)
+        assert (10**met).sum() == pytest.approx(1)
+
+
+def test_key_steps():
+    rng = np.random.default_rng(1)
+    for keys in (rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(0, 1 << 63, 3, dtype=np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.array([7, 7, 7], np.uint64)):
+        keys.sort()
+        thin = X.thin(keys)
+        assert np.array_equal(X.thick(*X.unpack(X.pack(*thin))), keys)
 
 
 def test_scores_without_training_rows(spark):
