@@ -1,6 +1,7 @@
 """Questions and answers between chunks of a corpus and key ranges, without a row a key.
 
-Rows are put into chunks by a hash of their id, one shuffle for all passes over the text.  A chunk
+Rows are put into chunks by a hash of id and text, one shuffle for all passes over the text; a null id,
+or one that many rows share, spreads over all chunks.  A chunk
 asks about keys (64-bit hashes): it sorts them, combines equal ones, and sends each key range one row
 that packs the arrays.  The task of a range sees every chunk's keys of that range, and answers each
 chunk with arrays in the order of its question.  A key counts at most once a chunk, however many
@@ -54,11 +55,16 @@ def routes(n: int) -> tuple[int, ...]:
     return tuple(found[i] for i in range(n))
 
 
-def chunked(df: DataFrame, n: int, id_col: str, **columns) -> DataFrame:
-    """(to, chunk, *columns): the rows in n chunks by a hash of the id."""
-    chunk = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(n)).cast("int")
+def chunked(df: DataFrame, n: int, id_col: str, text_col: str, **columns) -> DataFrame:
+    """(to, chunk, row, *columns): the rows in n chunks by ``row``, a hash of id and text.
+
+    Chunks are ranges of the hash: a smaller chunk number means a smaller hash.
+    """
+    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
+    top = F.shiftrightunsigned(row.bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 33)
+    chunk = F.shiftright(top * F.lit(n).cast("long"), 31).cast("int")
     to = F.element_at(F.lit(list(routes(n))), chunk + 1).cast("int")
-    return df.select(to.alias("to"), chunk.alias("chunk"), *[c.alias(name) for name, c in columns.items()]).repartition(n, "to")
+    return df.select(to.alias("to"), chunk.alias("chunk"), row.alias("row"), *[c.alias(name) for name, c in columns.items()]).repartition(n, "to")
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -334,7 +334,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from sparkloom.llm._map import arrow_type
 
     n = X.parts(docs)
-    chunks = X.chunked(docs, n, id_col, id=F.col(f"`{id_col}`"), text=F.col(f"`{text_col}`").cast("string"), held=held_out(id_col))
+    chunks = X.chunked(docs, n, id_col, text_col, id=F.col(f"`{id_col}`"), text=F.col(f"`{text_col}`").cast("string"), held=held_out(id_col))
     answers = X.answer(X.ask(chunks, n, _question(n, order)), n, _respond)
     for k in range(3, order + 1):
         answers = X.answer(X.ask_again(chunks, answers, n, _further(n, k)), n, _respond)

@@ -1,26 +1,30 @@
-"""Removal of repeated byte strings by prefix-free parsing and suffix order.
+"""Removal of repeated byte strings by prefix-free parsing and suffix arrays.
 
 Every text is parsed into phrases by rolling-hash triggers (``_parse``); each window of ``length``
-bytes lies in one phrase.  The distinct phrases are the dictionary, their sequence in a text is the
-parse.  Ordering the dictionary by trigger, and within a trigger by what surrounds it, puts equal
-windows side by side, as the suffix array of the whole corpus would: two windows are equal only if
-their phrases have the same trigger.  So
-
-1. each chunk of texts asks about its distinct phrases; a phrase that an earlier text has is a
-   repeat as a whole, and a phrase whose trigger no other phrase shares has no repeated window;
-2. for phrases with a shared trigger each chunk asks about the distinct windows in them, which come
-   together in hash order and tell the earliest place of each;
-3. the covered bytes are the union of the repeated windows, chunk by chunk.
-
-Phrases and windows are combined in every chunk first, so neither thousands of copies nor a passage
-in a third of all texts makes a large group; a trigger with more than ``CROWDED`` different phrases in
-one chunk sends a single mark instead of them.  Phrases are compared by trigger and content hash
-(128 bits), windows by a window and a trigger hash (96 bits).
-
-Ids are integers.  "Earlier" means a smaller id, or the same text and an earlier start.  Defined results: null and empty
-texts have no bytes; of rows with the same id the one with the smaller text comes first, equal rows
-in the order in which they are read; null ids come last; empty tables give empty results; other
-columns are ignored.
+bytes lies in one phrase, and equal windows lie in phrases with the same trigger.  The distinct phrases
+are the dictionary, their sequence in a text is the parse.
+
+1. Each chunk of texts asks about its distinct phrases.  One that an earlier text has is a repeat as a
+   whole; one whose trigger no other phrase shares has no repeated window.
+2. The bytes of the remaining phrases go to the key range of their trigger, the range's dictionary.
+   There its suffix array is built, all suffixes of ``length`` bytes and more in order of their bytes
+   (``suffix_order``): neighbours with a common prefix of ``length`` bytes are equal windows.  Since a
+   phrase holds each of its windows whole, what follows a phrase in the parse can't change this order
+   within ``length`` bytes; the parse only ranks equal suffixes, by where their phrases stand in the
+   corpus, and the first of them stays.
+3. The covered bytes are the union of the repeated windows, chunk by chunk.
+
+Phrases are combined in every chunk first, so neither thousands of copies nor a passage in a third of
+all texts makes a large group.  A trigger in varying surroundings has many different phrases: from
+``CROWDED`` of them in one chunk, or ``MOST`` in all, they aren't sent to one place; their windows
+are told apart by hashes instead, which spread over all key ranges.  Phrases are compared by trigger and
+content hash (128 bits), windows in the suffix array by their bytes, others by a window and a trigger
+hash (96 bits).
+
+Ids are integers.  "Earlier" means a smaller id, or the same text and an earlier start.  Defined
+results: null and empty texts have no bytes; null ids come last; rows with the same id, null ones too,
+come in the order of a hash of id and text, and equal rows in any; texts of any length are treated
+whole; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,9 +46,11 @@ from sparkloom.llm import _parse as P
 LENGTH = 100
 GRAM = 40
 CROWDED = 64
+MOST = 4096
 _BLOCK = 1 << 19
 _LAST = np.iinfo(np.int64).max
-NOTHING, REPEAT, SHARED = 0, 1, 2
+NOTHING, REPEAT, SHARED, HASHED = 0, 1, 2, 3
+_MARK = B.U64(0xA5A5A5A5A5A5A5A5)
 
 
 @dataclass
@@ -63,7 +69,7 @@ class _Chunk:
 
 
 def _sorted(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    at = pc.sort_indices(table, sort_keys=[("id", "ascending"), ("text", "ascending")])
+    at = pc.sort_indices(table, sort_keys=[("id", "ascending"), ("row", "ascending")])
     table = table.take(at)
     ids = pc.fill_null(table["id"].combine_chunks(), _LAST).to_numpy(zero_copy_only=False)
     data, offsets = B.string_buffers(table["text"])
@@ -122,7 +128,7 @@ def _dictionary(c: _Chunk) -> _Dictionary:
     marks = trigger[by[run[run_size > CROWDED]]]
     ask = np.flatnonzero(~crowded)
     keys = np.concatenate((trigger[ask], marks))
-    contents = np.concatenate((c.content[first[ask]], B.mix(marks ^ B.U64(0xA5A5A5A5A5A5A5A5))))
+    contents = np.concatenate((c.content[first[ask]], B.mix(marks ^ _MARK)))
     ids = np.concatenate((c.order[c.row[first[ask]]], np.full(len(marks), _LAST)))
     order = np.argsort(keys, kind="stable")
     slot = np.empty(len(order), np.int64)
@@ -143,6 +149,12 @@ def _wide(base: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return offsets.astype(np.int64) + base[0]
 
 
+def _least(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the narrowest unsigned type that holds them."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
 def _ask_phrases(n: int, length: int, gram: int):
     def run(chunk: int, table: pa.Table) -> X.Rows:
         d = _dictionary(_parsed(table, length, gram))
@@ -150,35 +162,79 @@ def _ask_phrases(n: int, length: int, gram: int):
         rows = []
         for k in range(n):
             own = slice(cut[k], cut[k + 1])
-            rows.append((k, chunk, 0, X.pack(d.keys[own], d.contents[own], *_narrow(d.ids[own]))))
+            rows.append((k, chunk, 0, X.pack(np.array([chunk]), *X.thin(d.keys[own]), d.contents[own], *_narrow(d.ids[own]))))
         return rows
 
     return run
 
 
+def _later(new: np.ndarray, ids: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """Which entries of the groups that begin at ``new`` another one precedes, by id, then chunk."""
+    size = np.diff(np.append(new, len(ids)))
+    least = np.repeat(np.minimum.reduceat(ids, new), size)
+    tied = ids == least
+    first = np.repeat(np.minimum.reduceat(np.where(tied, chunk, np.iinfo(np.int64).max), new), size)
+    return ~tied | (chunk != first)
+
+
 def _judge_phrases(asked: list[list[np.ndarray]]) -> list[tuple]:
-    """REPEAT: a smaller id has the phrase.  SHARED: another phrase has its trigger."""
-    trigger = np.concatenate([a[0] for a in asked])
-    content = np.concatenate([a[1] for a in asked])
-    ids = np.concatenate([_wide(a[2], a[3]) for a in asked])
+    """REPEAT: an earlier text has the phrase.  SHARED: another phrase has its trigger.  HASHED: too
+    many have it."""
+    triggers = [X.thick(*a[1:4]) for a in asked]
+    trigger = np.concatenate(triggers)
+    content = np.concatenate([a[4] for a in asked])
+    ids = np.concatenate([_wide(a[5], a[6]) for a in asked])
+    chunk = np.repeat([int(a[0][0]) for a in asked], [len(t) for t in triggers])
     at = np.lexsort((trigger, content)) if len(trigger) else np.zeros(0, np.int64)
     t, c = trigger[at], content[at]
     new = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])))) if len(at) else at
     size = np.diff(np.append(new, len(at)))
     code = np.zeros(len(at), np.uint8)
     if len(at):
-        least = np.repeat(np.minimum.reduceat(ids[at], new), size)
         heads = t[new]
         by = np.argsort(heads, kind="stable")
         run = _groups(heads[by])
         run_size = np.diff(np.append(run, len(by)))
-        shared = np.empty(len(heads), bool)
-        shared[by] = np.repeat(run_size > 1, run_size)
-        code[at] = np.where(ids[at] > least, REPEAT, np.where(np.repeat(shared, size), SHARED, NOTHING))
-    ends = np.cumsum([len(a[0]) for a in asked])
+        marked = np.logical_or.reduceat((c[new] == B.mix(heads ^ _MARK))[by], run)
+        kind = np.where(marked | (run_size > MOST), HASHED, np.where(run_size > 1, SHARED, NOTHING))
+        kinds = np.empty(len(heads), np.uint8)
+        kinds[by] = np.repeat(kind, run_size)
+        code[at] = np.where(_later(new, ids[at], chunk[at]), REPEAT, np.repeat(kinds, size))
+    ends = np.cumsum([len(x) for x in triggers])
     return [(x,) for x in np.split(code, ends[:-1])]
 
 
+def suffix_order(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group): the suffixes that begin at the given places in order of their first ``length``
+    bytes, and a number of each in that order, equal for equal ones.
+
+    Suffixes are sorted by eight bytes at a time; those that differ from both neighbours are done.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    load = np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))
+    n = len(start)
+    order, fresh = np.arange(n), np.zeros(n, bool)  # fresh: the suffix at this rank differs from the one before
+    if n:
+        fresh[0] = True
+    rank, group = np.arange(n), np.zeros(n, np.int64)  # ranks still tied, and the tie that each belongs to
+    for depth in range(0, length, 8):
+        word = load[start[order[rank]] + depth].astype(B.U64)
+        if depth + 8 > length:
+            word >>= B.U64(8 * (depth + 8 - length))
+        by = np.lexsort((word, group))
+        order[rank] = order[rank][by]
+        word = word[by]
+        differs = np.ones(len(rank) + 1, bool)
+        differs[1:-1] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
+        fresh[rank] |= differs[:-1]
+        keep = ~(differs[:-1] & differs[1:])
+        rank, group = rank[keep], np.cumsum(differs[:-1])[keep]
+        if len(rank) == 0:
+            break
+    return order, np.cumsum(fresh)
+
+
 @dataclass
 class _Windows:
     """Windows of phrases: hash, check, text row and place, and which are first of their kind."""
@@ -212,52 +268,88 @@ def _windows(c_data: np.ndarray, lo: np.ndarray, hi: np.ndarray, check: np.ndarr
 
 
 def _ask_windows(n: int, length: int, gram: int):
+    """Phrases of SHARED triggers by trigger: (windows of each, id, place in the chunk, bytes); windows of
+    HASHED ones by their hashes."""
+
     def run(chunk: int, table: pa.Table, answers: pa.Table) -> X.Rows:
         c = _parsed(table, length, gram)
         d = _dictionary(c)
         codes = np.concatenate([a[0] for a in X.collect(answers)]) if answers.num_rows else np.zeros(0, np.uint8)
-        code = np.full(len(d.first), SHARED, np.uint8)  # crowded entries count as shared
+        code = np.full(len(d.first), HASHED, np.uint8)
         code[d.ask] = codes[d.slot]
         # All places of a phrase but its first in the chunk repeat; so does the first of a REPEAT.
         is_first = np.zeros(len(c.lo), bool)
         is_first[d.first] = True
         repeat = ~is_first | (code[d.entry] == REPEAT)
         start, end = B.cover(c.lo[repeat], c.hi[repeat] + length)
-        flagged = np.sort(d.first[code == SHARED])
-        lo, hi = c.lo[flagged], c.hi[flagged]
+        shared = d.first[code == SHARED]
+        shared = shared[np.lexsort((c.lo[shared], c.trigger[shared]))]
+        lo, more = c.lo[shared], c.hi[shared] - c.lo[shared]
+        flagged = np.sort(d.first[code == HASHED])
         check = (c.trigger[flagged] & B.U64(0xFFFFFFFF)).astype(np.uint32)
-        w = _windows(c.data, lo, hi, check, length)
-        row = np.searchsorted(c.offsets, w.place, "right") - 1
-        ids = c.order[row]
-        cut = X.slices(w.hash, n)
+        w = _windows(c.data, c.lo[flagged], c.hi[flagged], check, length)
+        ids = c.order[np.searchsorted(c.offsets, w.place, "right") - 1]
+        cut, cut_w = X.slices(c.trigger[shared], n), X.slices(w.hash, n)
         rows = []
         for k in range(n):
-            own = slice(cut[k], cut[k + 1])
-            rows.append((k, chunk, 0, X.pack(w.hash[own], w.check[own], *_narrow(ids[own]))))
-        state = X.pack(start, end, lo, hi, check)
+            own, own_w = slice(cut[k], cut[k + 1]), slice(cut_w[k], cut_w[k + 1])
+            raw = c.data[B.ranges(lo[own], more[own] + length)]
+            phrases = [_least(more[own]), *_narrow(c.order[c.row[shared[own]]]), _least(lo[own]), raw]
+            rows.append((k, chunk, 0, X.pack(np.array([chunk]), *phrases, *X.thin(w.hash[own_w]), w.check[own_w], *_narrow(ids[own_w]))))
+        state = X.pack(_least(start), _least(end), _least(lo), _least(more), cut, _least(c.lo[flagged]), _least(c.hi[flagged] - c.lo[flagged]), check)
         return [*rows, (chunk, chunk, 1, state)]
 
     return run
 
 
-def _judge_windows(asked: list[list[np.ndarray]]) -> list[tuple]:
-    """1 for a window that a smaller id has."""
-    h = np.concatenate([a[0] for a in asked])
-    check = np.concatenate([a[1] for a in asked])
-    ids = np.concatenate([_wide(a[2], a[3]) for a in asked])
+def _judge_suffixes(asked: list[list[np.ndarray]], length: int) -> list[np.ndarray]:
+    """For the windows of each message's phrases, whether an equal one precedes."""
+    count = [a[1].astype(np.int64) + 1 for a in asked]
+    data = np.concatenate([a[5] for a in asked])
+    windows = np.concatenate(count)
+    size = windows + length - 1
+    start = B.ranges(np.cumsum(size) - size, windows)
+    order, group = suffix_order(data, start, length)
+    # Only suffixes with an equal neighbour are looked at.
+    same = np.zeros(len(group) + 1, bool)
+    same[1:-1] = group[1:] == group[:-1]
+    tied = same[:-1] | same[1:]
+    order, group = order[tied], group[tied]
+    phrase = np.repeat(np.arange(len(windows)), windows)[order]
+    ids = np.concatenate([_wide(a[2], a[3]) for a in asked])[phrase]
+    chunk = np.repeat([int(a[0][0]) for a in asked], [len(x) for x in count])[phrase]
+    place = np.concatenate([a[4].astype(np.int64) for a in asked])[phrase] + order - (np.cumsum(windows) - windows)[phrase]
+    by = np.lexsort((place, chunk, ids, group))
+    later = np.zeros(len(start), bool)
+    later[order[by[1:]]] = group[by[1:]] == group[by[:-1]]
+    return np.split(later, np.cumsum([int(x.sum()) for x in count])[:-1])
+
+
+def _judge_hashes(asked: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """For each message's windows, whether an earlier text has them."""
+    hashes = [X.thick(*a[6:9]) for a in asked]
+    h = np.concatenate(hashes)
+    check = np.concatenate([a[9] for a in asked])
+    ids = np.concatenate([_wide(a[10], a[11]) for a in asked])
+    chunk = np.repeat([int(a[0][0]) for a in asked], [len(x) for x in hashes])
     at = np.argsort(h, kind="stable")
     hs, cs = h[at], check[at]
-    code = np.zeros(len(at), np.uint8)
+    later = np.zeros(len(at), bool)
     if len(at):
         same = hs[1:] == hs[:-1]
         if (same & (cs[1:] != cs[:-1])).any():
             at = np.lexsort((check, h))
             hs, cs = h[at], check[at]
         new = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1]))))
-        size = np.diff(np.append(new, len(at)))
-        code[at] = ids[at] > np.repeat(np.minimum.reduceat(ids[at], new), size)
-    ends = np.cumsum([len(a[0]) for a in asked])
-    return [(np.packbits(x),) for x in np.split(code, ends[:-1])]
+        later[at] = _later(new, ids[at], chunk[at])
+    return np.split(later, np.cumsum([len(x) for x in hashes])[:-1])
+
+
+def _judge_windows(length: int):
+    def run(asked: list[list[np.ndarray]]) -> list[tuple]:
+        return [(np.packbits(a), np.packbits(b)) for a, b in zip(_judge_suffixes(asked, length), _judge_hashes(asked))]
+
+    return run
 
 
 def _remove(n: int, length: int, id_col: str, id_type: pa.DataType):
@@ -265,11 +357,14 @@ def _remove(n: int, length: int, id_col: str, id_type: pa.DataType):
         table, data, offsets, _ = _sorted(table)
         start = end = np.zeros(0, np.int64)
         if answers.num_rows:
-            start, end, lo, hi, check = X.collect(answers, 1)[0]
-            w = _windows(data, lo, hi, check, length)
-            cut = X.slices(w.hash, n)
-            bits = [np.unpackbits(a[0], count=int(cut[k + 1] - cut[k])) for k, a in enumerate(X.collect(answers))]
-            place = np.concatenate((w.place[np.concatenate(bits) == 1], w.again))
+            start, end, lo, more, cut, hashed, further, check = X.collect(answers, 1)[0]
+            start, end, lo, more, hashed, further = (x.astype(np.int64) for x in (start, end, lo, more, hashed, further))
+            got = X.collect(answers)
+            bits = [np.unpackbits(a[0], count=int((more[x:y] + 1).sum())) for a, x, y in zip(got, cut, cut[1:])]
+            w = _windows(data, hashed, hashed + further, check, length)
+            cut_w = X.slices(w.hash, n)
+            bits_w = [np.unpackbits(a[1], count=int(y - x)) for a, x, y in zip(got, cut_w, cut_w[1:])]
+            place = np.concatenate((B.ranges(lo, more + 1)[np.concatenate(bits) == 1], w.place[np.concatenate(bits_w) == 1], w.again))
             place.sort()
             start, end = B.cover(np.concatenate((start, place)), np.concatenate((end, place + length)))
         row = np.searchsorted(offsets, start, "right") - 1
@@ -308,9 +403,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 1 <= gram <= length:
         raise ValueError("gram must lie between 1 and length")
     n = X.parts(docs)
-    chunks = X.chunked(docs, n, id_col, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
+    chunks = X.chunked(docs, n, id_col, text_col, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
     phrases = X.answer(X.ask(chunks, n, _ask_phrases(n, length, gram)), n, _judge_phrases)
     asked = X.ask_again(chunks, phrases, n, _ask_windows(n, length, gram))
-    windows = X.answer(asked, n, _judge_windows)
+    windows = X.answer(asked, n, _judge_windows(length))
     schema = T.StructType([T.StructField(id_col, T.LongType()), *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string").fields])
     return X.finish(chunks, windows, _remove(n, length, id_col, pa.int64()), schema)

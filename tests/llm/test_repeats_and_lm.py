@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import _exchange as X
 from sparkloom.llm import lm, repeats
@@ -41,9 +42,15 @@ def corpus(seed=5, n=60):
     return rows
 
 
+def ordered(spark, rows):
+    """Rows by id (null last), those with the same id by a hash of id and text."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return [(r.doc_id, r.text) for r in df.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("doc_id", "text")).collect()]
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
-    for i, t in sorted(rows, key=lambda x: (x[0], x[1] or "")):
+    for i, t in rows:
         b = (t or "").encode()
         mark = [0] * len(b)
         for p in range(len(b) - length + 1):
@@ -64,12 +71,39 @@ def run_repeats(df, **kw):
     return {i: sorted(x) for i, x in out.items()}
 
 
-@pytest.mark.parametrize("crowded,length,gram", [(64, 100, 40), (1, 100, 40), (2, 30, 9), (64, 8, 8)])
-def test_repeats_equal_brute_force(spark, monkeypatch, crowded, length, gram):
+@pytest.mark.parametrize("crowded,most,length,gram", [(64, 4096, 100, 40), (1, 4096, 100, 40), (64, 1, 100, 40), (2, 3, 30, 9), (64, 4096, 8, 8), (64, 4096, 13, 5)])
+def test_repeats_equal_brute_force(spark, monkeypatch, crowded, most, length, gram):
+    """By suffix arrays, and where phrases crowd by hashes."""
     monkeypatch.setattr(repeats, "CROWDED", crowded)
-    rows = [*corpus(), (100, None), (101, ""), (7, "x" * 99), (7, "ab" * 80), (102, "é" * 120)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as chunk", "text as id")
-    assert run_repeats(df, length=length, gram=gram) == brute_repeats(rows, length)
+    monkeypatch.setattr(repeats, "MOST", most)
+    rows = [*corpus(), (100, None), (101, ""), (7, "x" * 99), (7, "ab" * 80), (7, "ab" * 90 + "c"), (102, "é" * 120)]
+    rows += [(None, t[10:] + "q") for _, t in corpus()[:12]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as chunk", "text as id", "'x' as row")
+    assert run_repeats(df, length=length, gram=gram) == brute_repeats(ordered(spark, rows), length)
+
+
+@pytest.mark.parametrize("length", [1, 7, 8, 20, 100])
+def test_suffix_order(length):
+    rng = np.random.default_rng(length)
+    data = rng.integers(97, 99, 3000, dtype=np.uint8)
+    data[500:900] = data[1500:1900]
+    start = rng.permutation(len(data) - length + 1)[:2000]
+    order, group = repeats.suffix_order(data, start, length)
+    raw = data.tobytes()
+    found = [raw[s : s + length] for s in start[order].tolist()]
+    assert found == sorted(found)
+    assert [a == b for a, b in zip(found, found[1:])] == (group[1:] == group[:-1]).tolist()
+    assert len(repeats.suffix_order(data, start[:0], length)[0]) == 0
+
+
+def test_chunks_spread_repeated_ids(spark):
+    """A null or repeated id fills no chunk by itself, and chunk numbers follow the hash."""
+    df = spark.createDataFrame([(i if i % 3 else None, f"t{i}") for i in range(3000)], "doc_id long, text string")
+    got = X.chunked(df, 8, "doc_id", "text", id=F.col("doc_id")).collect()
+    sizes = Counter(r.chunk for r in got if r.id is None)
+    assert len(sizes) == 8 and max(sizes.values()) < 250
+    got.sort(key=lambda r: r.row)
+    assert [r.chunk for r in got] == sorted(r.chunk for r in got)
 
 
 def test_repeats_edge_tables(spark):
