@@ -12,6 +12,7 @@ rows hold it, so a hot key makes no large group; chunks and ranges number as
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -68,21 +69,31 @@ def chunked(df: DataFrame, n: int, id_col: str, text_col: str, **columns) -> Dat
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Several arrays as bytes."""
-    head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
-    return len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    """Several arrays as bytes; those of narrow types are compressed where that makes them smaller."""
+    head, body = [], []
+    for a in arrays:
+        raw = np.ascontiguousarray(a).tobytes()
+        small = zlib.compress(raw, 1) if a.dtype.itemsize <= 2 and len(raw) > 64 else raw
+        if len(small) > 0.9 * len(raw):
+            small = raw
+        head.append(f"{a.dtype.str},{len(a)},{len(small)}")
+        body.append(small)
+    first = ";".join(head).encode()
+    return len(first).to_bytes(4, "little") + first + b"".join(body)
 
 
 def unpack(body: bytes | pa.Scalar) -> list[np.ndarray]:
-    """The arrays of ``pack``, as views."""
+    """The arrays of ``pack``."""
     view = memoryview(body.as_buffer() if isinstance(body, pa.Scalar) else body)
     size = int.from_bytes(view[:4], "little")
     at, out = 4 + size, []
     for part in bytes(view[4:at]).decode().split(";"):
-        kind, n = part.split(",")
-        a = np.frombuffer(view, np.uint8, int(n) * np.dtype(kind).itemsize, at)
-        out.append(a.view(kind) if a.ctypes.data % 8 == 0 else np.frombuffer(a.tobytes(), kind))
-        at += len(a)
+        kind, n, length = part.split(",")
+        raw = view[at : at + int(length)]
+        if int(length) < int(n) * np.dtype(kind).itemsize:
+            raw = zlib.decompress(raw)
+        out.append(np.frombuffer(bytes(raw), kind))
+        at += int(length)
     return out
 
 

@@ -9,8 +9,8 @@ empty state's arcs carry the add-one unigram (c(w) + 1) / (N + V + 1); a token n
 left by the token's arc, or over failure arcs first, and the weights met are added up.
 
 The automaton is never in one place.  Each chunk of texts asks for the counts of just those n-grams
-that its texts contain (``_exchange``), for longer ones only where their history is a state, so one
-round of questions follows the other.  From the answers it builds the part of the automaton that its
+that its texts contain (``_exchange``), for longer ones only where their history is a state and other chunks
+can have them too, so one round of questions follows the other.  From the answers it builds the part of the automaton that its
 texts can reach, as arrays of states, failure arcs and a hash table of arcs, and traverses all its texts
 with it, many at a time: texts are cut into runs of ``RUN`` tokens, each led by the tokens that
 determine the state in which it begins.  All counts cover the whole training corpus.
@@ -105,51 +105,51 @@ def _seen(table: pa.Table, first: np.ndarray) -> np.ndarray:
     return np.repeat(training, np.diff(first))
 
 
-def _wanted(g: _Gram, shorter: _Gram, coded: np.ndarray) -> np.ndarray:
-    """Which n-grams are asked about: their history is a state, and other chunks have both their history
-    and their end (else the chunk has all their places itself)."""
-    history, end = coded[shorter.at[g.last - 1]], coded[shorter.at[g.last]]
-    return (history >> 1 >= STATE) & (history & end & 1 > 0)
+def _parts(g: _Gram, shorter: _Gram) -> tuple[np.ndarray, np.ndarray]:
+    """The history and the end, one token less each, of every n-gram.
 
+    The end mark in front of a text is no n-gram of its own; as a history it is the final end mark, which
+    is the chunk's last token.
+    """
+    history = shorter.at[g.last - 1]
+    return np.where(history < 0, shorter.at[-1], history), shorter.at[g.last]
 
-def _known(g: _Gram, shorter: _Gram, coded: np.ndarray, answer: np.ndarray) -> np.ndarray:
-    """Answers for all n-grams whose history is a state; zero for the others."""
-    wanted = _wanted(g, shorter, coded)
-    out = np.where(coded[shorter.at[g.last - 1]] >> 1 >= STATE, 2 * g.training, 0)
-    out[wanted] = answer
-    return out
 
+def _wanted(g: _Gram, shorter: _Gram, coded: np.ndarray, k: int) -> np.ndarray:
+    """Which n-grams of k tokens are asked about: their history is a state, their end occurs, and other
+    chunks have both (else the chunk has all places of the n-gram itself)."""
+    history, end = (coded[x] for x in _parts(g, shorter))
+    return (history >> 1 >= _least_state(k - 1)) & (end > 1) & (history & end & 1 > 0)
 
-def _question(n: int, order: int):
-    """The first round: n-grams of one and two tokens."""
 
-    def run(chunk: int, table: pa.Table) -> X.Rows:
-        tokens, first = _tokens(table)
-        seen = _seen(table, first)
-        arrays: list[list[np.ndarray]] = [[] for _ in range(n)]
-        for k in range(1, min(order, 2) + 1):
-            g = _distinct(tokens, first, seen, k)
-            cut = X.slices(g.key, n)
-            for d in range(n):
-                arrays[d] += [*X.thin(g.key[cut[d] : cut[d + 1]]), _small(g.training[cut[d] : cut[d + 1]])]
-        return [(d, chunk, 0, X.pack(*a)) for d, a in enumerate(arrays)]
+def _known(g: _Gram, shorter: _Gram, coded: np.ndarray, k: int, answer: np.ndarray) -> np.ndarray:
+    """Answers for all n-grams whose history is a state; zero for the others."""
+    is_state = coded[_parts(g, shorter)[0]] >> 1 >= _least_state(k - 1)
+    out = np.where(is_state, 2 * g.training, 0)
+    out[_wanted(g, shorter, coded, k)] = answer
+    return out
 
-    return run
 
+def _least_state(k: int) -> int:
+    """How often a history of k tokens must occur to be a state."""
+    return STATE if k > 1 else 1
 
-def _further(n: int, k: int):
-    """A further round: n-grams of k tokens, given the counts of shorter ones."""
 
-    def run(chunk: int, table: pa.Table, answers: pa.Table) -> X.Rows:
+def _question(n: int, k: int):
+    """A round: n-grams of k tokens, given the answers about shorter ones."""
+
+    def run(chunk: int, table: pa.Table, answers: pa.Table | None = None) -> X.Rows:
         tokens, first = _tokens(table)
         seen = _seen(table, first)
-        grams, coded, totals = _counted(tokens, first, seen, answers, k - 1)
         g = _distinct(tokens, first, seen, k)
-        wanted = _wanted(g, grams[-1], coded[-1])
-        key, training = g.key[wanted], g.training[wanted]
+        key, training, state = g.key, g.training, []
+        if answers is not None:
+            grams, coded, totals = _counted(tokens, first, seen, answers, k - 1)
+            wanted = _wanted(g, grams[-1], coded[-1], k)
+            key, training = key[wanted], training[wanted]
+            state = [(chunk, chunk, 1, X.pack(totals, *[_small(c) for c in coded]))]
         cut = X.slices(key, n)
-        rows = [(d, chunk, 0, X.pack(*X.thin(key[cut[d] : cut[d + 1]]), _small(training[cut[d] : cut[d + 1]]))) for d in range(n)]
-        return [*rows, (chunk, chunk, 1, X.pack(totals, *[_small(c) for c in coded]))]
+        return [(d, chunk, 0, X.pack(*X.thin(key[cut[d] : cut[d + 1]]), _small(training[cut[d] : cut[d + 1]]))) for d in range(n)] + state
 
     return run
 
@@ -159,13 +159,15 @@ def _counted(tokens: np.ndarray, first: np.ndarray, seen: np.ndarray, answers: p
     one if other chunks have the n-gram too), and (N, V)."""
     got, before = X.collect(answers), X.collect(answers, 1)
     grams = [_distinct(tokens, first, seen, k) for k in range(1, order + 1)]
-    if before:
-        totals, *coded = (a.astype(np.int64) for a in before[0])
-        coded.append(_known(grams[-1], grams[-2], coded[-1], np.concatenate([a[1].astype(np.int64) for a in got])))
-    else:
-        totals = sum(a[0] for a in got)
-        coded = [np.concatenate([a[k].astype(np.int64) for a in got]) for k in range(1, order + 1)]
-    return grams, coded, totals
+    answer = np.concatenate([_coded(a[1], a[2]) for a in got])
+    if not before:
+        return grams, [answer], sum(a[0] for a in got)
+    totals, *coded = (a.astype(np.int64) for a in before[0])
+    return grams, [*coded, _known(grams[-1], grams[-2], coded[-1], order, answer)], totals
+
+
+def _coded(count: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    return 2 * count.astype(np.int64) + np.unpackbits(shared, count=len(count))
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -175,27 +177,20 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 
 def _respond(asked: list[list[np.ndarray]]) -> list[tuple]:
-    """Answers about every message's keys (see ``_counted``), and (N, V) of the range's keys of the first
-    length."""
-    out: list[list[np.ndarray]] = [[] for _ in asked]
-    totals = np.zeros(2, np.int64)
-    for k in range(0, len(asked[0]), 4):
-        parts = [X.thick(*a[k : k + 3]) for a in asked]
-        keys = np.concatenate(parts)
-        counts = np.concatenate([a[k + 3].astype(np.int64) for a in asked])
-        at = np.argsort(keys, kind="stable")
-        keys = keys[at]
-        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        total = np.add.reduceat(counts[at], new) if len(new) else new
-        if k == 0:
-            totals = np.array([total.sum(), (total > 0).sum()], np.int64)
-        full = np.empty(len(keys), np.int64)
-        size = np.diff(np.append(new, len(keys)))  # a key comes once a message
-        full[at] = np.repeat(2 * total + (size > 1), size)
-        ends = np.cumsum([len(p) for p in parts])
-        for i, part in enumerate(np.split(full, ends[:-1])):
-            out[i].append(_small(part))
-    return [(totals, *o) for o in out]
+    """(N, V) of the range's keys; each message's summed counts; and whether other messages have the key."""
+    parts = [X.thick(*a[:3]) for a in asked]
+    keys = np.concatenate(parts)
+    counts = np.concatenate([a[3].astype(np.int64) for a in asked])
+    at = np.argsort(keys, kind="stable")
+    keys = keys[at]
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    total = np.add.reduceat(counts[at], new) if len(new) else new
+    totals = np.array([total.sum(), (total > 0).sum()], np.int64)
+    size = np.diff(np.append(new, len(keys)))  # a key comes once a message
+    full, shared = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
+    full[at], shared[at] = np.repeat(total, size), np.repeat(size > 1, size)
+    ends = np.cumsum([len(p) for p in parts])[:-1]
+    return [(totals, _small(c), np.packbits(s)) for c, s in zip(np.split(full, ends), np.split(shared, ends))]
 
 
 @dataclass
@@ -223,11 +218,11 @@ class Automaton:
         failure, weight = [np.zeros(1, np.int64)], [np.zeros(1)]
         keys, scores, targets = [], [], []
         for k, (g, c) in enumerate(zip(grams, counts), 1):
-            end = grams[k - 2].at[g.last] if k > 1 else None
+            before, end = _parts(g, grams[k - 2]) if k > 1 else (None, None)
             own = np.full(len(c), -1)
             if k < order:
                 # Nothing follows a final end mark.
-                is_state = (c >= STATE) & (tokens[g.last] != END) if k > 1 else c > 0
+                is_state = (c >= _least_state(k)) & ((k == 1) | (tokens[g.last] != END))
                 own[is_state] = size + np.arange(int(is_state.sum()))
                 size += int(is_state.sum())
                 failure.append(np.zeros(int(is_state.sum()), np.int64) if k == 1 else state[-1][end[is_state]])
@@ -236,9 +231,6 @@ class Automaton:
             if k == 1:
                 p, source, leads = (c + 1) / whole, np.zeros(len(c), np.int64), np.where(own >= 0, own, 0)
             else:
-                before = grams[k - 2].at[g.last - 1]
-                # The end mark in front of a text is no n-gram of one token there, but the same state.
-                before = np.where(before < 0, grams[0].at[_an_end(tokens)], before) if k == 2 else before
                 m = _mu(mu, k)
                 p = (c + m * chance[-1][end]) / (counts[k - 2][before] + m)
                 source = state[-1][before]
@@ -248,7 +240,7 @@ class Automaton:
             scores.append(np.log10(p[arc]))
             targets.append(leads[arc])
             state.append(own), chance.append(p), target.append(leads)
-        begin = int(max(state[0][grams[0].at[_an_end(tokens)]], 0)) if order > 1 and len(tokens) else 0
+        begin = int(max(state[0][grams[0].at[-1]], 0)) if order > 1 and len(tokens) else 0
         return cls(np.concatenate(failure), np.concatenate(weight), B.HashTable(np.concatenate(keys)), np.concatenate(scores), np.concatenate(targets), -float(np.log10(whole)), begin)
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,11 +285,6 @@ class Automaton:
         return np.bincount(row, weights=total, minlength=len(length))
 
 
-def _an_end(tokens: np.ndarray) -> int:
-    """Place of a final end mark: the chunk's last token."""
-    return len(tokens) - 1
-
-
 def _final(order: int, mu: tuple[float, ...], id_col: str, id_type: pa.DataType):
     def run(chunk: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         tokens, first = _tokens(table)
@@ -335,9 +322,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     n = X.parts(docs)
     chunks = X.chunked(docs, n, id_col, text_col, id=F.col(f"`{id_col}`"), text=F.col(f"`{text_col}`").cast("string"), held=held_out(id_col))
-    answers = X.answer(X.ask(chunks, n, _question(n, order)), n, _respond)
-    for k in range(3, order + 1):
-        answers = X.answer(X.ask_again(chunks, answers, n, _further(n, k)), n, _respond)
+    answers = X.answer(X.ask(chunks, n, _question(n, 1)), n, _respond)
+    for k in range(2, order + 1):
+        answers = X.answer(X.ask_again(chunks, answers, n, _question(n, k)), n, _respond)
     id_type = docs.schema[id_col].dataType
     kinds = T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields
     schema = T.StructType([T.StructField(id_col, id_type), *kinds])
