@@ -59,7 +59,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_scores(_spread(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return quality.quality_scores(spread(docs), references=quality.fit(docs, _table(spark, sf_dir, "labels").where("quality = 1")))
 
 
 QUERIES: dict[str, Query] = {

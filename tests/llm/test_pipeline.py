@@ -34,24 +34,30 @@ def char_class(c):
         return 4
     if c in "#$%&*+<=>@\\^_`|~":
         return 5
-    return 7 if ord(c) > 127 else 6
+    if ord(c) < 128:
+        return 6
+    return 7 if 0xC0 <= ord(c) < 0x380 else 8
 
 
-def good(text):
+def good(text, references):
     rules = quality.Rules()
     if brute_quality(text)[5]:
         return False
-    hist = [0] * 8
+    hist = [0] * 15
     for c in text:
         hist[char_class(c)] += 1
-    if len(text) >= rules.min_chars and min(js(hist, q) for q in quality.CLASS_SHARES.values()) > rules.class_limit:
-        return False
-    listed = {lang: dict(x.split(":") for x in s.split()) for lang, s in quality.COMMON_WORDS.items()}
-    names = sorted({w for x in listed.values() for w in x})
     words = ALNUM.findall(lower(text))
-    counts = [words.count(n) for n in names]
-    far = min(js(counts, [float(x.get(n, 0)) for n in names]) for x in listed.values())
-    return not (sum(counts) >= rules.min_common_words and far > rules.word_limit)
+    far = [True] * 3
+    for r in references:
+        own = [words.count(w) for w, _ in r.words]
+        q = [x for _, x in r.words]
+        d = [
+            js(hist, r.classes) if len(text) >= rules.min_chars else 0,
+            js(own, q) if sum(own) >= rules.min_common_words else 0,
+            js([*own, len(words) - sum(own)], [*q, 1 - sum(q)]) if len(words) >= rules.min_all_words else 0,
+        ]
+        far = [f and x > limit for f, x, limit in zip(far, d, r.limits)]
+    return not any(far)
 
 
 def clean(text, items):
@@ -102,7 +108,9 @@ def plain(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     stages = []
-    docs = {i: t for i, t in docs.items() if good(t)}
+    table, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    references = quality.fit(table, labels.where("quality = 1"))
+    docs = {i: t for i, t in docs.items() if good(t, references)}
     stages.append(docs)
     groups = brute_similar(list(docs.items()))
     docs = {i: t for i, t in docs.items() if groups[i][2] == i}

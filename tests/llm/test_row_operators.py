@@ -90,10 +90,55 @@ def test_quality_without_common_words():
     prose = [rng.choice("the of and to in a is that".split()) if rng.random() < 0.25 else w for w in salad]
     texts = [" ".join(salad), " ".join(few), " ".join(prose), " ".join(salad[:60]), " ".join(prose[:60])]
     got = quality.judged(next(B.blocks(pa.array(texts))))
-    assert not got["base_failed"].any() and (got["class_distance"] < quality.Rules().class_limit).all()
+    assert not got["base_failed"].any() and (got["class_distance"] < quality.BUILT_IN[0].limits[0]).all()
     assert got["kept"].tolist() == [False, False, True, False, True]
 
 
+ITALIAN = """Nel mezzo del cammino di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Il paese
+era molto bello e la gente del luogo non aveva mai visto una cosa come quella, per cui si era messa a parlare con il sindaco e
+con le altre persone della piazza. La mattina dopo il tempo era buono e in un momento si decise di partire per la montagna, con
+il pane, il vino e una carta che il vecchio aveva dato a tutti. Non si sapeva che cosa fare della neve, che in quel periodo è
+sempre alta, ma la strada era libera e il sole del mattino per fortuna non si nascose."""
+RUSSIAN = "Утром он вышел из дома и пошёл по улице к реке, где его уже ждали друзья, которые приехали из города на старой машине. " + (
+    "Погода была хорошая, но ветер с моря приносил холод, и все говорили о том, что скоро наступит зима. Дети играли во дворе, а старики "
+    "сидели у ворот и вспоминали, как раньше строили большие лодки. Потом они пошли в лес, собрали грибы и ягоды, развели костёр и до "
+    "самого вечера пели песни, рассказывали истории и смотрели на звёзды над тёмной водой.")
+CHINESE = " ".join("今天 天气 很好 我们 一起 去 公园 散步 看到 许多 花 和 树 孩子们 在 草地 上 玩耍 老人 坐在 长椅 上 聊天 湖水 非常 清澈".split()) + " " + " ".join(
+    "后来 他们 决定 沿着 河边 走到 山脚 那里 有 一座 小 寺庙 里面 安静 极了 只有 风声 与 钟声 傍晚 回家 时 大家 都 觉得 这一天 过得 充实 而 愉快 明天 还要 再来 一次 希望 天气 依然 晴朗 朋友 也 能 同行".split())
+CODE = "\n".join(f"for (int i{k} = 0; i{k} < n[{k}]; ++i{k}) {{ a[i{k}][{k}] += b_{k}[i{k}] * 0x{k:04x}; /* {k} */ }}" for k in range(40))
+
+
+def test_quality_of_other_languages_and_code():
+    """Scripts without a reference aren't judged by distances, languages near one pass, code goes."""
+    got = quality.judged(next(B.blocks(pa.array([ITALIAN, RUSSIAN, CHINESE, CODE]))))
+    assert not got["base_failed"][:3].any() and got["kept"].tolist() == [True, True, True, False]
+
+
+def test_quality_fit(spark):
+    """References and limits learnt from a sample; good texts outside the sample stay, odd ones go."""
+    rng = random.Random(6)
+    common = {"aa": ["na", "so", "ti", "ke"], "bb": ["и", "на", "что", "он"]}
+    stems = {"aa": ["velo", "marin", "tosk", "bera"], "bb": ["город", "вода", "лес", "зима"]}
+
+    def prose(lang, n):
+        return " ".join(rng.choice(common[lang]) if rng.random() < 0.4 else rng.choice(stems[lang]) + rng.choice(stems[lang])[:3] + str(rng.randrange(3)) for _ in range(n)) + "."
+
+    docs = [(i, prose(x, rng.randint(60, 200)), x) for i in range(500) for x in [rng.choice(["aa", "bb"])]]
+    salad = [(1000 + i, " ".join(rng.choice(stems["aa"]) + rng.choice(stems["aa"]) for _ in range(150)), "aa") for i in range(20)]
+    signs = [(2000 + i, prose("bb", 120).replace(" ", " ||## "), "bb") for i in range(20)]
+    df = spark.createDataFrame([*docs, *salad, *signs, (3000, None, "aa"), (3001, "x", None), (None, prose("aa", 90), "aa"), (7, prose("aa", 90), "aa")], "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(i,) for i in range(0, 500)], "doc_id long")
+    s = quality.Fit(sample=300, least_rows=40)
+    refs = quality.fit(df, good, s=s)
+    assert [r.lang for r in refs][:2] == ["aa", "bb"] and {r.lang for r in refs} == {"aa", "bb"} | {r.lang for r in quality.BUILT_IN}
+    assert {w for w, _ in refs[0].words[:4]} == set(common["aa"]) and refs == quality.fit(df.repartition(5), good, s=s)
+    kept = {r.doc_id for r in quality.keep_good(df, references=refs).collect()}
+    assert len([i for i in range(500) if i in kept]) >= 485 and not kept & {r[0] for r in [*salad, *signs]} and None in kept
+    assert quality.fit(df, good.limit(0)) == quality.BUILT_IN == quality.fit(df.limit(0))
+    unsure = quality.fit(df, s=s)
+    assert unsure[0].limits == quality.BUILT_IN[0].limits
+
+
 def test_js_distance():
     p = np.array([[1.0, 1, 0], [0, 0, 5], [2, 2, 0]])
     d = quality.js_distance(p, np.array([1.0, 1, 0]))
