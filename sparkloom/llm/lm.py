@@ -138,32 +138,35 @@ def _least_state(k: int) -> int:
 def _question(n: int, k: int):
     """A round: n-grams of k tokens, given the answers about shorter ones."""
 
-    def run(chunk: int, table: pa.Table, answers: pa.Table | None = None) -> X.Rows:
+    def run(chunk: X.Chunk, table: pa.Table, answers: pa.Table | None = None) -> X.Rows:
         tokens, first = _tokens(table)
         seen = _seen(table, first)
         g = _distinct(tokens, first, seen, k)
-        key, training, state = g.key, g.training, []
+        key, training = g.key, g.training
         if answers is not None:
-            grams, coded, totals = _counted(tokens, first, seen, answers, k - 1)
+            grams, coded, _ = _counted(tokens, first, seen, answers, k - 1)
             wanted = _wanted(g, grams[-1], coded[-1], k)
             key, training = key[wanted], training[wanted]
-            state = [(chunk, chunk, 1, X.pack(totals, *[_small(c) for c in coded]))]
         cut = X.slices(key, n)
-        return [(d, chunk, 0, X.pack(*X.thin(key[cut[d] : cut[d + 1]]), _small(training[cut[d] : cut[d + 1]]))) for d in range(n)] + state
+        return [(d, chunk.to, 0, X.pack(*X.thin(key[cut[d] : cut[d + 1]]), _small(training[cut[d] : cut[d + 1]]))) for d in range(n)]
 
     return run
 
 
 def _counted(tokens: np.ndarray, first: np.ndarray, seen: np.ndarray, answers: pa.Table, order: int) -> tuple[list[_Gram], list[np.ndarray], np.ndarray]:
     """The chunk's n-grams of every length up to ``order``, the answers about them (twice the count, plus
-    one if other chunks have the n-gram too), and (N, V)."""
-    got, before = X.collect(answers), X.collect(answers, 1)
+    one if other chunks have the n-gram too), and (N, V).  Answers of kind k are about n-grams of k."""
     grams = [_distinct(tokens, first, seen, k) for k in range(1, order + 1)]
-    answer = np.concatenate([_coded(a[1], a[2]) for a in got])
-    if not before:
-        return grams, [answer], sum(a[0] for a in got)
-    totals, *coded = (a.astype(np.int64) for a in before[0])
-    return grams, [*coded, _known(grams[-1], grams[-2], coded[-1], order, answer)], totals
+    coded: list[np.ndarray] = []
+    for k in range(1, order + 1):
+        got = X.collect(answers, k)
+        answer = np.concatenate([_coded(a[1], a[2]) for a in got])
+        if k == 1:
+            totals = sum(a[0] for a in got)
+            coded.append(answer)
+        else:
+            coded.append(_known(grams[k - 1], grams[k - 2], coded[-1], k, answer))
+    return grams, coded, totals
 
 
 def _coded(count: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -286,7 +289,7 @@ class Automaton:
 
 
 def _final(order: int, mu: tuple[float, ...], id_col: str, id_type: pa.DataType):
-    def run(chunk: int, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(chunk: X.Chunk, table: pa.Table, answers: pa.Table) -> pa.Table:
         tokens, first = _tokens(table)
         grams, coded, totals = _counted(tokens, first, _seen(table, first), answers, order)
         counts = [c >> 1 for c in coded]
@@ -321,10 +324,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from sparkloom.llm._map import arrow_type
 
     n = X.parts(docs)
-    chunks = X.chunked(docs, n, id_col, text_col, id=F.col(f"`{id_col}`"), text=F.col(f"`{text_col}`").cast("string"), held=held_out(id_col))
-    answers = X.answer(X.ask(chunks, n, _question(n, 1)), n, _respond)
+    chunks = X.chunked(docs, n, id=F.col(f"`{id_col}`"), text=F.col(f"`{text_col}`").cast("string"), held=held_out(id_col))
+    answers = X.answer(X.ask(chunks, n, _question(n, 1)), n, _respond, 1)
     for k in range(2, order + 1):
-        answers = X.answer(X.ask_again(chunks, answers, n, _question(n, k)), n, _respond)
+        answers = answers.union(X.answer(X.ask_again(chunks, answers, n, _question(n, k)), n, _respond, k))
     id_type = docs.schema[id_col].dataType
     kinds = T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields
     schema = T.StructType([T.StructField(id_col, id_type), *kinds])

@@ -23,8 +23,8 @@ hash (96 bits).
 
 Ids are integers.  "Earlier" means a smaller id, or the same text and an earlier start.  Defined
 results: null and empty texts have no bytes; null ids come last; rows with the same id, null ones too,
-come in the order of a hash of id and text, and equal rows in any; texts of any length are treated
-whole; empty tables give empty results; other columns are ignored.
+come in the order in which they are read; texts of any length are treated whole; empty tables give empty
+results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,9 +69,9 @@ class _Chunk:
 
 
 def _sorted(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    at = pc.sort_indices(table, sort_keys=[("id", "ascending"), ("row", "ascending")])
-    table = table.take(at)
     ids = pc.fill_null(table["id"].combine_chunks(), _LAST).to_numpy(zero_copy_only=False)
+    at = np.argsort(ids, kind="stable")
+    table, ids = table.take(at), ids[at]
     data, offsets = B.string_buffers(table["text"])
     return table, data[offsets[0] : offsets[-1]], offsets - offsets[0], ids
 
@@ -156,13 +156,13 @@ def _least(x: np.ndarray) -> np.ndarray:
 
 
 def _ask_phrases(n: int, length: int, gram: int):
-    def run(chunk: int, table: pa.Table) -> X.Rows:
+    def run(chunk: X.Chunk, table: pa.Table) -> X.Rows:
         d = _dictionary(_parsed(table, length, gram))
         cut = X.slices(d.keys, n)
         rows = []
         for k in range(n):
             own = slice(cut[k], cut[k + 1])
-            rows.append((k, chunk, 0, X.pack(np.array([chunk]), *X.thin(d.keys[own]), d.contents[own], *_narrow(d.ids[own]))))
+            rows.append((k, chunk.to, 0, X.pack(np.array([chunk.number]), *X.thin(d.keys[own]), d.contents[own], *_narrow(d.ids[own]))))
         return rows
 
     return run
@@ -271,7 +271,7 @@ def _ask_windows(n: int, length: int, gram: int):
     """Phrases of SHARED triggers by trigger: (windows of each, id, place in the chunk, bytes); windows of
     HASHED ones by their hashes."""
 
-    def run(chunk: int, table: pa.Table, answers: pa.Table) -> X.Rows:
+    def run(chunk: X.Chunk, table: pa.Table, answers: pa.Table) -> X.Rows:
         c = _parsed(table, length, gram)
         d = _dictionary(c)
         codes = np.concatenate([a[0] for a in X.collect(answers)]) if answers.num_rows else np.zeros(0, np.uint8)
@@ -295,9 +295,9 @@ def _ask_windows(n: int, length: int, gram: int):
             own, own_w = slice(cut[k], cut[k + 1]), slice(cut_w[k], cut_w[k + 1])
             raw = c.data[B.ranges(lo[own], more[own] + length)]
             phrases = [_least(more[own]), *_narrow(c.order[c.row[shared[own]]]), _least(lo[own]), raw]
-            rows.append((k, chunk, 0, X.pack(np.array([chunk]), *phrases, *X.thin(w.hash[own_w]), w.check[own_w], *_narrow(ids[own_w]))))
+            rows.append((k, chunk.to, 0, X.pack(np.array([chunk.number]), *phrases, *X.thin(w.hash[own_w]), w.check[own_w], *_narrow(ids[own_w]))))
         state = X.pack(_least(start), _least(end), _least(lo), _least(more), cut, _least(c.lo[flagged]), _least(c.hi[flagged] - c.lo[flagged]), check)
-        return [*rows, (chunk, chunk, 1, state)]
+        return [*rows, (chunk.number % n, chunk.to, 1, state)]
 
     return run
 
@@ -353,7 +353,7 @@ def _judge_windows(length: int):
 
 
 def _remove(n: int, length: int, id_col: str, id_type: pa.DataType):
-    def run(chunk: int, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(chunk: X.Chunk, table: pa.Table, answers: pa.Table) -> pa.Table:
         table, data, offsets, _ = _sorted(table)
         start = end = np.zeros(0, np.int64)
         if answers.num_rows:
@@ -403,7 +403,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 1 <= gram <= length:
         raise ValueError("gram must lie between 1 and length")
     n = X.parts(docs)
-    chunks = X.chunked(docs, n, id_col, text_col, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
+    chunks = X.chunked(docs, n, id=F.col(f"`{id_col}`").cast("long"), text=F.col(f"`{text_col}`").cast("string"))
     phrases = X.answer(X.ask(chunks, n, _ask_phrases(n, length, gram)), n, _judge_phrases)
     asked = X.ask_again(chunks, phrases, n, _ask_windows(n, length, gram))
     windows = X.answer(asked, n, _judge_windows(length))

@@ -42,10 +42,9 @@ def corpus(seed=5, n=60):
     return rows
 
 
-def ordered(spark, rows):
-    """Rows by id (null last), those with the same id by a hash of id and text."""
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    return [(r.doc_id, r.text) for r in df.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("doc_id", "text")).collect()]
+def ordered(rows):
+    """Rows by id, null last, those with the same id as they are read."""
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
 
 
 def brute_repeats(rows, length):
@@ -79,7 +78,7 @@ def test_repeats_equal_brute_force(spark, monkeypatch, crowded, most, length, gr
     rows = [*corpus(), (100, None), (101, ""), (7, "x" * 99), (7, "ab" * 80), (7, "ab" * 90 + "c"), (102, "é" * 120)]
     rows += [(None, t[10:] + "q") for _, t in corpus()[:12]]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as chunk", "text as id", "'x' as row")
-    assert run_repeats(df, length=length, gram=gram) == brute_repeats(ordered(spark, rows), length)
+    assert run_repeats(df, length=length, gram=gram) == brute_repeats(ordered(rows), length)
 
 
 @pytest.mark.parametrize("length", [1, 7, 8, 20, 100])
@@ -96,14 +95,16 @@ def test_suffix_order(length):
     assert len(repeats.suffix_order(data, start[:0], length)[0]) == 0
 
 
-def test_chunks_spread_repeated_ids(spark):
-    """A null or repeated id fills no chunk by itself, and chunk numbers follow the hash."""
-    df = spark.createDataFrame([(i if i % 3 else None, f"t{i}") for i in range(3000)], "doc_id long, text string")
-    got = X.chunked(df, 8, "doc_id", "text", id=F.col("doc_id")).collect()
-    sizes = Counter(r.chunk for r in got if r.id is None)
-    assert len(sizes) == 8 and max(sizes.values()) < 250
-    got.sort(key=lambda r: r.row)
-    assert [r.chunk for r in got] == sorted(r.chunk for r in got)
+def test_chunks(spark, monkeypatch):
+    """Chunks are bounded whatever the ids are, keep all rows, and lie evenly."""
+    monkeypatch.setattr(X, "CHUNK_BYTES", 3000)
+    df = spark.createDataFrame([(None, f"t{i}" * 20) for i in range(3000)] + [(1, "x" * 9000)], "doc_id long, text string").repartition(5)
+    rows = X.chunked(df, 8, id=F.col("doc_id"), text=F.col("text")).withColumn("p", F.spark_partition_id()).collect()
+    tables = [X._opened(pa.table({"to": [r.to], "number": [r.number], "body": [bytes(r.body)]}))[1] for r in rows]
+    assert len({r.to for r in rows}) == len(rows) and sum(t.num_rows for t in tables) == 3001
+    assert sorted(sum(len(x) for x in t["text"].to_pylist()) > 3000 for t in tables)[-2:] == [False, True]
+    most = Counter(r.p for r in rows)
+    assert len(most) == 8 and max(most.values()) <= len(rows) / 8 + 5
 
 
 def test_repeats_edge_tables(spark):
