@@ -26,7 +26,7 @@ from sparkloom.llm import _blocks as B
 from sparkloom.llm._blocks import U64
 
 #: Text of a chunk, and stored bytes of the input for a key range.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 9 << 20
 RANGE_BYTES = 16 << 20
 _LZ = pa.Codec("zstd", compression_level=1)
 MESSAGE = "to int, dest int, chunk int, kind int, body binary"

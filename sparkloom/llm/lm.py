@@ -91,12 +91,12 @@ class _Gram:
 def _distinct(tokens: np.ndarray, first: np.ndarray, seen: np.ndarray, k: int) -> _Gram:
     key, last = _grams(tokens, first, k)
     order = np.argsort(key)
-    key, last = key[order], last[order]
+    key, last = key[order], last[order].astype(np.int32)
     new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    number = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
-    at = np.full(len(tokens), -1)
+    number = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(key))))
+    at = np.full(len(tokens), -1, np.int32)
     at[last] = number
-    return _Gram(key[new], last[new], at, np.bincount(number[seen[last]], minlength=len(new)))
+    return _Gram(key[new], last[new], at, np.bincount(number[seen[last]], minlength=len(new)).astype(np.int32))
 
 
 def _seen(table: pa.Table, first: np.ndarray) -> np.ndarray:
@@ -125,7 +125,7 @@ def _wanted(g: _Gram, shorter: _Gram, coded: np.ndarray, k: int) -> np.ndarray:
 def _known(g: _Gram, shorter: _Gram, coded: np.ndarray, k: int, answer: np.ndarray) -> np.ndarray:
     """Answers for all n-grams whose history is a state; zero for the others."""
     is_state = coded[_parts(g, shorter)[0]] >> 1 >= _least_state(k - 1)
-    out = np.where(is_state, 2 * g.training, 0)
+    out = np.where(is_state, 2 * g.training.astype(np.int64), 0)
     out[_wanted(g, shorter, coded, k)] = answer
     return out
 
