@@ -5,17 +5,17 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from copy import copy
+from dataclasses import replace
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.pretokenize import check_pattern
-from sparkloom.operators import chat, decode, post
+from sparkloom.operators import chat, decode, packing, post, sqlfunctions
 from sparkloom.operators.encode import Encoder, token_frequency
-from sparkloom.operators.local import encode_local
-from sparkloom.plans.spec import Spec, load
+from sparkloom.plans.spec import AddedToken, Spec, load
 from sparkloom.sources import ranks, tables
 
 
@@ -113,49 +113,25 @@ class SparkTokenizer:
         return f"{type(self).__name__}(n_vocab={self.spec.size})"
 
     def register(self, prefix: str = "tok") -> None:
-        """SQL functions {prefix}_encode, {prefix}_count, {prefix}_offsets, {prefix}_decode and {prefix}_explode.
+        """SQL functions {prefix}_encode, {prefix}_count, {prefix}_offsets, {prefix}_decode and {prefix}_explode."""
+        sqlfunctions.register(self.encoder, prefix)
 
-        They take text and split it in the worker's own process; plans of DataFrames split natively.
-        """
-        shared, plan = self.encoder.shared, (self.spec.stages, self.spec.metaspace)
+    def with_special_tokens(self, tokens: dict[str, int], special: bool = True, lstrip: bool = False, rstrip: bool = False, prepend: str | None = None) -> SparkTokenizer:
+        """A tokenizer of the same kind whose added tokens are these; ``prepend`` says where space marks go
+        around them (none, always, first)."""
+        added = tuple(AddedToken(i, t, special, lstrip, rstrip) for t, i in tokens.items())
+        other = copy(self)
+        other.spec = replace(self.spec, added=added, prepend=self.spec.prepend if prepend is None else prepend)
+        other.encoder = Encoder(self.spark, other.spec, self.encoder.engine)
+        return other
 
-        @F.arrow_udf("array<int>")
-        def tok_encode(texts: pa.Array) -> pa.Array:
-            return pa.array([None if t is None else encode_local(shared.value, plan, t) for t in texts.to_pylist()], pa.list_(pa.int32()))
-
-        @F.arrow_udf("int")
-        def tok_count(texts: pa.Array) -> pa.Array:
-            return pa.array([None if t is None else len(encode_local(shared.value, plan, t)) for t in texts.to_pylist()], pa.int32())
-
-        @F.arrow_udf("array<struct<start: int, end: int>>")
-        def tok_offsets(texts: pa.Array) -> pa.Array:
-            out = []
-            for t in texts.to_pylist():
-                ends = None if t is None else np.cumsum(shared.value.lengths[np.array(encode_local(shared.value, plan, t), np.int64)])
-                out.append(None if t is None else [{"start": int(a), "end": int(b)} for a, b in zip([0, *ends[:-1]], ends)])
-            return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-
-        @F.arrow_udf("string")
-        def tok_decode(lists: pa.Array) -> pa.Array:
-            out = []
-            for x in lists.to_pylist():
-                out += [None] if x is None else decode.decode_rows(shared.value, np.array(x, np.int64), np.array([0, len(x)]))
-            return pa.array(out, pa.string())
-
-        @F.udtf(returnType="pos int, id int, token string, start int, `end` int")
-        class tok_explode:
-            def eval(self, text: str) -> Iterator[tuple]:
-                if text is None:
-                    return
-                t, at = shared.value, 0
-                for pos, i in enumerate(encode_local(t, plan, text)):
-                    raw = t.arena[t.arena_first[i] : t.arena_first[i + 1]].tobytes()
-                    yield pos, int(i), raw.decode("utf-8", "replace"), at, at + len(raw)
-                    at += len(raw)
-
-        for name, f in (("encode", tok_encode), ("count", tok_count), ("offsets", tok_offsets), ("decode", tok_decode)):
-            self.spark.udf.register(f"{prefix}_{name}", f)
-        self.spark.udtf.register(f"{prefix}_explode", tok_explode)
+    def pack(self, df: DataFrame, text: str, order: str, size: int) -> DataFrame:
+        """The frame with each row's place in sequences of ``size`` ids, filled in the order of ``order``."""
+        return packing.packed(df.withColumn("n_tokens", self.count(text)), "n_tokens", order, size)
+
+    def tensors(self, df: DataFrame, columns: tuple[str, ...] = ("input_ids", "attention_mask"), kind: str = "np") -> Iterator[dict]:
+        """Matrices of a frame of padded rows, batch by batch: numpy arrays, or torch tensors ("pt")."""
+        return packing.tensors(df, columns, kind)
 
 
 class SparkAutoTokenizer(SparkTokenizer):
@@ -290,13 +266,20 @@ class SparkAutoTokenizer(SparkTokenizer):
 
         return run(_column(tokens))
 
-    def apply_chat_template(self, messages: Column | str, name: str | None = None, add_generation_prompt: bool = False, tokenize: bool = True, tools: Column | None = None) -> Column:
-        """The prompt's ids, or its text: by a named template, or by the model's own."""
+    def apply_chat_template(
+        self, messages: Column | str, name: str | None = None, add_generation_prompt: bool = False, tokenize: bool = True,
+        tools: Column | None = None, return_dict: bool = False, **values,
+    ) -> Column:
+        """The prompt's ids, or its text: by a named template, or by the model's own, which also sees
+        ``values``.  ``return_dict``: a struct of input_ids and attention_mask."""
         messages = _column(messages)
         if name is not None:
             text = chat.render(messages, name, add_generation_prompt)
         else:
             names = {f"{n}_token": getattr(self, f"{n}_token") or "" for n in ("bos", "eos", "unk", "pad")}
             own = chat.choose(self.chat_template, tools is not None)
-            text = chat.render_jinja(F.to_json(messages), own, names, add_generation_prompt, tools)
-        return self.encode_special(text) if tokenize else text
+            text = chat.render_own(messages, own, names | values, add_generation_prompt, tools)
+        if not tokenize:
+            return text
+        ids = self.encode_special(text)
+        return F.struct(ids.alias("input_ids"), F.array_repeat(F.lit(1), F.size(ids)).alias("attention_mask")) if return_dict else ids

@@ -21,14 +21,17 @@ def normalize_text(text: str, forms: tuple[str, ...]) -> str:
 
 def normalize(text: Column, forms: tuple[str, ...]) -> Column:
     """Column of normalized texts; without forms the column itself, with no Python involved."""
-    if not forms:
-        return text
+    return normal_function(forms)(text) if forms else text
+
+
+def normal_function(forms: tuple[str, ...]):
+    """The Arrow function that normalizes texts."""
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else normalize_text(t, forms) for t in texts.to_pylist()], pa.string())
 
-    return run(text)
+    return run
 
 
 def metaspace(text: Column, mode: int, prefix: bool | Column = True) -> Column:

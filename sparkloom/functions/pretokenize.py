@@ -67,7 +67,8 @@ def to_java(pattern: str) -> str:
     return pattern
 
 
-def _stage(pattern: str) -> str:
+def stage_pattern(pattern: str) -> str:
+    """One expression for the pieces of a split: its matches, and the gaps between them."""
     java = to_java(pattern)
     return f"(?U)(?:{java})|(?:(?!(?:{java}))[\\s\\S])+"
 
@@ -76,7 +77,7 @@ def isolate(text: Column, stages: tuple[str, ...]) -> Column:
     """Pieces of a text after all stages, none of which may match the empty text."""
 
     def split(pattern: str) -> Callable[[Column], Column]:
-        return lambda piece: F.regexp_extract_all(piece, F.lit(_stage(pattern)), F.lit(0))
+        return lambda piece: F.regexp_extract_all(piece, F.lit(stage_pattern(pattern)), F.lit(0))
 
     pieces: Column | None = None
     for pattern in stages:
@@ -86,9 +87,13 @@ def isolate(text: Column, stages: tuple[str, ...]) -> Column:
     return pieces
 
 
+#: Pieces of marks and the non-marks behind them; trailing marks are a piece of their own.
+MARK_PIECES = f"{MARK}*[^{MARK}]+|{MARK}+"
+
+
 def at_marks(text: Column) -> Column:
-    """Pieces of marks and the non-marks behind them; trailing marks are a piece of their own."""
-    return F.regexp_extract_all(text, F.lit(f"{MARK}*[^{MARK}]+|{MARK}+"), F.lit(0))
+    """The pieces of a text with space marks."""
+    return F.regexp_extract_all(text, F.lit(MARK_PIECES), F.lit(0))
 
 
 def check_pattern(spark, pattern: str) -> None:
@@ -96,7 +101,7 @@ def check_pattern(spark, pattern: str) -> None:
     would hide the gaps)."""
     compiler = spark._jvm.java.util.regex.Pattern
     try:
-        compiler.compile(_stage(pattern))
+        compiler.compile(stage_pattern(pattern))
         empty = compiler.compile(f"(?U){to_java(pattern)}").matcher("").find()
     except Exception as error:
         raise ValueError(f"the split pattern doesn't compile: {pattern!r}") from error

@@ -1,4 +1,4 @@
-"""Chat templates: named ones as native expressions, and a model's own where jinja2 is installed."""
+"""Chat templates: named ones as native expressions, and models' own by ``template``."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.template import Template
+
 
 def conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, messages): one row a conversation, its messages in turn order.
@@ -65,48 +67,36 @@ def choose(template: str | list[dict] | None, tools: bool = False) -> str:
     return template
 
 
-def render_jinja(messages: Column, template: str, names: dict[str, str], add_generation_prompt: bool = False, tools: Column | None = None) -> Column:
-    """The prompt by a Jinja template, for messages as a JSON string or an array of (turn, role, text).
+def render_own(messages: Column | str, template: str, values: dict, add_generation_prompt: bool = False, tools: Column | None = None) -> Column:
+    """The prompt by a model's own template, for an array of (turn, role, text) messages or their JSON.
 
-    ``tools``: a JSON string.  ValueError if jinja2 isn't installed.
+    ``values`` are further names that the template sees; ``tools`` is a column of JSON.  Null for null.
+    The template is compiled on the driver first, so a faulty one raises here.
     """
-    try:
-        import jinja2  # noqa: F401
-    except ImportError as error:
-        raise ValueError("a model's own chat template needs jinja2; use a named template") from error
-    as_json = messages if isinstance(messages, Column) else F.col(messages)
+    Template(template)
+    messages = F.col(messages) if isinstance(messages, str) else messages
     tools = F.lit(None).cast("string") if tools is None else tools
+    known = values | {"add_generation_prompt": add_generation_prompt}
 
     @F.arrow_udf("string")
     def run(rows: pa.Array, tool_rows: pa.Array) -> pa.Array:
-        compiled = _compiled(template)
-        out = []
+        made, out = compiled(template), []
         for row, tool in zip(rows.to_pylist(), tool_rows.to_pylist()):
             if row is None:
                 out.append(None)
                 continue
-            talk = json.loads(row)
-            for m in talk:
-                m.setdefault("content", m.get("text", ""))
-            out.append(compiled.render(messages=talk, tools=json.loads(tool) if tool else None, add_generation_prompt=add_generation_prompt, **names))
+            talk = [{**m, "content": m.get("content", m.get("text"))} for m in (json.loads(row) if isinstance(row, str) else row)]
+            out.append(made.render(**known | {"messages": talk, "tools": json.loads(tool) if tool else None}))
         return pa.array(out, pa.string())
 
-    return run(as_json, tools)
+    return run(messages, tools)
 
 
-_cache: dict = {}
+_cache: dict[str, Template] = {}
 
 
-def _compiled(template: str):
+def compiled(template: str) -> Template:
+    """The compiled template, kept by its source."""
     if template not in _cache:
-        from jinja2.exceptions import TemplateError
-        from jinja2.sandbox import ImmutableSandboxedEnvironment
-
-        def fail(message: str):
-            raise TemplateError(message)
-
-        env = ImmutableSandboxedEnvironment(**dict.fromkeys(("lstrip_blocks", "trim_blocks"), True))
-        env.filters["tojson"] = lambda value, **_: json.dumps(value, ensure_ascii=False)
-        env.globals["raise_exception"] = fail
-        _cache[template] = env.from_string(template)
+        _cache[template] = Template(template)
     return _cache[template]

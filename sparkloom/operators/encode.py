@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.merge import PairTable, merge_all, merge_heap, merge_loop
-from sparkloom.functions.normalize import metaspace, normalize, normalize_text
+from sparkloom.functions.normalize import metaspace, normal_function, normalize, normalize_text
 from sparkloom.functions.pretokenize import at_marks, isolate
 from sparkloom.plans.spec import AddedToken, Spec
 
@@ -176,7 +176,7 @@ class Encoder:
     """Columns of one tokenizer."""
 
     def __init__(self, spark: SparkSession, spec: Spec, engine: str = "batch") -> None:
-        self.spec, self.engine = spec, engine
+        self.spark, self.spec, self.engine = spark, spec, engine
         self.tables = Tables.of(spec)
         self.shared: Broadcast = spark.sparkContext.broadcast(self.tables)
 
@@ -194,6 +194,14 @@ class Encoder:
         return self._merged(self.chunks(text, prefix))
 
     def _merged(self, chunks: Column) -> Column:
+        return self.merge_function()(chunks)
+
+    def normal_function(self):
+        """The Arrow function that normalizes texts."""
+        return normal_function(self.spec.forms)
+
+    def merge_function(self):
+        """The Arrow function from arrays of chunks to ids."""
         shared, engine = self.shared, self.engine
 
         @F.arrow_udf("array<int>")
@@ -203,10 +211,14 @@ class Encoder:
             ids, first = m.gather(m.slots(values), first)
             return list_array(ids, first, lists.is_valid() if lists.null_count else None, pa.int32())
 
-        return run(chunks)
+        return run
 
     def count(self, text: Column) -> Column:
         """Number of ids, without making the lists."""
+        return self.count_function()(self.chunks(text))
+
+    def count_function(self):
+        """The Arrow function from arrays of chunks to numbers of ids."""
         shared, engine = self.shared, self.engine
 
         @F.arrow_udf("long")
@@ -217,7 +229,7 @@ class Encoder:
             total = np.concatenate(([0], np.cumsum(m.first[slots + 1] - m.first[slots])))
             return pa.array(total[first[1:]] - total[first[:-1]], mask=lists.is_null().to_numpy(zero_copy_only=False))
 
-        return run(self.chunks(text))
+        return run
 
     def packed(self, text: Column) -> Column:
         """Ids as little-endian 32-bit integers in one binary value."""
@@ -274,7 +286,8 @@ class Encoder:
         s = self.spec
         if not s.added:
             return self.ids(text)
-        parts = split_added(text, self.shared)
+        plain = not s.forms and not any(a.lstrip or a.rstrip for a in s.added) and any(a.content for a in s.added)
+        parts = native_added(text, s.added) if plain else split_added(text, self.shared)
         prefix = (lambda p: p.start == 0) if s.prepend == "first" else (lambda p: F.lit(True))
         pieces = F.transform(parts, lambda p: F.struct(p.id.alias("id"), self.chunks(p.text, prefix(p), normalized=True).alias("chunks")))
         shared, engine = self.shared, self.engine
@@ -331,9 +344,26 @@ def split_text(text: str, pattern: re.Pattern, by: dict[str, AddedToken], forms:
     return out
 
 
+def native_added(text: Column, added: tuple[AddedToken, ...]) -> Column:
+    """The same pieces by native expressions, for added tokens that swallow no white space."""
+    by = {a.content: a.id for a in added if a.content}
+    longest = sorted(by, key=lambda c: (-len(c), c))
+    tokens = "|".join(re.sub(r"([^\w\s])", r"\\\1", c) for c in longest)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?:{tokens})|(?:(?!{tokens})[\\s\\S])+"), F.lit(0))
+    ids = F.create_map(*[x for c in longest for x in (F.lit(c), F.lit(by[c]))])
+
+    def piece(p: Column, i: Column) -> Column:
+        own = F.try_element_at(ids, p)
+        return F.struct(F.coalesce(own, F.lit(-1)).alias("id"), F.when(own.isNull(), p).otherwise("").alias("text"), F.when(own.isNull() & (i == 0), 0).otherwise(1).alias("start"))
+
+    return F.transform(pieces, piece)
+
+
 def split_added(text: Column, shared: Broadcast) -> Column:
     """Array of (id, text, start) pieces around added tokens; ``start`` is 0 for a piece at the text's
-    beginning.  The texts between are normalized here, so that no second Python step is needed."""
+    beginning.  The texts between are normalized here, so that no second Python step is needed.
+
+    For tokens that swallow white space, and models that normalize; others are split natively."""
 
     @F.arrow_udf("array<struct<id: int, text: string, start: int>>")
     def run(texts: pa.Array) -> pa.Array:

@@ -238,6 +238,8 @@ def parse(model: dict, config: dict | None = None) -> Spec:
     vocab = core.get("vocab")
     if not isinstance(vocab, dict):
         raise UnsupportedTokenizer("the model has no vocabulary of tokens and ids")
+    if core.get("type") not in (None, "BPE"):
+        raise UnsupportedTokenizer(f"unsupported model: {core['type']}")
     for name, neutral in (("dropout", (None, 0, 0.0)), ("continuing_subword_prefix", (None, "")), ("end_of_word_suffix", (None, ""))):
         if core.get(name) not in neutral:
             raise UnsupportedTokenizer(f"{name} isn't supported")
@@ -262,11 +264,15 @@ def parse(model: dict, config: dict | None = None) -> Spec:
         AddedToken(int(a["id"]), a["content"], bool(a.get("special")), bool(a.get("lstrip")), bool(a.get("rstrip")))
         for a in model.get("added_tokens") or []
     )
-    return Spec(
+    spec = Spec(
         vocab, _merge_table(vocab, core.get("merges") or []), added, forms, stages, mode, scheme, fallback,
         bool(core.get("ignore_merges")), any(d.get("type") == "Strip" and d.get("content") == " " for d in decoders),
         model.get("post_processor"), dict(config or {}),
     )
+    # With a token for every byte nothing is unknown, so neither unk_token nor fuse_unk matters.
+    if core.get("unk_token") in vocab and (spec.byte_ids < 0).any():
+        raise UnsupportedTokenizer("unk_token isn't supported where bytes have no token")
+    return spec
 
 
 def load(path: str, config: dict | str | None = None) -> Spec:

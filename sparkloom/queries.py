@@ -179,9 +179,9 @@ def encode_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closed form of cutting the longer sequence first, for pairs of a document with its twin
-    without spaces."""
+    without vowels."""
     t = _tokenizer(spark)
-    rows = _docs(spark, sf_dir).select("doc_id", t.encode("text").alias("a"), t.encode(F.translate("text", " ", "")).alias("b"))
+    rows = _docs(spark, sf_dir).select("doc_id", t.encode("text").alias("a"), t.encode(F.translate("text", "aeiou", "")).alias("b"))
     a, b = post.truncate_pair(F.col("a"), F.col("b"), 301)
     return rows.select("doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size(a).cast("long").alias("cut_a"), F.size(b).cast("long").alias("cut_b"))
 

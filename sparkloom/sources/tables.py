@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.plans.spec import Spec
 
@@ -33,8 +34,14 @@ def added_table(spark: SparkSession, spec: Spec) -> DataFrame:
 def rank_inversions(merges: DataFrame) -> DataFrame:
     """Tokens that are used by a merge of no higher rank than one that makes them; none in a
     monotonic table.  Two grouped aggregates and a join."""
-    from pyspark.sql import functions as F
-
     made = merges.groupBy(F.col("target_id").alias("id")).agg(F.max("rank").alias("made"))
     used = merges.select("rank", F.explode(F.array("left_id", "right_id")).alias("id")).groupBy("id").agg(F.min("rank").alias("used"))
     return made.join(used, "id").where(F.col("made") >= F.col("used"))
+
+
+def vocab_diff(a: DataFrame, b: DataFrame, id_col: str = "id", bytes_col: str = "bytes") -> DataFrame:
+    """(bytes, id_a, id_b) of all tokens whose ids differ between two vocabularies, null where a token is
+    missing."""
+    left = a.select(F.col(bytes_col).alias("bytes"), F.col(id_col).alias("id_a"))
+    right = b.select(F.col(bytes_col).alias("bytes"), F.col(id_col).alias("id_b"))
+    return left.join(right, "bytes", "full").where(~F.col("id_a").eqNullSafe(F.col("id_b")))

@@ -2,6 +2,7 @@ import base64
 import json
 import random
 import unicodedata
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -14,7 +15,6 @@ from sparkloom import queries
 from sparkloom.api import SparkAutoTokenizer, SparkTokenizer
 from sparkloom.functions.pretokenize import NUMBER, camel_grammar, generic_grammar, isolate, to_java, word_grammar
 from sparkloom.operators import chat, post
-from sparkloom.operators.local import encode_local
 from sparkloom.plans.spec import UnsupportedTokenizer, load, parse, to_surface
 from sparkloom.sources import ranks, tables
 
@@ -271,8 +271,6 @@ def test_prefix_around_added_tokens(spark, scheme, want):
 
 
 def test_added_tokens_match_longest_and_strip(spark, rank_table):
-    from dataclasses import replace
-
     from sparkloom.plans.spec import AddedToken
 
     spec = ranks.spec_of_ranks(rank_table, word_grammar())
@@ -348,8 +346,6 @@ def test_call_pads_and_truncates(spark, texts, side):
 
 def test_templates(spark):
     spec = parse({"model": {"vocab": {"[CLS]": 5, "[SEP]": 6, "<s>": 7, "</s>": 8, "a": 0}, "merges": []}, "pre_tokenizer": LEVEL})
-    from dataclasses import replace
-
     a, b = F.array(F.lit(1), F.lit(2)), F.array(F.lit(3))
     row = spark.range(1)
 
@@ -470,8 +466,131 @@ def test_sql_functions(spark, texts):
     assert spans == {r.id: None if r.id < 0 else r.s for r in texts.select("id", t.encode_offsets("text").spans.alias("s")).collect()}
     exploded = spark.sql("select t.pos, t.id, t.start, t.end from texts, lateral tk_explode(text) t where texts.id = 3 order by t.pos").collect()
     assert [r.id for r in exploded] == want[3].x and exploded[-1].end == len(TEXTS[3].encode())
-    local = [encode_local(t.encoder.tables, (t.spec.stages, t.spec.metaspace), x) for x in TEXTS[:50]]
-    assert local == [want[i].x for i in range(50)]
+
+
+@pytest.mark.parametrize("kind", ["word", "generic", "camel", "multi", "marks", "forms"])
+def test_sql_functions_equal_columns(spark, rank_table, kind):
+    """The SQL functions split by the same expressions as the columns, for every kind of model."""
+    pool = [*POOL, "it'ſo", "'ſ", "ǅ", "é", "e\u0301", "ﬁ", "<0x41>"]
+    rows = [(i, x) for i, x in enumerate(fuzz(11, 1500, 30, pool))] + [(-1, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    if kind == "marks":
+        spec = queries.piece_spec()
+    elif kind == "forms":
+        spec = replace(ranks.spec_of_ranks(rank_table, generic_grammar(3)), forms=("NFC",))
+    else:
+        spec = ranks.spec_of_ranks(rank_table, {"word": word_grammar(), "generic": generic_grammar(3), "camel": camel_grammar(3), "multi": NUMBER}[kind])
+        spec = replace(spec, stages=(NUMBER, HAN, generic_grammar(3, True))) if kind == "multi" else spec
+    t = SparkTokenizer(spec, spark)
+    t.register("same")
+    df.createOrReplaceTempView("same_texts")
+    want = collect(df, t.encode("text").alias("x"), t.count("text").alias("n"))
+    got = {r.id: r for r in spark.sql("select id, same_encode(text) as x, same_count(text) as n from same_texts").collect()}
+    assert {i: (r.x, r.n) for i, r in got.items()} == {i: (r.x, r.n) for i, r in want.items()}
+
+
+def test_with_special_tokens(spark):
+    t = SparkTokenizer(queries.MODEL, spark)
+    other = t.with_special_tokens({"<a>": 70000}, rstrip=True)
+    df = spark.createDataFrame([(0, f"<a>  x{END}")], "id int, text string")
+    assert collect(df, other.encode_special("text").alias("x"))[0].x[:2] == [70000, t.spec.ids["x"]]
+    assert collect(df, t.encode_special("text").alias("x"))[0].x[-1] == 50256 and t.spec.added != other.spec.added
+
+
+def test_native_split_equals_the_other(spark, rank_table):
+    """Added tokens are found by native expressions where none swallows white space, with the same result."""
+    from sparkloom.operators.encode import native_added, split_added
+    from sparkloom.plans.spec import AddedToken
+
+    added = (AddedToken(1, "<a>"), AddedToken(2, "<a><b>"), AddedToken(3, "$x|"), AddedToken(4, "^ .*"), AddedToken(5, "日本"), AddedToken(6, "\\E"))
+    t = SparkTokenizer(replace(ranks.spec_of_ranks(rank_table, word_grammar()), added=added), spark)
+    rows = [(i, x) for i, x in enumerate(fuzz(12, 1000, 14, ["<a>", "<b>", "<", "$x|", "^ .*", "日", "本", "\\E", " ", "\n", "x"]))] + [(-1, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = collect(df, native_added(F.col("text"), added).alias("a"), split_added(F.col("text"), t.encoder.shared).alias("b"))
+    assert all(r.a == r.b for r in got.values())
+
+
+def test_packing(spark):
+    from sparkloom.operators import packing
+
+    rng = random.Random(3)
+    rows = [(i * 3 % 1009, rng.choice([0, 1, 5, 70, 400])) for i in range(1000)]
+    df = spark.createDataFrame(rows, "o long, n long").repartition(5)
+    start, want = 0, {}
+    for o, n in sorted(rows):
+        want[o] = (start // 128, start % 128, (start + n - 1) // 128 if n else None)
+        start += n
+    assert {r.o: (r.first_sequence, r.offset, r.last_sequence) for r in packing.packed(df, "n", "o", 128).collect()} == want
+    assert packing.packed(df.limit(0), "n", "o", 128).count() == 0
+    assert packing.packed(df.limit(1), "n", "o", 128).first().first_sequence == 0
+
+
+def test_tensors(spark, texts):
+    t = SparkTokenizer(queries.MODEL, spark)
+    out = t.encode_batch(texts.where("id between 0 and 20"), "text", 7, 1)
+    want = collect(out, "input_ids")
+    got = np.concatenate([x["input_ids"] for x in t.tensors(out.orderBy("id"), ("input_ids",))])
+    assert got.dtype == np.int64 and got.tolist() == [want[i].input_ids for i in range(21)]
+    with pytest.raises(ValueError):
+        next(t.tensors(out, ("input_ids",), "tf"))
+    with pytest.raises(Exception, match="one length"):
+        list(t.tensors(texts.select("id", t.encode("text").alias("input_ids")), ("input_ids",)))
+
+
+def test_vocab_diff(spark):
+    a = spark.createDataFrame([(0, b"a"), (1, b"b"), (2, b"c")], "id int, bytes binary")
+    b = spark.createDataFrame([(0, b"a"), (5, b"b"), (2, b"d")], "id int, bytes binary")
+    assert {(bytes(r.bytes), r.id_a, r.id_b) for r in tables.vocab_diff(a, b).collect()} == {(b"b", 1, 5), (b"c", 2, None), (b"d", None, 2)}
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("a\n{% if x %}\nb\n{% endif %}\nc", "a\nb\nc"),
+        ("  {% if not x %}\n q\n  {% elif x == 'v' %}\n r\n  {% else %}\n{% endif %}\n!", " r\n!"),
+        ("{{- x -}}  y", "vy"),
+        ("{% for i in l %}{{ i }}{% if not loop.last %}, {% endif %}{% else %}none{% endfor %}", "1, 2, 3"),
+        ("{% for i in l if i > 5 %}{{ i }}{% else %}none{% endfor %}", "none"),
+        ("{% for k, v in d.items() %}{{ k ~ v }};{% endfor %}", "p1;q2;"),
+        ("{% set y = l[1:] %}{{ y | join('-') }}{{ l[-1] }}{{ l | length }}", "2-333"),
+        ("{% set ns = namespace(n=0) %}{% for i in l %}{% set ns.n = ns.n + i * 2 %}{% endfor %}{{ ns.n // 5 }} {{ ns.n % 5 }}", "2 2"),
+        ("{% set z = 1 %}{% for i in l %}{% set z = 5 %}{% endfor %}{{ z }}", "1"),
+        ("{{ 'yes' if d.p is defined and d.r is not defined else 'no' }}", "yes"),
+        ("{{ 1 + 2 * 3 - -1 }}{{ 'a' 'b' + \"c\\n\" }}", "8abc\n"),
+        ("{{ d['p'] in l and 'x' not in x }}{{ none is none }}{{ x is string }}", "TrueTrueTrue"),
+        ("{{ gone.more | default('d') }}{{ gone }}{{ x.upper() }}{{ x.__class__ }}", "dV"),
+        ("{# note #}\n{{ d | tojson }}", '{"p": 1, "q": 2}'),
+        ("{{ [1, (2, 3), {'a': true}] }}", "[1, (2, 3), {'a': True}]"),
+    ],
+)
+def test_template_language(source, want):
+    assert chat.compiled(source).render(x="v", l=[1, 2, 3], d={"p": 1, "q": 2}) == want
+
+
+@pytest.mark.parametrize("source", ["{% macro f() %}{% endmacro %}", "{{ x | nope }}", "{{ x is nope }}", "{% for %}", "{{ 1 + }}", "{% if x %}", "{{ x", "{% endif %}", "{{ x y }}"])
+def test_faulty_templates(source):
+    with pytest.raises(ValueError):
+        chat.compiled(source)
+
+
+def test_template_errors_reach_the_caller():
+    with pytest.raises(ValueError, match="bad role"):
+        chat.compiled("{{ raise_exception('bad role') }}").render()
+    with pytest.raises(ValueError):
+        chat.compiled("{% set x.y = 1 %}").render(x={"y": 0})
+
+
+@pytest.mark.parametrize("kind", ["WordLevel", "WordPiece", "Unigram"])
+def test_other_models_are_rejected(kind):
+    with pytest.raises(UnsupportedTokenizer):
+        parse({"model": TINY | {"type": kind}, "pre_tokenizer": LEVEL})
+
+
+def test_unknown_tokens():
+    full = {c: i for i, c in enumerate(to_surface(bytes(range(256))))}
+    assert parse({"model": {"vocab": full, "merges": [], "unk_token": to_surface(b"a")}, "pre_tokenizer": LEVEL}).size == 256
+    with pytest.raises(UnsupportedTokenizer):
+        parse({"model": TINY | {"unk_token": "a"}, "pre_tokenizer": LEVEL})
 
 
 def test_frequency(spark, texts):
