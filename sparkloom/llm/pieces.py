@@ -1,19 +1,22 @@
 """SentencePiece encoding and decoding with a given vocabulary.
 
 Two segmentations are offered.  ``best`` is the one of largest total piece score, by dynamic
-programming in the max-plus semiring: giant inputs are split into chunks, each chunk yields a
-transfer matrix from the states at its left boundary to those at its right one (a state is how far a
-piece reaches over the boundary), the matrices are combined associatively, and every chunk is traced
-back by itself once the boundary states are known.  ``ids`` is the library's own result for models
-of the BPE kind (highest-scoring pair first), which no sum of scores can express.
+programming in the max-plus semiring.  Giant documents (``GIANT`` bytes and more) and giant words are
+split into chunks of ``CHUNK`` characters wherever these end: each chunk yields a transfer matrix from the
+states at its left boundary to those at its right one (a state is how far a piece reaches over the
+boundary), the matrices are combined associatively by a parallel scan, and every chunk is traced back by
+itself once the boundary states are known; chunks are worked on side by side.  ``ids`` is the library's
+own result for models of the BPE kind (highest-scoring pair first), which no sum of scores can express.
 
 No piece of the vocabulary may hold a space mark after another character (checked at load), so units
-"blanks + following non-blanks" are independent and each distinct unit is segmented once: all new
-units of a block at the same time, with numpy.  Results are kept in a bounded cache per process.
+"blanks + following non-blanks" are independent, and for shorter documents each distinct unit is segmented
+once: all new units of a block at the same time, with numpy.  Results are kept in a bounded cache per
+process.  Both ways give the same segmentation.
 
 Defined results: null and empty texts have no ids; a literal space mark U+2581 counts as a space;
-characters that no piece covers become byte pieces; repeated rows are encoded one by one; empty
-tables give empty results; other columns are ignored.
+characters that no piece covers become byte pieces; of segmentations with equal sums the one whose last
+piece is longer counts, at every place; texts are encoded whole; repeated rows and rows with null or
+repeated ids give one result each; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +36,12 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NEVER = -1e30
 CACHE_UNITS = 3 << 20
-CHUNK = 2048
-BLOCK = 2 << 20
+#: Bytes from which a document, and characters from which a unit, goes through the scan.
+GIANT = 1 << 15
+UNIT = 2048
+#: Characters of a chunk of the scan, and chunks whose lattice is in memory at a time.
+CHUNK = 256
+GROUP = 2048
 
 
 @dataclass
@@ -265,17 +272,17 @@ def _edges(v: Vocabulary, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarr
 def best(v: Vocabulary, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, unit offsets, unit scores) of the segmentations with the largest sum of scores.
 
-    Among equals the longer last piece wins, at every place.  Units of more than CHUNK characters go
+    Among equals the longer last piece wins, at every place.  Units of more than UNIT characters go
     through ``scan``; all others are stepped through together.
     """
     n = len(first) - 1
     size = np.diff(first)
     total = np.zeros(n)
     parts: list[tuple[np.ndarray, np.ndarray]] = []
-    for u in np.flatnonzero(size > CHUNK).tolist():
+    for u in np.flatnonzero(size > UNIT).tolist():
         got, total[u] = scan(v, codes[first[u] : first[u + 1]])
         parts.append((np.full(len(got), u), got))
-    units = np.flatnonzero((size <= CHUNK) & (size > 0))
+    units = np.flatnonzero((size <= UNIT) & (size > 0))
     if len(units):
         units = units[np.argsort(-size[units], kind="stable")]  # longest first: the live ones are a prefix
         size = size[units]
@@ -318,87 +325,174 @@ def best(v: Vocabulary, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
     return symbols[np.argsort(owner, kind="stable")], np.concatenate(([0], np.cumsum(counts))), total
 
 
-def transfer(score: np.ndarray) -> np.ndarray:
-    """Max-plus matrix of a chunk: entry (a, b) is the best sum over paths that begin a characters
-    after its left end (a piece from before reaches that far) and end b characters after its right end.
+def transfer(score: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Max-plus matrices of chunks: entry (a, b) is the best sum over paths that begin a characters after
+    the chunk's left end (a piece from before reaches that far) and end b characters after its right end.
 
-    ``score``: as from ``_edges``, for the chunk's places; pieces may reach over the right end.
+    ``score``: (longest, chunks, places) as from ``_edges``; pieces may reach over the right end.
+    ``begin``: whether a unit begins at each place, which all paths pass then.  From the first such place
+    on one row of the matrix serves for all.
     """
-    longest, n = score.shape
-    value = np.full((longest, n + longest), NEVER)
-    value[np.arange(min(longest, n + longest)), np.arange(min(longest, n + longest))] = 0
-    for i in range(n):
-        reach = value[:, i : i + 1] + score[:, i][None, :]
-        np.maximum(value[:, i + 1 : i + 1 + longest], reach, out=value[:, i + 1 : i + 1 + longest])
-    return value[:, n:]
+    longest, n, chunk = score.shape
+    cut = np.where(begin.any(1), begin.argmax(1), chunk)
+    left = np.full((n, longest), NEVER)
+    out = np.full((n, longest, longest), NEVER)
+    live = np.arange(n)
+    value = np.full((n, longest, longest), NEVER)
+    value[:, np.arange(longest), np.arange(longest)] = 0
+    for i in range(chunk + 1):
+        done = cut[live] == i
+        if done.any():
+            if i < chunk:
+                left[live[done]] = value[done, :, 0]
+            else:
+                out[live[done]] = value[done]
+            live, value = live[~done], value[~done]
+        if len(live) == 0:
+            break
+        value = _moved(value, score[:, live, i].T[:, None, :])
+    some = np.flatnonzero(cut < chunk)
+    right = np.full((len(some), longest), NEVER)
+    for i in range(int(cut[some].min(initial=chunk)), chunk):
+        right[cut[some] == i, 0] = 0
+        right = _moved(right, score[:, some, i].T)
+    out[some] = left[some][:, :, None] + right[:, None, :]
+    return out
+
+
+def _moved(value: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The values one place further: the last axis counts characters from the place on."""
+    out = np.full_like(value, NEVER)
+    out[..., :-1] = value[..., 1:]
+    return np.maximum(out, value[..., :1] + score)
 
 
 def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product."""
-    return np.max(a[:, :, None] + b[None, :, :], axis=1)
+    """Max-plus products of matrices (last two axes)."""
+    out = a[..., :, 0, None] + b[..., 0, None, :]
+    for k in range(1, a.shape[-1]):
+        np.maximum(out, a[..., :, k, None] + b[..., k, None, :], out=out)
+    return out
 
 
-def _prefixes(parts: list[np.ndarray]) -> list[np.ndarray]:
+def prefixes(parts: np.ndarray) -> np.ndarray:
     """Products of the first 1, 2, ... matrices, by a balanced (parallel) scan."""
-    if len(parts) == 1:
+    n = len(parts)
+    if n == 1:
         return parts
-    pairs = [compose(parts[i], parts[i + 1]) for i in range(0, len(parts) - 1, 2)]
-    done = _prefixes(pairs)
-    out = [parts[0]]
-    for i in range(1, len(parts)):
-        out.append(done[i // 2] if i % 2 else compose(done[i // 2 - 1], parts[i]))
+    done = prefixes(compose(parts[0 : n - 1 : 2], parts[1:n:2]))
+    out = np.empty_like(parts)
+    out[0] = parts[0]
+    out[1::2] = done
+    out[2::2] = compose(done[: len(out[2::2])], parts[2::2])
     return out
 
 
 def scan(v: Vocabulary, codes: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, float]:
-    """Best segmentation of one giant unit by chunks: matrices, their scan, backtraces."""
+    """Best segmentation of one giant unit."""
     n = len(codes)
-    chunk = max(chunk, v.longest)
-    ids, score = _edges(v, codes, n - np.arange(n))
-    bounds = list(range(0, n, chunk)) + [n]
-    if len(bounds) > 2 and bounds[-1] - bounds[-2] < v.longest:
-        del bounds[-2]
-    matrices = [transfer(score[:, a:b]) for a, b in zip(bounds, bounds[1:])]
-    prefix = _prefixes(matrices)
-    first = np.full(v.longest, NEVER)
-    first[0] = 0
-    enter = [first] + [p[0] for p in prefix[:-1]]  # scores of the states at each chunk's left end
-    traced = [_trace(score[:, a:b], e) for (a, b), e in zip(zip(bounds, bounds[1:]), enter)]
-    # Each chunk maps the state at its right end to the one at its left end; chaining these maps from
-    # the end gives every boundary state, and with it every chunk's own path.
-    state, out = 0, []
-    for (steps, lefts), a in zip(reversed(traced), reversed(bounds[:-1])):
-        path = steps[state]
-        out.append(np.array([ids[l - 1, a + i] for i, l in path], np.int64))
-        state = lefts[state]
-    return np.concatenate(out[::-1]), float(prefix[-1][0, 0])
-
-
-def _trace(score: np.ndarray, enter: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[int]]:
-    """For every state at the right end: the path inside the chunk (place, length) and the state at
-    the left end from which it comes."""
-    longest, n = score.shape
-    value = np.full(n + longest, NEVER)
-    value[:longest] = enter
-    back = np.zeros(n + longest, np.int64)  # 0: the state came in from the left
-    for j in range(1, n + longest):
-        for l in range(min(j, longest), 0, -1):
-            i = j - l
-            if i < n and value[i] > NEVER / 2:
-                x = value[i] + score[l - 1, i]
+    begin = np.zeros(n, bool)
+    begin[:1] = True
+    symbols, _, total = scan_rows(v, codes, np.array([0, n]), n - np.arange(n), begin, chunk)
+    return symbols, float(total[0])
+
+
+def scan_rows(
+    v: Vocabulary, codes: np.ndarray, first: np.ndarray, room: np.ndarray, begin: np.ndarray, chunk: int = CHUNK, group: int = GROUP
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, row offsets, row scores) of the best segmentations of giant rows, none of them empty, by
+    chunks: matrices, their scan, backtraces.
+
+    ``room``: characters from each place to the end of its unit; ``begin``: where units begin.
+    """
+    size, reach = np.diff(first), v.longest
+    chunk = max(min(chunk, int(size.max())), reach)
+    per = -(-size // chunk)
+    bound = np.concatenate(([0], np.cumsum(per)))
+    n = int(bound[-1])
+    # Rows filled up to whole chunks with places that are units of their own and cost nothing.
+    place = np.repeat(bound[:-1] * chunk - first[:-1], size) + np.arange(len(codes))
+    full = np.zeros(n * chunk + reach, codes.dtype)
+    rooms, begins, real = np.zeros(len(full), np.int64), np.ones(len(full), bool), np.zeros(len(full), bool)
+    full[place], rooms[place], begins[place], real[place] = codes, room, begin, True
+
+    def lattice(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(lo * chunk, hi * chunk + reach)
+        count = (hi - lo) * chunk
+        left = np.minimum(rooms[own], count + reach - np.arange(count + reach))
+        left[count:] = 0
+        ids, score = _edges(v, full[own], left)
+        ids, score = ids[:, :count], score[:, :count]
+        score[0, ~real[own][:count]] = 0
+        return ids.reshape(reach, hi - lo, chunk), score.reshape(reach, hi - lo, chunk)
+
+    spans = [(lo, min(lo + group, n)) for lo in range(0, n, group)]
+    matrices = np.empty((n, reach, reach))
+    kept = None
+    for lo, hi in spans:
+        kept = lattice(lo, hi)
+        matrices[lo:hi] = transfer(kept[1], begins[lo * chunk : hi * chunk].reshape(-1, chunk))
+    enter = np.full((n, reach), NEVER)
+    enter[bound[:-1], 0] = 0
+    total = np.zeros(len(size))
+    for r in range(len(size)):
+        got = prefixes(matrices[bound[r] : bound[r + 1]])
+        enter[bound[r] + 1 : bound[r + 1]] = got[:-1, 0]
+        total[r] = got[-1, 0, 0]
+    last = np.zeros(n, bool)
+    last[bound[1:] - 1] = True
+    exit_ = np.zeros(n, np.int64)  # state at each chunk's right end, known from the chunk behind
+    places, found, state = [], [], 0
+    for k, (lo, hi) in enumerate(reversed(spans)):
+        ids, score = kept if k == 0 else lattice(lo, hi)
+        back = _backward(score, enter[lo:hi])
+        lefts = _followed(back, chunk)
+        for c in range(hi - 1, lo - 1, -1):
+            exit_[c] = 0 if last[c] else state
+            state = int(lefts[c - lo, exit_[c]])
+        at, who = chunk + exit_[lo:hi], np.arange(hi - lo)
+        while len(who):
+            step = back[at, who]
+            at, who, step = at[step > 0], who[step > 0], step[step > 0]
+            at = at - step
+            places.append((lo + who) * chunk + at)
+            found.append(ids[step - 1, who, at])
+    at, symbols = np.concatenate(places), np.concatenate(found)
+    order = np.argsort(at)
+    at, symbols = at[order], symbols[order]
+    at, symbols = at[real[at]], symbols[real[at]]
+    return symbols, np.searchsorted(at, np.append(bound[:-1] * chunk, n * chunk)), total
+
+
+def _backward(score: np.ndarray, enter: np.ndarray) -> np.ndarray:
+    """(places, chunks): length of the last piece of the best path to each place of every chunk, up to
+    the states behind its right end; 0 where the path came in from the left."""
+    longest, n, chunk = score.shape
+    value = np.full((chunk + longest, n), NEVER)
+    value[:longest] = enter.T
+    back = np.zeros((chunk + longest, n), np.int64)
+    for j in range(1, chunk + longest):
+        for size in range(min(j, longest), 0, -1):
+            i = j - size
+            if i < chunk:
+                x = value[i] + score[size - 1, :, i]
                 # A piece from before the chunk is longer than any that begins inside it.
-                if x > value[j]:
-                    value[j], back[j] = x, l
-    steps, lefts = [], []
-    for b in range(longest):
-        path, j = [], n + b
-        while back[j]:
-            l = int(back[j])
-            j -= l
-            path.append((j, l))
-        steps.append(path[::-1])
-        lefts.append(min(j, longest - 1))
-    return steps, lefts
+                better = x > value[j]
+                value[j, better], back[j, better] = x[better], size
+    return back
+
+
+def _followed(back: np.ndarray, chunk: int) -> np.ndarray:
+    """(chunks, states): the state at the left end from which each state at the right end is reached."""
+    places, n = back.shape
+    states = places - chunk
+    at = np.repeat(chunk + np.arange(states)[None, :], n, 0)
+    who = np.arange(n)[:, None]
+    while True:
+        step = back[at, who]
+        if not step.any():
+            return np.minimum(at, states - 1)
+        at = at - step
 
 
 def _expand(v: Vocabulary, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -489,8 +583,42 @@ class Codec:
 
     def encode(self, block: B.Block, kind: str = "ids") -> tuple[np.ndarray, np.ndarray]:
         """(ids, row offsets)."""
-        _, _, units, slot = self.units(block)
-        return self._gather(units, slot, kind)
+        full, offsets, units, slot = self.units(block)
+        return self._gather(units, slot, kind) if kind == "ids" else self.best(full, offsets, units, slot)[:2]
+
+    def best(self, full: np.ndarray, offsets: np.ndarray, units: B.Words, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, row offsets, row scores) of the best segmentations: giant rows by the scan over their
+        chunks, others by their units."""
+        flat, first = self._gather(units, slot, "best")
+        score = B.sums(self.score.values[slot], units.first)
+        giant = np.flatnonzero(np.diff(offsets) >= GIANT)
+        if len(giant) == 0:
+            return flat, first, score
+        symbols, at, score[giant] = self._scanned(full, offsets, units, giant)
+        parts, last = [], 0
+        count = np.diff(first)
+        for k, r in enumerate(giant.tolist()):
+            parts += [flat[first[last] : first[r]], symbols[at[k] : at[k + 1]]]
+            count[r] = at[k + 1] - at[k]
+            last = r + 1
+        return np.concatenate([*parts, flat[first[last] :]]), np.concatenate(([0], np.cumsum(count))), score
+
+    def _scanned(self, full: np.ndarray, offsets: np.ndarray, units: B.Words, giant: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = full[B.ranges(offsets[giant], offsets[giant + 1] - offsets[giant])]
+        text = raw.tobytes().decode("utf-8", "replace").replace(" ", MARK)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        points = np.concatenate(([0], np.cumsum(B.LEAD[full])))  # characters before each byte
+        size = points[offsets[giant + 1]] - points[offsets[giant]]
+        first = np.concatenate(([0], np.cumsum(size)))
+        own = B.ranges(units.first[giant], units.first[giant + 1] - units.first[giant])
+        shift = np.repeat(first[:-1] - points[offsets[giant]], units.first[giant + 1] - units.first[giant])
+        start, end = points[units.start[own]] + shift, points[units.end[own]] + shift
+        begin = np.zeros(len(codes), bool)
+        begin[start] = True
+        room = np.repeat(end, end - start) - np.arange(len(codes))
+        symbols, at, score = scan_rows(self.v, codes, first, room, begin)
+        symbols, at = _expand(self.v, symbols, at)
+        return symbols, at, score
 
     def _gather(self, units: B.Words, slot: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
         at, store = (self.ids_at, self.ids) if kind == "ids" else (self.best_at, self.best_ids)
@@ -533,7 +661,7 @@ def checked(block: B.Block, c: Codec) -> dict:
     """Columns of ``encode_digest`` for a block."""
     full, offsets, units, slot = c.units(block)
     ids, first = c._gather(units, slot, "ids")
-    best_ids, best_first = c._gather(units, slot, "best")
+    best_ids, best_first, best_score = c.best(full, offsets, units, slot)
     same = np.zeros((2, block.n), bool)
     plain, at = decode(c.v, ids, first), decode(c.v, best_ids, best_first)
     size = np.diff(offsets) - (np.diff(offsets) > 0)
@@ -550,7 +678,7 @@ def checked(block: B.Block, c: Codec) -> dict:
         "n_ids": np.diff(first),
         "ids_sha256": _sha(ids, first),
         "n_best": np.diff(best_first),
-        "best_score": B.sums(c.score.values[slot], units.first),
+        "best_score": best_score,
         "best_sha256": _sha(best_ids, best_first),
         "round_trip": same.all(0),
     }
@@ -575,6 +703,18 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id",
     return _map.measured(docs, id_col, text_col, "ids array<int>", measure)
 
 
+def encode_both(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, best): the library's ids and the segmentation with the largest sum of scores."""
+
+    def measure(block: B.Block) -> dict:
+        c = codec(model)
+        full, offsets, units, slot = c.units(block)
+        both = (c._gather(units, slot, "ids"), c.best(full, offsets, units, slot)[:2])
+        return {name: pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.astype(np.int32))) for name, (flat, first) in zip(("ids", "best"), both)}
+
+    return _map.measured(docs, id_col, text_col, "ids array<int>, best array<int>", measure)
+
+
 def decode_ids(rows: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of rows of ids; bytes that are no UTF-8 become U+FFFD, ids out of range are skipped."""
     from pyspark.sql import functions as F

@@ -3,6 +3,7 @@
 import re
 from math import log2, sqrt
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -138,7 +139,13 @@ def test_stages_one_by_one(spark, plain, tmp_path):
 
 
 def test_run(spark, plain):
-    assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()} == plain[-1]
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id: r.ids for r in got} == plain[-1]
+    v = pieces.codec(pieces.DEFAULT_MODEL).v
+    for r in got:
+        for ids in (r.ids, r.best):
+            assert pieces.decode(v, np.array(ids, np.int64), np.array([0, len(ids)]))[0].tobytes().decode() == plain[-2][r.doc_id]
+        assert len(r.best) <= len(r.ids) or sum(v.score[r.best]) >= sum(v.score[r.ids])
 
 
 def test_stages_on_odd_tables(spark):

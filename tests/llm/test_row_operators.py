@@ -476,11 +476,16 @@ def test_composition_is_associative():
     rng = np.random.default_rng(1)
     a, b, c = (rng.normal(size=(4, 4)) for _ in range(3))
     assert np.allclose(pieces.compose(pieces.compose(a, b), c), pieces.compose(a, pieces.compose(b, c)))
+    parts = rng.normal(size=(7, 4, 4))
+    one = parts[0]
+    for i, got in enumerate(pieces.prefixes(parts)):
+        one = pieces.compose(one, parts[i]) if i else one
+        assert np.allclose(got, one)
 
 
 def test_units_together_are_viterbi(monkeypatch):
     v = toy(3)
-    monkeypatch.setattr(pieces, "CHUNK", 20)
+    monkeypatch.setattr(pieces, "UNIT", 20)
     texts = fuzz(7, list("abcdéx"), 80, 40)
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
@@ -491,6 +496,40 @@ def test_units_together_are_viterbi(monkeypatch):
         assert [v.pieces[s] if s >= 0 else chr(-1 - s) for s in symbols[at[i] : at[i + 1]].tolist()] == path
 
 
+@pytest.mark.parametrize("giant,group", [(1, 3), (40, 10**6), (1, 1)])
+def test_giant_documents_are_viterbi(monkeypatch, giant, group):
+    """Whole documents by chunks that end anywhere equal the way by units, beside documents that aren't giant."""
+    monkeypatch.setattr(pieces, "GIANT", giant)
+    monkeypatch.setattr(pieces.scan_rows, "__defaults__", (8, group))
+    v = toy(4)
+    texts = fuzz(12, list("abcdéx  "), 60, 120) + ["", None, " ", "abcd" * 90, "a b " * 80, "x" * 50]
+    c = pieces.Codec(v)
+    block = next(B.blocks(pa.array(texts)))
+    full, offsets, units, slot = c.units(block)
+    flat, first, score = c.best(full, offsets, units, slot)
+    plain, plain_first = c._gather(units, slot, "best")
+    assert flat.tolist() == plain.tolist() and first.tolist() == plain_first.tolist()
+    assert score == pytest.approx(B.sums(c.score.values[slot], units.first))
+    for i, t in enumerate(texts):
+        want, _ = viterbi(v, (" " + t).replace(" ", "▁")) if t else (0, [])
+        assert score[i] == pytest.approx(want)
+
+
+def test_giant_documents_of_the_model():
+    c = pieces.codec(pieces.DEFAULT_MODEL)
+    rng = random.Random(3)
+    words = ["the", "of", "tokenization", "naïve", "日本", "x" * 300, "  ", "\n", "0x1f", "internationally"]
+    texts = [" ".join(rng.choice(words) for _ in range(9000)), "short", "y" * 70_000, " ".join(rng.choice(words) for _ in range(7000))]
+    assert min(len(texts[i]) for i in (0, 2, 3)) > pieces.GIANT
+    block = next(B.blocks(pa.array(texts), 1 << 30))
+    full, offsets, units, slot = c.units(block)
+    flat, first, score = c.best(full, offsets, units, slot)
+    plain, plain_first = c._gather(units, slot, "best")
+    assert flat.tolist() == plain.tolist() and first.tolist() == plain_first.tolist()
+    raw, at = pieces.decode(c.v, flat, first)
+    assert [raw[a:b].tobytes().decode() for a, b in zip(at, at[1:])] == texts
+
+
 def test_ids_equal_the_library(spark):
     import sentencepiece
 
