@@ -1,17 +1,19 @@
 """Benchmark decontamination by a positional inverted index.
 
-Training texts are indexed where they lie: every block of texts becomes an index segment that holds,
-for each term of the tests that occurs in it, the sorted list of its word positions.  A test phrase
-is looked for by its rarest term first: the term's list, shifted by the term's place in the phrase,
-gives candidates, and the shifted lists of the other terms, rarest first, thin them out until every
-term agrees.  With ``slop`` a term may stand that many words away from its place (proximity match).
-Segments need no shuffle; the tests travel to them in blocks of at most ``MAX_TEST_BYTES``.
-``postings`` stores the same lists as a table for other uses.
+``index`` stores the training texts' postings: a table of segments, each the sorted terms of a block of
+texts and, term by term, the ascending positions of their words.  A segment holds whole texts, so no
+term, however common, has a list longer than its segment, and no list is ever gathered.  A test phrase is
+looked for by its rarest term first: the term's list, shifted by the term's place in the phrase, gives
+candidates, and the shifted lists of the other terms, rarest first, are intersected with them.  With
+``slop`` every term may stand that many words away from its place (proximity match).  The index needs no
+shuffle and serves any number of tests; these travel to it in blocks of at most ``MAX_TEST_BYTES``, one
+broadcast after the other.
 
 Defined results: null and empty texts have no words, hit nothing and are never contaminated; tests
-without words match nothing; repeated rows are judged one by one; repeated test ids count as one
-item; empty tables give empty results or no hits; other columns are ignored by ``contamination`` and
-handed on by ``decontaminate``.
+without words match nothing; rows with repeated or null ids, and equal rows, are judged one by one; a null
+test id counts as the empty one, and repeated test ids as one item; texts are searched whole, and one
+longer than a segment is a segment of its own; empty tables give empty results or no hits; other columns
+are ignored by ``contamination`` and handed on by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -22,14 +24,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm import _blocks as B
-from sparkloom.llm import _map
+from sparkloom.llm._components import ensure_checkpoint_dir
+from sparkloom.llm._map import as_array, arrow_type
 
 WINDOW = 13
+#: Words that a term may stand away from its place in a proximity match of the query.
+SLOP = 2
 SEGMENT_BYTES = 4 << 20
 #: Tests beyond this size are searched for in several blocks, each broadcast by itself.
 MAX_TEST_BYTES = 16 << 20
@@ -37,204 +43,273 @@ MAX_TEST_BYTES = 16 << 20
 
 @dataclass
 class Tests:
-    """Windows of a block of test items, as rows of term numbers."""
+    """Windows of a block of test items: places in the sequence of all their terms."""
 
     vocabulary: np.ndarray  # sorted word hashes
-    terms: np.ndarray  # windows x width, -1 beyond the window's length
+    sequence: np.ndarray  # term numbers of all items, one after the other
+    at: np.ndarray  # where each window begins
     length: np.ndarray
     item: np.ndarray  # index into names
     names: list[str]
     by_key: np.ndarray  # windows ordered by their rarest term
     key_first: np.ndarray  # len(vocabulary) + 1 offsets into by_key
+    window: int
+
+    def terms(self, windows: np.ndarray) -> np.ndarray:
+        """Term numbers of windows, -1 beyond a window's length."""
+        step = np.arange(self.window)
+        inside = step < self.length[windows][:, None]
+        return np.where(inside, self.sequence[np.where(inside, self.at[windows][:, None] + step, 0)], -1)
 
 
 def compile_tests(items: list[tuple[str, str | None]], window: int = WINDOW) -> Tests:
     """Windows of (name, text) items; an item shorter than a window is one window."""
     column = pa.array([t or "" for _, t in items], pa.large_string())
-    names = [n for n, _ in items]
-    rows, lengths, owners = [], [], []
+    hashes, begins, lengths, owners, base = [np.zeros(0, B.U64)], [], [], [], 0
     for block in B.blocks(column):
         data, w = B.words(block, B.ALNUM)
-        h = B.hash_spans(data, w.start, w.end)
+        hashes.append(B.hash_spans(data, w.start, w.end))
         at = B.window_starts(w.first, window)
-        if len(at):
-            rows.append(h[at[:, None] + np.arange(window)])
-            lengths.append(np.full(len(at), window))
-            owners.append(np.searchsorted(w.first, at, "right") - 1 + block.lo)
-        for r in np.flatnonzero((w.counts > 0) & (w.counts < window)).tolist():
-            one = np.zeros((1, window), B.U64)
-            n = int(w.counts[r])
-            one[0, :n] = h[w.first[r] : w.first[r + 1]]
-            rows.append(one)
-            lengths.append(np.array([n]))
-            owners.append(np.array([r + block.lo]))
-    if not rows:
-        none = np.zeros(0, np.int64)
-        return Tests(np.zeros(0, B.U64), np.zeros((0, window), np.int64), none, none, names, none, np.zeros(1, np.int64))
-    hashes, length, item = np.concatenate(rows), np.concatenate(lengths), np.concatenate(owners)
-    used = np.arange(window) < length[:, None]
-    vocabulary, count = B.uniq_counts(hashes[used])
-    terms = np.where(used, np.searchsorted(vocabulary, hashes), -1)
-    key = terms[np.arange(len(terms)), np.argmin(np.where(used, count[np.minimum(terms, len(count) - 1)], 1 << 60), axis=1)]
-    order = np.argsort(key, kind="stable")
-    first = np.searchsorted(key[order], np.arange(len(vocabulary) + 1))
-    return Tests(vocabulary, terms, length, item, names, order, first)
+        few = np.flatnonzero((w.counts > 0) & (w.counts < window))
+        begins += [at + base, w.first[few] + base]
+        lengths += [np.full(len(at), window), w.counts[few]]
+        owners += [np.searchsorted(w.first, at, "right") - 1 + block.lo, few + block.lo]
+        base += len(w.start)
+    flat = np.concatenate(hashes)
+    vocabulary, count = B.uniq_counts(flat)
+    sequence = np.searchsorted(vocabulary, flat).astype(np.int32)
+    none = np.zeros(0, np.int64)
+    at, length, item = (np.concatenate(x).astype(np.int32) if x else none.astype(np.int32) for x in (begins, lengths, owners))
+    tests = Tests(vocabulary, sequence, at, length, item, [n for n, _ in items], none, np.zeros(len(vocabulary) + 1, np.int64), window)
+    key = np.zeros(len(at), np.int32)
+    for lo in range(0, len(at), 1 << 16):
+        terms = tests.terms(np.arange(lo, min(lo + (1 << 16), len(at))))
+        rarest = np.argmin(np.where(terms >= 0, count[terms], np.int64(1) << 60), axis=1)
+        key[lo : lo + len(terms)] = terms[np.arange(len(terms)), rarest]
+    tests.by_key = np.argsort(key, kind="stable").astype(np.int32)
+    tests.key_first = np.searchsorted(key[tests.by_key], np.arange(len(vocabulary) + 1))
+    return tests
 
 
 @dataclass
 class Segment:
-    """Positions of test terms in a block of texts."""
+    """The inverted index of a block of texts; positions count the block's words."""
 
-    ids: np.ndarray  # test term of every word, -1 for other words
-    first: np.ndarray  # first word of each row
-    df: np.ndarray
-    lists: np.ndarray  # term by term, the sorted positions
-    list_first: np.ndarray
+    first: np.ndarray  # first word of each text (texts + 1)
+    terms: np.ndarray  # sorted word hashes
+    lists: np.ndarray  # offsets of each term's list (terms + 1)
+    positions: np.ndarray  # list by list, ascending
 
 
-def index_segment(block: B.Block, vocabulary: np.ndarray) -> tuple[Segment, np.ndarray, B.Words]:
-    """The segment of a block, its lower-cased bytes and words."""
+def index_segment(block: B.Block) -> tuple[Segment, B.Words]:
+    """The segment of a block, and its words."""
     data, w = B.words(block, B.ALNUM)
     h = B.hash_spans(data, w.start, w.end)
-    if len(vocabulary):
-        place = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        ids = np.where(vocabulary[place] == h, place, -1)
-    else:
-        ids = np.full(len(h), -1)
-    known = np.flatnonzero(ids >= 0)
-    lists = known[np.argsort(ids[known], kind="stable")]
-    df = np.bincount(ids[known], minlength=len(vocabulary))
-    return Segment(ids, w.first, df, lists, np.concatenate(([0], np.cumsum(df)))), data, w
+    positions = np.argsort(h, kind="stable").astype(np.int32)
+    terms, count = B.uniq_counts(h)
+    return Segment(w.first.astype(np.int32), terms, np.concatenate(([0], np.cumsum(count))).astype(np.int32), positions), w
 
 
 def search(segment: Segment, tests: Tests, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, first word) of every occurrence in the segment."""
+    """(window, first word) of every occurrence in the segment; with ``slop``, of every place at which each
+    of the window's words stands at most so many words from where it should."""
     none = np.zeros(0, np.int64)
-    present = np.flatnonzero(segment.df)
-    windows = tests.by_key[B.ranges(tests.key_first[present], tests.key_first[present + 1] - tests.key_first[present])]
-    if len(windows) == 0:
+    if len(tests.vocabulary) == 0 or len(segment.terms) == 0:
         return none, none
-    used = tests.terms[windows] >= 0
-    df = np.where(used, segment.df[tests.terms[windows]], 1 << 60)
-    alive = (df > 0).all(1)
-    windows, df = windows[alive], df[alive]
+    place = np.minimum(np.searchsorted(segment.terms, tests.vocabulary), len(segment.terms) - 1)
+    present = segment.terms[place] == tests.vocabulary
+    df = np.where(present, np.diff(segment.lists)[place], 0).astype(np.int64)
+    known = np.flatnonzero(present)
+    windows = tests.by_key[B.ranges(tests.key_first[known], tests.key_first[known + 1] - tests.key_first[known])]
+    terms = tests.terms(windows)
+    rare = np.where(terms >= 0, df[terms], 1 << 60)
+    alive = (rare > 0).all(1)
+    windows, terms, rare = windows[alive], terms[alive], rare[alive]
     if len(windows) == 0:
         return none, none
-    order = np.argsort(df, axis=1, kind="stable")
-    lead = tests.terms[windows, order[:, 0]]
-    count = segment.df[lead]
-    start = segment.lists[B.ranges(segment.list_first[lead], count)] - np.repeat(order[:, 0], count)
+    # The lists of the tests' terms as one ascending list of (term, position).
+    size = np.int64(segment.first[-1]) + 1
+    count = df[known]
+    keyed = np.repeat(known, count) * size + segment.positions[B.ranges(segment.lists[place[known]].astype(np.int64), count)]
+    list_first = np.zeros(len(df) + 1, np.int64)
+    np.cumsum(df, out=list_first[1:])
+    order = np.argsort(rare, axis=1, kind="stable")
+    lead = terms[np.arange(len(terms)), order[:, 0]]
+    count = df[lead]
     which = np.repeat(np.arange(len(windows)), count)
-    ok = start >= 0
-    start, which = start[ok], which[ok]
-    row = np.searchsorted(segment.first, start, "right") - 1
-    ok = start + tests.length[windows[which]] <= segment.first[np.minimum(row + 1, len(segment.first) - 1)]
-    ok &= row == np.searchsorted(segment.first, start + order[which, 0], "right") - 1
-    start, which = start[ok], which[ok]
+    place = keyed[B.ranges(list_first[lead], count)] - lead[which] * size
+    row = np.searchsorted(segment.first, place, "right") - 1
+    start = place - order[which, 0]
     if slop:
-        size = len(segment.ids) + 1
-        keyed = np.repeat(np.arange(len(segment.df)), segment.df) * size + segment.lists
-    for k in range(1, tests.terms.shape[1]):
+        step = np.arange(-slop, slop + 1)
+        start, row, which = (start[:, None] + step).ravel(), np.repeat(row, len(step)), np.repeat(which, len(step))
+    # Windows lie in the text of their rarest term.
+    ok = (start >= segment.first[row]) & (start + tests.length[windows[which]] <= segment.first[row + 1])
+    start, which = start[ok], which[ok]
+    for k in range(1, tests.window):
         if len(start) == 0:
             break
         offset = order[which, k]
-        term = tests.terms[windows[which], offset]
+        term = terms[which, offset]
+        low = high = start + offset
         if slop:
             row = np.searchsorted(segment.first, start, "right") - 1
-            low = np.maximum(start + offset - slop, segment.first[row])
-            high = np.minimum(start + offset + slop, segment.first[row + 1] - 1)
-            near = np.searchsorted(keyed, term * size + low)
-            ok = (near < len(keyed)) & (keyed[np.minimum(near, len(keyed) - 1)] <= term * size + high)
-        else:
-            ok = segment.ids[np.minimum(start + offset, len(segment.ids) - 1)] == term
-        ok |= term < 0
+            low, high = np.maximum(low - slop, segment.first[row]), np.minimum(high + slop, segment.first[row + 1] - 1)
+        near = np.searchsorted(keyed, term * size + low)
+        ok = (term < 0) | ((near < len(keyed)) & (keyed[np.minimum(near, len(keyed) - 1)] <= term * size + high))
         start, which = start[ok], which[ok]
     return windows[which], start
 
 
-def _hits(block: B.Block, tests: Tests, slop: int) -> tuple[np.ndarray, list[set], np.ndarray, B.Words]:
-    """Per word whether it is hit; per row the names of items; row counts; the words."""
-    segment, _, w = index_segment(block, tests.vocabulary)
-    window, start = search(segment, tests, slop)
-    mark = np.zeros(len(w.start) + 1, np.int32)
+def _marked(segment: Segment, tests: Tests, window: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether each word of a segment lies in an occurrence."""
+    mark = np.zeros(int(segment.first[-1]) + 1, np.int32)
     np.add.at(mark, start, 1)
     np.add.at(mark, start + tests.length[window], -1)
-    hit = np.cumsum(mark[:-1]) > 0
-    names: list[set] = [set() for _ in range(block.n)]
-    row = np.searchsorted(w.first, start, "right") - 1
-    pair = B.uniq(row * max(len(tests.names), 1) + tests.item[window])
-    for p in pair.tolist():
+    return np.cumsum(mark[:-1]) > 0
+
+
+def _named(segment: Segment, tests: Tests, window: np.ndarray, start: np.ndarray) -> list[set]:
+    """Names of the items found in each text."""
+    names: list[set] = [set() for _ in range(len(segment.first) - 1)]
+    row = np.searchsorted(segment.first, start, "right") - 1
+    for p in B.uniq(row * max(len(tests.names), 1) + tests.item[window]).tolist():
         names[p // len(tests.names)].add(tests.names[p % len(tests.names)])
-    return hit, names, w.counts, w
+    return names
+
+
+INDEX = "texts int, first binary, terms binary, lists binary, positions binary"
+
+
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The inverted index of all texts as a table of segments: (segment, ids, texts, first, terms, lists,
+    positions), the last four as little-endian arrays (32 bits; terms 64 bits).  Write it to keep it."""
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("segment", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *T._parse_datatype_string(INDEX).fields])
+    inner = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for block in B.blocks(batch.column(1), SEGMENT_BYTES):
+                s, _ = index_segment(block)
+                ids = batch.column(0).slice(block.lo, block.n)
+                columns = [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, block.n], pa.int32()), pa.concat_arrays([ids])), pa.array([block.n], pa.int32())]
+                columns += [pa.array([a.tobytes()], pa.binary()) for a in (s.first, s.terms, s.lists, s.positions)]
+                number += 1
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return inner.mapInArrow(run, schema)
 
 
-def _test_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str | None]]]:
-    """The tests in blocks of bounded size, repeated ids and null texts included."""
+def _segments(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, Segment]]:
+    """(number, ids, segment) of every row of an index."""
+    number, ids = batch.column("segment").to_pylist(), batch.column("ids")
+    for i, n in enumerate(number):
+        first, terms, lists, positions = (batch.column(c)[i].as_buffer() for c in ("first", "terms", "lists", "positions"))
+        segment = Segment(np.frombuffer(first, np.int32), np.frombuffer(terms, B.U64), np.frombuffer(lists, np.int32), np.frombuffer(positions, np.int32))
+        yield n, ids[i].values, segment
+
+
+def _test_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
+    """The tests (name, text) in blocks of about bounded size, repeated ids and null texts included."""
     items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("name"), F.col(f"`{text_col}`").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = total // MAX_TEST_BYTES + 1
-    for k in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == k)
-        yield [(r.name if r.name is not None else "", r.text) for r in own.collect()]
+    if parts == 1:
+        return [items]
+    return [items.where(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _collected(items: DataFrame) -> list[tuple[str, str | None]]:
+    """A block of tests on the driver."""
+    return [(r.name if r.name is not None else "", r.text) for r in items.collect()]
 
 
-def _finish(n_words: np.ndarray, n_hit: np.ndarray, names: list[set]) -> dict:
+def _finish(segment: Segment, hit: np.ndarray, names: list[set], near: list[set]) -> dict:
+    n_words, n_hit = np.diff(segment.first).astype(np.int64), B.sums(hit, segment.first)
     return {
         "n_words": n_words,
         "n_hit": n_hit,
         "n_items": np.array([len(x) for x in names], np.int64),
         "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names],
         "contaminated": (n_hit > 0) & (20 * n_hit >= n_words),
+        "n_near": np.array([len(x | y) for x, y in zip(names, near)], np.int64),
     }
 
 
-SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
+_HITS = "segment long, hit binary, names array<array<string>>, near array<array<string>>"
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = WINDOW, slop: int = 0,
+    item_text_col: str = "text", window: int = WINDOW, slop: int = SLOP,
 ) -> DataFrame:
-    """One row per document: words, words hit by any test window, items, and the verdict.
+    """One row per document: words, words hit by any test window, items, the verdict, and the items of
+    which a window occurs exactly or in proximity.
 
-    A document is contaminated if at least one word in twenty is hit.
+    A document is contaminated if at least one word in twenty is hit.  The index is stored in the
+    checkpoint folder and searched there, by every block of tests.
     """
-    tests = [compile_tests(x, window) for x in _test_blocks(benchmark, item_col, item_text_col)]
-    spark = docs.sparkSession
-    if len(tests) == 1:
-        shared = spark.sparkContext.broadcast(tests[0])
-
-        def measure(block: B.Block) -> dict:
-            hit, names, counts, w = _hits(block, shared.value, slop)
-            return _finish(counts, B.sums(hit, w.first), names)
-
-        return _map.measured(docs, id_col, text_col, SCHEMA, measure)
-    # Several blocks of tests: the texts' hits are joined over the blocks by one grouping.
-    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    keyed = keyed.withColumn("row", F.xxhash64("id", "text"))
-    parts = None
-    for block_of_tests in tests:
-        shared = spark.sparkContext.broadcast(block_of_tests)
-
-        def partial(block: B.Block, shared=shared) -> dict:
-            hit, names, counts, w = _hits(block, shared.value, slop)
-            runs = [np.flatnonzero(hit[w.first[r] : w.first[r + 1]]).tolist() for r in range(block.n)]
-            return {"n_words": counts, "hits": runs, "names": [sorted(x) for x in names]}
-
-        part = _map.measured(keyed, "id", "text", "n_words long, hits array<long>, names array<string>", partial, also=("row",))
-        parts = part if parts is None else parts.unionByName(part)
-    joined = parts.groupBy("id", "row").agg(
-        F.first("n_words").alias("n_words"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"),
-        (F.count("*") / len(tests)).cast("int").alias("copies"),
-    )
-    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return joined.select(
-        F.col("id").alias(id_col), "n_words", "n_hit", F.size("names").cast("long").alias("n_items"),
-        F.sha2(F.array_join("names", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-    )
+    ensure_checkpoint_dir(docs)
+    stored = index(docs, id_col, text_col).checkpoint()
+    fields = T._parse_datatype_string(SCHEMA).fields
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields])
+    spark, kinds = docs.sparkSession, [arrow_type(f.dataType) for f in fields]
+
+    def rows(ids: pa.Array, got: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *[as_array(got[f.name], k) for f, k in zip(fields, kinds)]], names=out.names)
+
+    def search_all(segment: Segment, tests: Tests) -> tuple[np.ndarray, list[set], list[set]]:
+        window, start = search(segment, tests)
+        near = search(segment, tests, slop) if slop else (window[:0], start[:0])
+        return _marked(segment, tests, window, start), _named(segment, tests, window, start), _named(segment, tests, *near)
+
+    blocks = _test_blocks(benchmark, item_col, item_text_col)
+    if len(blocks) == 1:
+        shared = spark.sparkContext.broadcast(compile_tests(_collected(blocks[0]), window))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, ids, segment in _segments(batch):
+                    yield rows(ids, _finish(segment, *search_all(segment, shared.value)))
+
+        return stored.mapInArrow(run, out)
+    # Several blocks of tests: each one's hits are stored, then the segments take them together.
+    hits: DataFrame | None = None
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(compile_tests(_collected(block), window))
+
+        def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, _, segment in _segments(batch):
+                    hit, names, near = search_all(segment, shared.value)
+                    if hit.any() or any(near):
+                        lists = [[sorted(x) for x in sets] for sets in (names, near)]
+                        kind = pa.list_(pa.list_(pa.string()))
+                        columns = [pa.array([number]), pa.array([np.packbits(hit).tobytes()], pa.binary()), *[pa.array([x], kind) for x in lists]]
+                        yield pa.RecordBatch.from_arrays(columns, names=["segment", "hit", "names", "near"])
+
+        part = stored.mapInArrow(partial, _HITS).checkpoint()
+        shared.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    # A segment has at most one row of hits for each block of tests.
+    joined = stored.join(hits.groupBy("segment").agg(F.collect_list(F.struct("hit", "names", "near")).alias("hits")), "segment", "left")
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (_, ids, segment) in enumerate(_segments(batch)):
+                n = len(segment.first) - 1
+                hit, names, near = np.zeros(int(segment.first[-1]), bool), [set() for _ in range(n)], [set() for _ in range(n)]
+                for x in batch.column("hits")[i].as_py() or []:
+                    hit |= np.unpackbits(np.frombuffer(x["hit"], np.uint8), count=len(hit)).astype(bool)
+                    for r in range(n):
+                        names[r].update(x["names"][r])
+                        near[r].update(x["near"][r])
+                yield rows(ids, _finish(segment, hit, names, near))
+
+    return joined.mapInArrow(together, out)
 
 
 def decontaminate(
@@ -255,14 +330,15 @@ def decontaminate(
         marks += "_"
     marked = T.StructType([*schema.fields, T.StructField(marks, T.BinaryType())])
     spark = docs.sparkSession
-    shared_tests = [spark.sparkContext.broadcast(compile_tests(tests, window)) for tests in _test_blocks(benchmark, item_col, item_text_col)]
+    shared_tests = [spark.sparkContext.broadcast(compile_tests(_collected(x), window)) for x in _test_blocks(benchmark, item_col, item_text_col)]
     for k, shared in enumerate(shared_tests):
         last = k == len(shared_tests) - 1
 
         def run(batches, shared=shared, first=k == 0, last=last):
             for batch in batches:
                 for block in B.blocks(batch.column(at), SEGMENT_BYTES):
-                    hit, _, counts, w = _hits(block, shared.value, 0)
+                    segment, w = index_segment(block)
+                    hit, counts = _marked(segment, shared.value, *search(segment, shared.value)), w.counts
                     part = batch.slice(block.lo, block.n)
                     if not first:
                         for r, bits in enumerate(part.column(width).to_pylist()):
@@ -308,16 +384,20 @@ def _without(block: B.Block, w: B.Words, hit: np.ndarray, row: int) -> str:
     return b"".join(parts).decode()
 
 
-def postings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text") -> DataFrame:
-    """The inverted index as a table: (term, id, positions) for every test term of every document.
+def postings(stored: DataFrame) -> DataFrame:
+    """An index's lists as a table: (term, segment, text, positions), ``text`` counting the segment's texts
+    and ``positions`` the text's words; ``term`` is the word's hash."""
 
-    ``positions`` are ascending word numbers.  Write it partitioned or bucketed by ``term`` to keep it.
-    """
-    words = benchmark.select(F.explode(F.split(F.lower(F.col(f"`{item_text_col}`").cast("string")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")).alias("w"))
-    words = words.where("w <> ''").distinct()
-    tokens = docs.select(
-        F.col(f"`{id_col}`").alias(id_col),
-        F.posexplode(F.filter(F.split(F.lower(F.col(f"`{text_col}`").cast("string")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != "")).alias("pos", "w"),
-    )
-    # Lists are per document, so no group holds more than one text's places.
-    return tokens.join(words, "w").groupBy(F.col("w").alias("term"), id_col).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, _, s in _segments(batch):
+                row = np.searchsorted(s.first, s.positions, "right") - 1
+                term = np.repeat(np.arange(len(s.terms)), np.diff(s.lists))
+                new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])))) if len(row) else row
+                place = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array((s.positions - s.first[row]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s.terms[term[new]].view(np.int64)), pa.array(np.full(len(new), number)), pa.array(row[new].astype(np.int32)), place],
+                    names=["term", "segment", "text", "positions"],
+                )
+
+    return stored.mapInArrow(run, "term long, segment long, text int, positions array<int>")

@@ -36,10 +36,22 @@ places AS MATERIALIZED (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM doc, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
 hits AS MATERIALIZED (SELECT doc_id, item_id, p, places.n FROM places JOIN windows ON windows.n = places.n AND windows.g = places.g),
 words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
-names AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id),
+placed AS MATERIALIZED (SELECT doc_id, len(w) AS n_words, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM doc),
+lists AS MATERIALIZED (SELECT doc_id, word, list(pos) AS ps FROM placed GROUP BY doc_id, word),
+numbered AS MATERIALIZED (SELECT row_number() OVER () AS wid, item_id, n, g FROM windows),
+wanted AS MATERIALIZED (SELECT wid, n, unnest(range(0, n)) AS j, unnest(g) AS word FROM numbered),
+rare AS (SELECT wid, n, arg_min(j, f) AS j, arg_min(word, f) AS word FROM wanted JOIN (SELECT word, count(*) AS f FROM placed GROUP BY word) USING (word) GROUP BY wid, n HAVING count(*) = n),
+tried AS (
+  SELECT DISTINCT wid, doc_id, pos - j + d AS p FROM rare JOIN placed USING (word), (VALUES (-2), (-1), (0), (1), (2)) s(d)
+  WHERE pos - j + d >= 0 AND pos - j + d + n <= n_words),
+close AS (
+  SELECT wid, t.doc_id, p FROM tried t JOIN wanted USING (wid) JOIN lists l ON l.doc_id = t.doc_id AND l.word = wanted.word
+  WHERE len(list_filter(ps, lambda q: q BETWEEN p + j - 2 AND p + j + 2)) > 0 GROUP BY wid, t.doc_id, p, n HAVING count(*) = n),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close JOIN numbered USING (wid) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM doc d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN names ON names.doc_id = d.doc_id
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM doc d LEFT JOIN near ON near.doc_id = d.doc_id LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN names ON names.doc_id = d.doc_id
 """
 
 SIMILAR = rf"""

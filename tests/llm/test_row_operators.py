@@ -282,6 +282,20 @@ def brute_contamination(t, items, window):
     return len(w), len(hit), len(names), digest, bool(hit) and 20 * len(hit) >= len(w)
 
 
+def brute_near(t, items, window, slop):
+    """Items of which all words of a window stand within ``slop`` of their places, for some place in the text."""
+    w, found = ALNUM.findall(lower(t)), set()
+    for name, text in items:
+        iw = ALNUM.findall(lower(text))
+        n = min(window, len(iw))
+        for k in range(len(iw) - n + 1 if n else 0):
+            grams = iw[k : k + n]
+            for p in range(len(w) - n + 1):
+                if all(x in w[max(p + j - slop, 0) : p + j + slop + 1] for j, x in enumerate(grams)):
+                    found.add(str(name))
+    return len(found)
+
+
 @pytest.mark.parametrize("most", [1 << 24, 40])
 def test_contamination(spark, monkeypatch, most):
     """Also with the tests in several blocks."""
@@ -291,7 +305,8 @@ def test_contamination(spark, monkeypatch, most):
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     got = rows(decontaminate.contamination(frame(spark, texts), bench, window=4))
     for i, t in enumerate(texts):
-        assert tuple(got[i])[1:] == brute_contamination(t, items, 4), repr(t)[:100]
+        assert tuple(got[i])[1:6] == brute_contamination(t, items, 4), repr(t)[:100]
+        assert got[i].n_near == brute_near(t, items, 4, decontaminate.SLOP), repr(t)[:100]
 
 
 def test_contamination_edges(spark):
@@ -331,15 +346,28 @@ def test_decontaminate_in_blocks_equals_one_block(spark, monkeypatch):
 def test_proximity():
     tests = decontaminate.compile_tests([("x", "red green blue")], 3)
     block = next(B.blocks(pa.array(["red very green blue", "blue green red", "red a b c green blue", "red green blue"])))
-    segment, _, _ = decontaminate.index_segment(block, tests.vocabulary)
+    segment, _ = decontaminate.index_segment(block)
     hits = lambda slop: sorted(set((np.searchsorted(segment.first, decontaminate.search(segment, tests, slop)[1], "right") - 1).tolist()))
     assert hits(0) == [3] and hits(1) == [0, 3]
 
 
-def test_postings(spark):
-    docs = frame(spark, ["a b a", "c", None])
-    bench = spark.createDataFrame([(1, "A! x")], "item_id long, text string")
-    assert [tuple(r) for r in decontaminate.postings(docs, bench).collect()] == [("a", 0, [0, 2])]
+def test_stored_index(spark, monkeypatch):
+    """Every word of every text has its place in exactly one list, whatever the segments."""
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 300)
+    texts = fuzz(16, ["a ", "B ", "c, ", "É ", "zz "], 60, 40) + ["", None]
+    stored = decontaminate.index(frame(spark, texts)).cache()
+    assert stored.count() > 5
+    ids = {(r.segment, i): d for r in stored.collect() for i, d in enumerate(r.ids)}
+    assert sorted(ids.values()) == list(range(len(texts)))
+    back: dict = {}
+    for r in decontaminate.postings(stored).collect():
+        assert r.positions == sorted(r.positions)
+        for p in r.positions:
+            assert back.setdefault(ids[r.segment, r.text], {}).setdefault(p, r.term) == r.term
+    for i, t in enumerate(texts):
+        w = ALNUM.findall(lower(t))
+        h = B.hash_spans(*(lambda b: (b.data, b.offsets[:-1], b.offsets[1:]))(next(B.blocks(pa.array(w))))).view(np.int64).tolist() if w else []
+        assert [back.get(i, {}).get(p) for p in range(len(w))] == h
 
 
 # languages
