@@ -15,10 +15,16 @@ ONE_TASK_EDGES = 4_000_000
 
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """The cluster's folder from spark.checkpoint.dir; one of our own only where it is unset."""
+    """The cluster's folder from spark.checkpoint.dir; one of our own only where it is unset and all runs
+    on one machine (elsewhere it has to be set)."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,8 +12,8 @@ the metric in three steps, none of which loses a link:
    A document near the lower end of its class is replicated into the class below, as far as the
    triangle inequality on sizes (|A| >= (1 - r) |B|) asks.  Documents with more than ``spare`` empty
    parts meet in a cell of their own.  A cell sends one edge a node, to its smallest node.
-2. *Regions.*  The components of these edges are the regions.  A region of more than ``limit`` nodes
-   is split: some of its documents become pivots, every document belongs to its nearest pivot (its
+2. *Regions.*  The components of these edges are the regions.  A region of more than ``limit`` nodes,
+   or ``REGION_BYTES`` of their sets, is split: some of its documents become pivots, every document belongs to its nearest pivot (its
    Voronoi cell) and is replicated to every pivot q with d(x, q) <= d(x, p) + 2 r, which by the
    triangle inequality are all cells in which a partner can be at home.  Cells are split again while
    that makes them smaller; a region of documents that are all near each other is cut into pairs of
@@ -47,7 +47,9 @@ from sparkloom.llm._components import components, ensure_checkpoint_dir
 
 GRAM = 5
 PERCENT = 90
-LIMIT = 1024
+#: Nodes of a region, and bytes of their sets, beyond which it is split.
+LIMIT = 256
+REGION_BYTES = 64 << 20
 PIVOTS = 8
 LEVELS = 4
 _FLUSH = 2_000_000
@@ -355,7 +357,7 @@ def similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT, limit: int = LIMIT
 ) -> DataFrame:
     """One row per document: size of its set, number of other documents linked directly, component."""
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = _grouped(docs.withColumn("row", F.xxhash64("id", "text")), gram, percent, limit)
     return out.select(
         F.col("id").alias(id_col),
@@ -398,8 +400,10 @@ def _grouped(docs: DataFrame, gram: int, percent: int, limit: int) -> DataFrame:
     small: DataFrame | None = None
     before = None
     for level in range(LEVELS + 1):
-        counts = members.groupBy("region").agg(F.count("*").alias("n"))
-        big = counts.where(F.col("n") > limit)
+        counts = members.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("bytes"))
+        # Regions of few, long documents count as if they had more; a pair is never split.
+        weight = F.greatest("n", F.least(F.ceil(F.col("bytes") / REGION_BYTES * limit), F.col("n") * limit))
+        big = counts.where((weight > limit) & (F.col("n") > 2)).select("region", weight.cast("long").alias("n"))
         largest = big.agg(F.max("n"), F.sum("n")).first()
         if largest[0] is None:
             break
@@ -431,16 +435,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     Null ids come last; of several rows with that id the one with the smallest hash over its columns
     stays, of equal rows any.  Rows without words have no component and all stay.
     """
-    columns, row, rank = docs.columns, "row", "rank"
-    while {row, rank} & set(columns):
-        row, rank = row + "_", rank + "_"
+    columns, row, rank, out = docs.columns, "row", "rank", "gone"
+    while {row, rank, out} & set(columns):
+        row, rank, out = row + "_", rank + "_", out + "_"
     # Maps have no hash; rows that differ in them alone count as equal.
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     keyed = docs.withColumn(row, F.xxhash64(*hashed, *[c.isNull() for c in hashed]))
-    slim = keyed.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(row).alias("row"))
+    slim = keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(row).alias("row"))
     groups = _grouped(slim, gram, percent, LIMIT)
-    gone = groups.where(F.col("key").isNotNull() & (F.col("row") != F.col("least.row"))).select(F.col("row").alias("gone_")).distinct()
-    left = keyed.join(gone, keyed[row] == F.col("gone_"), "left_anti")
+    gone = groups.where(F.col("key").isNotNull() & (F.col("row") != F.col("least.row"))).select(F.col("row").alias(out)).distinct()
+    left = keyed.join(gone, keyed[row] == F.col(out), "left_anti")
     # Equal rows of the first one: the exchange of the join serves the ranking too.
     ranked = left.withColumn(rank, F.row_number().over(Window.partitionBy(row).orderBy(row)))
     wordless = ~F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")

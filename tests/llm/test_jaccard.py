@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import _components, jaccard
 
@@ -108,6 +109,19 @@ def test_keep_one_goes_by_row(spark):
     assert set(got) <= set(rows)
 
 
+def test_regions_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "REGION_BYTES", 2000)
+    rows = corpus(11, 150)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_text_ids_and_clashing_columns(spark):
+    rows = [("b", NEAR, 1), ("a", NEAR + " x", 2), ("c", OTHER, 3), (None, "", 4)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, gone_ int").withColumn("gone", F.lit(1)).withColumn("row_", F.lit("r"))
+    assert run(df) == {"a": (57, 1, "a"), "b": (56, 1, "a"), "c": (56, 0, "c"), None: (0, 0, None)}
+    assert sorted(r.gone_ for r in jaccard.keep_one(df).collect()) == [2, 3, 4] and jaccard.keep_one(df).columns == df.columns
+
+
 @pytest.mark.parametrize("limit", [1024, 2])
 def test_null_and_repeated_ids_link(spark, limit):
     rows = [(None, NEAR), (None, NEAR + " x"), (4, NEAR + " y"), (5, OTHER), (5, "k l m n o p"), (6, "K l m n o p"), (8, OTHER + " z"), (None, "u v w"), (None, "U v w")]
