@@ -426,6 +426,38 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(df, empty).collect()} == {"und"}
 
 
+def plain_prediction(model, text):
+    """(language, score) by the definition, one n-gram at a time."""
+    import math
+
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    m32, raw = (1 << 32) - 1, text.encode()
+    folded = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in raw]
+    total, shift = np.zeros(len(model.labels)), 33 - len(model.table).bit_length()
+    for k in (2, 3, 4):
+        for i in range(len(folded)):
+            code = int.from_bytes(bytes(folded[i : i + k]), "big")
+            code = (code * 2654435761 + k * 0x9E37) & m32 if k > 2 else code * 2246822519 & m32
+            code ^= code >> 15
+            code = (code * 2246822519 & m32) >> shift
+            total += model.table[code if i + k <= len(folded) else 0]
+    z = (total / (3 * len(folded)) + model.bias) / model.temperature
+    p = [math.exp(x - max(z)) for x in z]
+    return model.labels[int(np.argmax(p))], max(p) / sum(p)
+
+
+def test_language_predictions_equal_plain_ones(spark):
+    model = langid.fit(spark.createDataFrame(language_rows(300), "doc_id long, text string, lang string"), s=langid.Settings(buckets=1 << 10))
+    texts = [t for _, t, _ in language_rows(60, 9)] + fuzz(17, list("kaloÖñ sch12!?日"), 60, 30) + EDGE[:8] + [None, "x" * 3000]
+    got = rows(langid.identify(frame(spark, texts), model))
+    for i, t in enumerate(texts):
+        lang, score = plain_prediction(model, t)
+        assert got[i].score == pytest.approx(score, abs=1e-5), repr(t)
+        assert got[i].lang_pred == lang or abs(score - 1 / len(model.labels)) < 1e-3, repr(t)
+    assert langid.identify(frame(spark, []), model).count() == 0
+
+
 # pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
