@@ -283,7 +283,11 @@ def stream_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom import streaming
 
     path = f"{sf_dir}/documents.parquet"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="stream-")
     out = f"{base.rstrip('/')}/stream_count_tokens/{os.urandom(8).hex()}"
     stream = streaming.read_texts(spark, path, spark.read.parquet(path).schema)
     counted = stream.select("doc_id", _tokenizer(spark).count("text").alias("n_tokens"))
