@@ -25,8 +25,9 @@ Words are lower-cased runs of ``[^\\x20\\x09-\\x0D]``; a document of fewer than
 sequence as one n-gram.  Null, empty and blank documents have no set and link with nothing.  Sets are
 compared by 64-bit n-gram hashes, and told apart by a 64-bit hash of the set.  Every row is a document
 of its own, also where ids repeat or are null: the join runs on keys of sets and 64-bit hashes of rows,
-never on ids.  A component is named by its smallest id, null if it has none but null ones.  Empty tables
-give empty results; other columns are ignored by ``similar`` and handed on by ``keep_one``.
+never on ids.  A component is named by its smallest id, null if it has none but null ones; which of several equally near
+pivots is home changes no result.  Texts are taken whole, and one text's set lies in one task.  Empty
+tables give empty results; other columns are ignored by ``similar`` and handed on by ``keep_one``.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ that training doesn't see: ``rejected`` marks predictions less sure than all but
 the right ones.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled
-row everything is ``und``; repeated rows are judged one by one; empty tables give empty results;
-other columns are ignored.
+row everything is ``und``; of equally likely languages the first by name counts; texts of any length are
+read whole; a null id counts as the empty one for the fold, and repeated rows, or rows with repeated or
+null ids, are judged one by one; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations

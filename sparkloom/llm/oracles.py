@@ -69,3 +69,59 @@ degree AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(g.n, 0) AS n_similar, least(d.doc_id, coalesce(l.root, d.doc_id)) AS component_id
 FROM doc d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN degree g ON g.doc_id = d.doc_id LEFT JOIN least_ l ON l.doc_id = d.doc_id
 """
+
+_TEXT = "coalesce(text, '')"
+_PLACES = "list_filter(range(1, len(w) - {n} + 2), lambda p: w[p : p + {n} - 1] = {words})"
+_PHRASES = {"apache-2": ["apache", "license", "version", "2"], "cc-by-nc": ["cc", "by", "nc"], "mit": ["under", "the", "mit", "license"]}
+_FOUND = ", ".join(f"{_PLACES.format(n=len(x), words=x)} AS p{i}" for i, x in enumerate(_PHRASES.values()))
+_NAMES = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{x}' END" for i, x in enumerate(_PHRASES))
+
+LICENSES = f"""
+WITH doc AS (SELECT doc_id, regexp_extract_all({_LOWER.format(_TEXT)}, '{_WORD}') AS w FROM documents),
+found AS (SELECT doc_id, len(w) AS n_words, {_FOUND} FROM doc),
+flat AS (SELECT doc_id, n_words, flatten([p0, p1, p2]) AS p, array_to_string(list_filter([{_NAMES}], lambda x: x IS NOT NULL), ',') AS base_labels FROM found)
+SELECT doc_id, n_words, len(p) AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word, base_labels FROM flat
+"""
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_KEYS = "|".join(_either(x) for x in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""((?:{_KEYS})["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+)"""
+_VALUE = rf"""^(?:{_KEYS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans(kind: int, pattern: str, keep: str) -> str:
+    """(doc_id, kind, a, b) of the matches of a pattern: they are put between two marks, and lengths summed."""
+    return f"""
+  SELECT doc_id, {kind} AS kind, b - length(m) AS a, b FROM (
+    SELECT doc_id, m, i, (sum(length(part) - 1) OVER (PARTITION BY doc_id ORDER BY i) - (length(part) - 1 - length(m)))::BIGINT AS b FROM (
+      SELECT doc_id, i, part, CASE WHEN i = 1 THEN '' ELSE split_part(part, chr(2), 1) END AS m FROM (
+        SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, CASE WHEN unnest(range(1, len(x) + 1)) = 1 THEN unnest(x) || chr(2) ELSE unnest(x) END AS part
+        FROM (SELECT doc_id, string_split(regexp_replace({_TEXT}, '{pattern}', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS x FROM documents))))
+  WHERE i > 1 AND {keep}"""
+
+
+SECRETS = f"""
+WITH spans AS ({_spans(0, _ASSIGN, f"length(regexp_extract(m, '{_VALUE}', 1)) >= 6")} UNION ALL {_spans(1, "(AKIA[A-Z0-9]+)", "length(m) >= 20")} UNION ALL {_spans(2, "([0-9a-f]+)", "length(m) >= 24")}),
+sums AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind) AS s FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256
+FROM documents d LEFT JOIN sums ON sums.doc_id = d.doc_id
+"""
+
+QUALITY = rf"""
+WITH doc AS MATERIALIZED (
+  SELECT doc_id, {_TEXT} AS t, regexp_extract_all({_TEXT}, '[^ 	-]+') AS w,
+    list_filter(string_split({_TEXT}, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM documents),
+grams AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, w FROM doc WHERE len(w) >= 3),
+twice AS (SELECT doc_id, unnest(ps) AS p FROM (SELECT doc_id, list(p) AS ps FROM grams GROUP BY doc_id, w[p : p + 2] HAVING count(*) > 1)),
+again AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM doc d LEFT JOIN again ON again.doc_id = d.doc_id
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, html, jaccard, langid, licenses, lm, oracles, pieces, quality, repeats, secrets
 from sparkloom.sources.spread import spread
@@ -63,6 +64,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spread(docs), references=quality.fit(docs, _table(spark, sf_dir, "labels").where("quality = 1")))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 4 that the contract fixes, which SQL can express."""
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of operator 7."""
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of operator 10."""
+    scores = quality.quality_scores(_spread(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both segmentations of operator 9, decoded."""
+    docs = _spread(spark, sf_dir, "documents")
+    rows = pieces.encode_both(docs)
+    texts = pieces.decode_ids(rows), pieces.decode_ids(rows.select("doc_id", F.col("best").alias("ids"))).withColumnRenamed("text", "best")
+    return texts[0].join(texts[1], "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -74,10 +99,18 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
+    "license_base": license_base,
+    "secret_base": secret_base,
+    "quality_base": quality_base,
+    "piece_round_trip": piece_round_trip,
 }
 
 ORACLE: dict[str, str] = {
     "op1_suffix_dedup": oracles.REPEATS,
     "op2_decontamination": oracles.CONTAMINATION,
     "op8_ngram_jaccard_join": oracles.SIMILAR,
+    "license_base": oracles.LICENSES,
+    "secret_base": oracles.SECRETS,
+    "quality_base": oracles.QUALITY,
+    "piece_round_trip": "SELECT doc_id, coalesce(text, '') AS text, coalesce(text, '') AS best FROM documents",
 }
