@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges of the order column into which a running sum is divided.
-RANGES = 200
+RANGES = 64
 
 
 def running_sum(df: DataFrame, value: str, order: str, out: str) -> DataFrame:
