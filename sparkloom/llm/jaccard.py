@@ -49,7 +49,7 @@ from sparkloom.llm._components import components, ensure_checkpoint_dir
 GRAM = 5
 PERCENT = 90
 #: Nodes of a region, and bytes of their sets, beyond which it is split.
-LIMIT = 64
+LIMIT = 256
 REGION_BYTES = 64 << 20
 PIVOTS = 8
 LEVELS = 4
