@@ -35,13 +35,13 @@ from sparkloom.llm import _map
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NEVER = -1e30
-CACHE_UNITS = 3 << 20
+CACHE_UNITS = 1 << 20
 #: Bytes from which a document, and characters from which a unit, goes through the scan.
 GIANT = 1 << 15
 UNIT = 2048
 #: Characters of a chunk of the scan, and chunks whose lattice is in memory at a time.
 CHUNK = 256
-GROUP = 2048
+GROUP = 512
 
 
 @dataclass
