@@ -12,14 +12,18 @@ the metric in three steps, none of which loses a link:
    A document near the lower end of its class is replicated into the class below, as far as the
    triangle inequality on sizes (|A| >= (1 - r) |B|) asks.  Documents with more than ``spare`` empty
    parts meet in a cell of their own.  A cell sends one edge a node, to its smallest node.
-2. *Regions.*  The components of these edges are the regions.  A region of more than ``limit`` nodes,
-   or ``REGION_BYTES`` of their sets, is split: some of its documents become pivots, every document belongs to its nearest pivot (its
-   Voronoi cell) and is replicated to every pivot q with d(x, q) <= d(x, p) + 2 r, which by the
-   triangle inequality are all cells in which a partner can be at home.  Cells are split again while
-   that makes them smaller; a region of documents that are all near each other is cut into pairs of
-   blocks instead.
-3. *Verification* in each region compares all its nodes at once by exact intersection counts and
-   sends, for each node, the number of linked documents and the root of its links, never the pairs.
+2. *Regions.*  The components of these edges are the regions.  In a region of more than ``limit`` nodes,
+   or ``REGION_BYTES`` of their sets, each set is replaced by its differences from a centre, which holds
+   what most of a few sets of the region hold; |A ^ B| follows from the differences exactly, whatever
+   the centre.  If they still take more than ``REGION_BYTES``, the region is split: some of its
+   documents become pivots, every document belongs to its nearest pivot p (its Voronoi cell) and is
+   replicated to every pivot q with d(x, q) <= d(x, p) + 2 r, which by the triangle inequality are all
+   cells in which a partner can be at home.  Cells are split again while that makes them smaller; a
+   region of documents that are all near its centre is cut into pairs of blocks instead.
+3. *Verification* in each region finds all links of its nodes exactly: those that sizes and numbers of
+   differences decide alone are counted, not listed; the others share differences, and are looked for
+   under the rarest ones.  It sends, for each node, the number of linked documents and the root of its
+   links, never the pairs.
 
 Words are lower-cased runs of ``[^\\x20\\x09-\\x0D]``; a document of fewer than n words has its whole
 sequence as one n-gram.  Null, empty and blank documents have no set and link with nothing.  Sets are
@@ -33,7 +37,7 @@ tables give empty results; other columns are ignored by ``similar`` and handed o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +52,19 @@ from sparkloom.llm._components import components, ensure_checkpoint_dir
 
 GRAM = 5
 PERCENT = 90
-#: Nodes of a region, and bytes of their sets, beyond which it is split.
+#: Nodes of a region, and bytes of their sets, beyond which a centre is taken for it; bytes beyond which it is split.
 LIMIT = 256
 REGION_BYTES = 64 << 20
+#: Sets, and bytes of sets, from which a region's centre is taken.
+CENTRE_SETS = 64
+CENTRE_BYTES = 32 << 20
 PIVOTS = 8
 LEVELS = 4
 _FLUSH = 2_000_000
 _SEEN = 500_000
 _BLOCKS = 1 << 15
+#: Entries that are counted outright rather than candidates looked for first.
+_DIRECT = 1000
 
 
 def shingle_sets(block: B.Block, gram: int = GRAM) -> list[np.ndarray]:
@@ -221,13 +230,36 @@ def _distance(x: np.ndarray, y: np.ndarray) -> float:
     return 1 - same / max(len(x) + len(y) - same, 1)
 
 
-def _split(members: DataFrame, big: DataFrame, percent: int) -> DataFrame:
-    """Voronoi cells of the big regions, with replicas; every member's home at this level is added."""
-    chosen = members.join(big, "region")
+def _centred(chosen: DataFrame) -> DataFrame:
+    """Members of large regions (with their region's ``n`` and ``bytes``), their sets replaced by what
+    these differ in from the region's centre: the n-grams that most of a few sets hold."""
+    thin = F.greatest(F.lit(1), (F.col("n") / CENTRE_SETS).cast("long"), (F.col("bytes") / CENTRE_BYTES).cast("long"))
+    some = chosen.where(F.pmod(F.xxhash64("node", "region"), thin) == 0).select("region", "set")
+
+    def centre(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        gram, times = np.unique(np.concatenate([np.frombuffer(b.as_py(), B.U64) for b in table["set"]]), return_counts=True)
+        most = gram[2 * times > table.num_rows]
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([most.tobytes()], pa.binary())], names=["region", "centre"])
+
+    centres = some.groupBy("region").applyInArrow(centre, "region long, centre binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                rest = np.setxor1d(np.frombuffer(row["set"], B.U64), np.frombuffer(row["centre"] or b"", B.U64), assume_unique=True)
+                out.append((row["region"], row["node"], row["copies"], row["size"], rest.tobytes(), row["homes"], row["at"]))
+            yield _members(out)
+
+    return chosen.drop("n", "bytes").join(centres, "region", "left").mapInArrow(run, MEMBERS)
+
+
+def _split(chosen: DataFrame, percent: int) -> DataFrame:
+    """Voronoi cells of large regions, with replicas; every member's home at this level is added."""
     # Candidates for pivots are thinned by hash before they are ranked, whatever the region's size.
     some = chosen.where(F.pmod(F.xxhash64("node", "region"), F.greatest(F.lit(1), (F.col("n") / (8 * PIVOTS)).cast("int"))) == 0)
     pivots = some.groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("node").alias("h"), "set"))), 1, PIVOTS).getField("set").alias("pivots"))
-    joined = chosen.drop("n").join(pivots, "region", "left")
+    joined = chosen.drop("n", "bytes").join(pivots, "region", "left")
     r = 1 - percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,23 +270,23 @@ def _split(members: DataFrame, big: DataFrame, percent: int) -> DataFrame:
                 pivots = [np.frombuffer(p, B.U64) for p in row["pivots"] or []]
                 d = [_distance(own, p) for p in pivots] or [0.0]
                 home = int(np.argmin(d))
-                for q, x in enumerate(d):
+                # A pair counts in the first of its two homes, so cells after one's home need no replica.
+                for q, x in enumerate(d[: home + 1]):
                     if x <= d[home] + 2 * r + 1e-9:
                         region = _child(row["region"], q)
-                        out.append((region, row["node"], row["copies"], row["set"], row["homes"] + [home], row["at"] + [q]))
+                        out.append((region, row["node"], row["copies"], row["size"], row["set"], row["homes"] + [home], row["at"] + [q]))
             yield _members(out)
 
     return joined.mapInArrow(run, MEMBERS)
 
 
-def _blocked(members: DataFrame, big: DataFrame, limit: int) -> DataFrame:
-    """Pairs of blocks of the big regions: each node goes to all pairs that hold its block."""
-    chosen = members.join(big, "region")
+def _blocked(chosen: DataFrame, room: int) -> DataFrame:
+    """Pairs of blocks of regions that hold ``left`` bytes: each node goes to all pairs that hold its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                blocks = min(-(-2 * row["n"] // limit), _BLOCKS - 1)
+                blocks = min(-(-2 * row["left"] // room), _BLOCKS - 1)
                 home = B.mix_int(row["node"]) % blocks
                 out = []
                 for other in range(blocks):
@@ -262,13 +294,13 @@ def _blocked(members: DataFrame, big: DataFrame, limit: int) -> DataFrame:
                     # A negative home marks a level of blocks.
                     pair = min(home, other) * _BLOCKS + max(home, other)
                     region = _child(row["region"], pair)
-                    out.append((region, row["node"], row["copies"], row["set"], row["homes"] + [-1 - home], row["at"] + [pair]))
+                    out.append((region, row["node"], row["copies"], row["size"], row["set"], row["homes"] + [-1 - home], row["at"] + [pair]))
                 yield _members(out)
 
     return chosen.mapInArrow(run, MEMBERS)
 
 
-MEMBERS = "region long, node long, copies long, set binary, homes array<int>, at array<int>"
+MEMBERS = "region long, node long, copies long, size long, set binary, homes array<int>, at array<int>"
 
 
 def _child(region: int, q: int) -> int:
@@ -277,78 +309,162 @@ def _child(region: int, q: int) -> int:
 
 
 def _members(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    names = ["region", "node", "copies", "set", "homes", "at"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = ["region", "node", "copies", "size", "set", "homes", "at"]
     cols = list(zip(*rows)) if rows else [[] for _ in kinds]
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
 
 
-def linked(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, indexes j > i of sets that link with set i), by intersection counts over shared n-grams."""
+def scores(held: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """(scores, gain): sets of these sizes, which differ from a centre in ``held`` n-grams, link when
+    score + score + gain * c >= 0, where c of those n-grams are the same for both.
+
+    For |A ^ B| = held + held - 2 c, whatever the centre is, and 100 |A & B| >= percent |A | B| is
+    (100 - percent) (|A| + |B|) >= (100 + percent) |A ^ B|.
+    """
+    return (100 - percent) * size - (100 + percent) * held, 2 * (100 + percent)
+
+
+def linked(sets: list[np.ndarray], size: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, indexes j > i that link with i, but not by their two scores alone); sets are differences from
+    a common centre, which may be empty."""
     n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), size)
-    at = np.argsort(flat, kind="stable")
-    flat, owner = flat[at], owner[at]
-    new = np.concatenate(([True], flat[1:] != flat[:-1]))
-    code = np.cumsum(new) - 1
-    first = np.append(np.flatnonzero(new), len(flat))
-    by = np.argsort(owner, kind="stable")
-    code_of = code[by]
-    bounds = np.concatenate(([0], np.cumsum(size)))
-    for i in range(n):
-        own = code_of[bounds[i] : bounds[i + 1]]
-        start, stop = first[own], first[own + 1]
-        if int((stop - start).max(initial=0)) <= 1:
+    held = np.array([len(s) for s in sets], np.int64)
+    score, gain = scores(held, size, percent)
+    if n < 2 or not held.sum():
+        return
+    # Of what sizes allow as partners, the largest score tells how many n-grams have to be the same at
+    # least, and the smallest whether any pair isn't decided by scores.
+    sizes, at = np.unique(size, return_inverse=True)
+    high, low = np.full(len(sizes), np.iinfo(np.int64).min), np.full(len(sizes), np.iinfo(np.int64).max)
+    np.maximum.at(high, at, score)
+    np.minimum.at(low, at, score)
+    first = np.searchsorted(sizes, -(-percent * sizes // 100))
+    last = np.searchsorted(sizes, 100 * sizes // percent, "right")
+    top = np.array([high[a:b].max() for a, b in zip(first.tolist(), last.tolist())])[at]
+    bottom = np.array([low[a:b].min() for a, b in zip(first.tolist(), last.tolist())])[at]
+    need = np.maximum(1, -((score + top) // gain))
+    asks = np.where(score + bottom < 0, np.maximum(held - need + 1, 0), 0)
+    # N-grams by rarity: two sets of which t n-grams are the same share one of their rarest |.| - t + 1.
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), held)
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    code = rank[code]
+    by = np.lexsort((code, owner))
+    code, bounds = code[by], np.concatenate(([0], np.cumsum(held)))
+    early = np.arange(len(code)) - np.repeat(bounds[:-1], held) < np.repeat(asks, held)
+    whole, rare = _postings(code, owner, np.arange(len(code))), _postings(code, owner, np.flatnonzero(early))
+    mark = np.zeros(len(times), bool)
+    for i in np.flatnonzero(asks).tolist():
+        a, b = bounds[i], bounds[i + 1]
+        own = rare[1][a : a + asks[i]], rare[2][a : a + asks[i]]
+        cost = int(own[1].sum())
+        if cost == 0:
             continue
-        count = np.bincount(owner[B.ranges(start, stop - start)], minlength=n)
-        ok = 100 * count >= percent * (size[i] + size - count)
-        ok[: i + 1] = False
-        j = np.flatnonzero(ok)
+        if int(whole[2][a:b].sum()) <= 4 * cost + _DIRECT:
+            j, same = _times(whole[0][B.ranges(whole[1][a:b], whole[2][a:b])], n)
+            sums = score[i] + score[j]
+        else:
+            j, _ = _times(rare[0][B.ranges(*own)], n)
+            sums = score[i] + score[j]
+            able = (sums < 0) & (sums + gain * np.minimum(held[i], held[j]) >= 0)
+            j, sums = j[able], sums[able]
+            mark[code[a:b]] = True
+            parts = []
+            for part in np.split(j, np.flatnonzero(np.diff(np.cumsum(held[j]) // _FLUSH)) + 1) if len(j) else []:
+                hit = np.concatenate(([0], np.cumsum(mark[code[B.ranges(bounds[part], held[part])]])))
+                end = np.cumsum(held[part])
+                parts.append(hit[end] - hit[end - held[part]])
+            same = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            mark[code[a:b]] = False
+        j = j[(sums < 0) & (sums + gain * same >= 0)]
         if len(j):
             yield i, j
 
 
+def _postings(code: np.ndarray, owner: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owners by code, and for every entry where its code's later owners start, and how many)."""
+    by = entry[np.argsort(code[entry], kind="stable")]
+    end = np.searchsorted(code[by], code[by], "right")
+    start, count = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+    start[by] = np.arange(1, len(by) + 1)
+    count[by] = end - start[by]
+    return owner[by], start, count
+
+
+def _times(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values below n, and how often they occur."""
+    if 8 * len(values) < n:
+        return np.unique(values, return_counts=True)
+    count = np.bincount(values, minlength=n)
+    found = np.flatnonzero(count)
+    return found, count[found]
+
+
+def _counted(homes: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(group of every member, which groups' pairs count in this region): members of the same homes, as
+    far as they matter, are a group; a pair counts in one region alone."""
+    sides = np.zeros(homes.shape, np.int64)
+    for level, q in enumerate(at):
+        home = homes[:, level]
+        if home[0] < 0:  # a level of blocks
+            sides[:, level] = -1 - home
+        else:
+            sides[:, level] = np.sign(home - q)
+    kinds, group = np.unique(sides, axis=0, return_inverse=True)
+    ok = np.ones((len(kinds), len(kinds)), bool)
+    for level, q in enumerate(at):
+        a, b = kinds[:, None, level], kinds[None, :, level]
+        if homes[0, level] < 0:
+            ok &= np.minimum(a, b) * _BLOCKS + np.maximum(a, b) == q
+        else:
+            ok &= np.minimum(a, b) == 0
+    return group.reshape(-1), ok
+
+
 def _verify(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         node = table["node"].to_numpy()
         copies = table["copies"].to_numpy()
+        size = table["size"].to_numpy()
         sets = [np.frombuffer(b.as_py(), B.U64) for b in table["set"]]
-        homes = table["homes"].to_pylist()
-        at = table["at"][0].as_py()
-        plain = len(at) == 0
-        homes = None if plain else np.array(homes, np.int64).reshape(len(node), -1)
         n = len(node)
+        group, ok = np.zeros(n, np.int64), np.ones((1, 1), bool)
+        if len(table["at"][0]):
+            group, ok = _counted(np.array(table["homes"].to_pylist(), np.int64), table["at"][0].as_py())
         more = np.zeros(n, np.int64)
-        x, y = [], []
-        for i, j in linked(sets, percent):
-            if not plain:
-                good = np.ones(len(j), bool)
-                for level, q in enumerate(at):
-                    a, b = homes[i, level], homes[j, level]
-                    if a < 0:  # a level of blocks
-                        good &= np.minimum(-1 - a, -1 - b) * _BLOCKS + np.maximum(-1 - a, -1 - b) == q
-                    else:
-                        good &= np.minimum(a, b) == q
-                j = j[good]
-                if len(j) == 0:
-                    continue
-            more[i] += copies[j].sum()
-            np.add.at(more, j, copies[i])
+        # Links by scores alone are counted, not listed; all of these nodes link with that of the best score.
+        score, _ = scores(np.array([len(s) for s in sets], np.int64), size, percent)
+        best = int(np.argmax(score))
+        y = np.flatnonzero(score + score[best] >= 0)
+        y = y[y != best]
+        x, y = [np.full(len(y), best)], [y]
+        if len(y[0]):
+            for t in range(len(ok)):
+                other = np.flatnonzero(group == t)
+                other = other[np.argsort(score[other])]
+                after = np.append(np.cumsum(copies[other][::-1])[::-1], 0)
+                own = np.flatnonzero(ok[group, t])
+                more[own] += after[np.searchsorted(score[other], -score[own])]
+            itself = ok[group, group] & (score >= 0)
+            more[itself] -= copies[itself]
+        for i, j in linked(sets, size, percent):
             x.append(np.full(len(j), i))
             y.append(j)
+            j = j[ok[group[i], group[j]]]
+            more[i] += copies[j].sum()
+            more[j] += copies[i]
         root = node.copy()
-        if x:
-            x, y = np.concatenate(x), np.concatenate(y)
-            while True:
-                low = np.minimum(root[x], root[y])
-                before = root.copy()
-                np.minimum.at(root, x, low)
-                np.minimum.at(root, y, low)
-                if np.array_equal(before, root):
-                    break
-        keep = more > 0
+        x, y = np.concatenate(x), np.concatenate(y)
+        while len(x):
+            low = np.minimum(root[x], root[y])
+            before = root.copy()
+            np.minimum.at(root, x, low)
+            np.minimum.at(root, y, low)
+            if np.array_equal(before, root):
+                break
+        keep = (more > 0) | (root != node)
         return pa.table([pa.array(node[keep]), pa.array(more[keep]), pa.array(root[keep])], names=["node", "more", "root"])
 
     return run
@@ -390,34 +506,43 @@ def _grouped(docs: DataFrame, gram: int, percent: int, limit: int) -> DataFrame:
                 own = shingle_sets(block, gram)
                 part = batch.slice(block.lo, block.n)
                 empty = pa.array([[]] * block.n, pa.list_(pa.int32()))
-                cols = [part.column(2), part.column(0), part.column(1), pa.array([s.tobytes() for s in own], pa.binary()), empty, empty]
+                size = pa.array([len(s) for s in own], pa.int64())
+                cols = [part.column(2), part.column(0), part.column(1), size, pa.array([s.tobytes() for s in own], pa.binary()), empty, empty]
                 ok = pa.array([set_key(s) == k if len(s) else False for s, k in zip(own, part.column(0).to_pylist())], pa.bool_())
-                yield pa.RecordBatch.from_arrays(cols, names=["region", "node", "copies", "set", "homes", "at"]).filter(ok)
+                yield pa.RecordBatch.from_arrays(cols, names=["region", "node", "copies", "size", "set", "homes", "at"]).filter(ok)
 
     members = wanted.join(docs, F.col("place") == F.col("row")).select("node", "copies", "region", "text")
     members = members.mapInArrow(with_sets, MEMBERS).dropDuplicates(["node"])
     members = members.checkpoint()
     split = False
-    small: DataFrame | None = None
+    ready: list[DataFrame] = []
     before = None
     for level in range(LEVELS + 1):
         counts = members.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("bytes"))
-        # Regions of few, long documents count as if they had more; a pair is never split.
-        weight = F.greatest("n", F.least(F.ceil(F.col("bytes") / REGION_BYTES * limit), F.col("n") * limit))
-        big = counts.where((weight > limit) & (F.col("n") > 2)).select("region", weight.cast("long").alias("n"))
-        largest = big.agg(F.max("n"), F.sum("n")).first()
-        if largest[0] is None:
+        # A pair is never split.  Large regions are few beside nodes, so they are broadcast.
+        big = F.broadcast(counts.where(((F.col("n") > limit) | (F.col("bytes") > REGION_BYTES)) & (F.col("n") > 2)).checkpoint())
+        if big.isEmpty():
+            ready.append(members)
+            break
+        ready.append(members.join(big, "region", "left_anti"))
+        chosen = members.join(big, "region")
+        centred = _centred(chosen).checkpoint()
+        left = centred.groupBy("region").agg(F.sum(F.octet_length("set")).alias("left")).join(big, "region").select("region", "left", "bytes").checkpoint()
+        over = left.where(F.col("left") > REGION_BYTES)
+        largest = over.agg(F.max("left")).first()[0]
+        ready.append(centred.join(F.broadcast(over), "region", "left_anti"))
+        if largest is None:
             break
         split = True
-        rest = members.join(big.select("region"), "region", "left_anti")
-        small = rest if small is None else small.unionByName(rest)
-        shrunk = before is None or largest[0] < 0.7 * before
-        before = largest[0]
-        last = level == LEVELS or not shrunk
-        members = (_blocked(members, big, limit) if last else _split(members, big, percent)).checkpoint()
+        last = level == LEVELS or (before is not None and largest >= 0.7 * before)
+        before = largest
+        # Regions that are all near their centre fall into no cells.
+        dense = F.lit(True) if last else 4 * F.col("left") <= F.col("bytes")
+        ready.append(_blocked(centred.join(F.broadcast(over.where(dense).select("region", "left")), "region"), REGION_BYTES))
         if last:
             break
-    members = members if small is None else members.unionByName(small)
+        members = _split(chosen.join(F.broadcast(over.where(~dense).select("region")), "region", "left_semi"), percent).checkpoint()
+    members = reduce(DataFrame.unionByName, ready)
     results = members.groupBy("region").applyInArrow(_verify(percent), "node long, more long, root long").checkpoint()
     if split:
         joined = components(results.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -165,3 +165,73 @@ def test_components(spark, one_task):
     want = {x: find(x) for x in list(parent)}
     assert {x: r for x, r in got.items()} == {x: r for x, r in want.items() if x in got}
     assert {x for x in want if want[x] != x} <= set(got)
+
+
+def families(seed, n, texts=3, length=120, edits=(0, 1, 2, 4, 7, 10), chained=0.4):
+    """Copies of a few texts with some words changed, many of them copies of copies."""
+    rng = random.Random(seed)
+    made = [[f"f{t}x{i}" for i in range(length + 7 * t)] for t in range(texts)]
+    for i in range(n):
+        b = list(rng.choice(made) if rng.random() < chained else made[rng.randrange(texts)])
+        for _ in range(rng.choice(edits)):
+            b[rng.randrange(len(b))] = rng.choice(["q", "r", f"s{i}"])
+        made.append(b)
+    return [(i, " ".join(b)) for i, b in enumerate(made)]
+
+
+def no_replicas(*args):
+    raise AssertionError("replicated")
+
+
+def test_dense_groups_are_not_replicated(spark, monkeypatch):
+    """A group of more than LIMIT near copies of one text is one region, held by differences."""
+    monkeypatch.setattr(jaccard, "_split", no_replicas)
+    rng = random.Random(2)
+    rows = []
+    for i in range(jaccard.LIMIT + 44):
+        b = [f"w{k}" for k in range(200)]
+        for _ in range(rng.choice([1, 1, 2, 3, 4])):
+            b[rng.randrange(200)] = rng.choice(["x", f"y{i}"])
+        rows.append((i, " ".join(b)))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+@pytest.mark.parametrize("room", [3000, 40000])
+def test_differences_in_pivot_cells_and_blocks(spark, monkeypatch, room):
+    """Regions whose differences don't fit either are split by pivots, or into blocks if all are near."""
+    monkeypatch.setattr(jaccard, "REGION_BYTES", room)
+    rows = families(5, 250)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string"), limit=20) == brute(rows)
+
+
+@pytest.mark.parametrize("direct", [1000, -(10**9)])
+@pytest.mark.parametrize("percent", [50, 75, 90, 100])
+def test_links_from_differences(monkeypatch, percent, direct):
+    """Whatever the centre: links counted by scores and links listed are those of brute force."""
+    monkeypatch.setattr(jaccard, "_DIRECT", direct)
+    rng = np.random.default_rng(percent)
+    for k in range(40):
+        base = rng.integers(0, 1 << 63, int(rng.integers(5, 120)), dtype=np.uint64)
+        other = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+        sets, seen = [], set()
+        for _ in range(int(rng.integers(2, 60))):
+            s = base[rng.random(len(base)) > rng.choice([0, 0.02, 0.1, 0.5])]
+            s = np.unique(np.concatenate((s, rng.choice(other, int(rng.integers(0, 9))))))
+            if len(s) and s.tobytes() not in seen:
+                seen.add(s.tobytes()), sets.append(s)
+        copies = rng.integers(1, 4, len(sets))
+        more, parent = np.zeros(len(sets), int), list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                same = len(np.intersect1d(a, b))
+                if 100 * same >= percent * (len(a) + len(b) - same):
+                    more[i] += copies[j]
+                    more[j] += copies[i]
+                    old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+                    parent = [new if p == old else p for p in parent]
+        for centre in (base[:0], np.unique(base), other[:0] if k % 2 else np.unique(np.concatenate((base[:30], other[:5])))):
+            rest = [np.setxor1d(s, centre).tobytes() for s in sets]
+            table = jaccard.pa.table({"node": list(range(len(sets))), "copies": copies, "size": [len(s) for s in sets], "set": rest,
+                                      "homes": [[]] * len(sets), "at": [[]] * len(sets)})
+            got = {r["node"]: (r["more"], r["root"]) for r in jaccard._verify(percent)((), table).to_pylist()}
+            assert got == {i: (m, parent[i]) for i, m in enumerate(more.tolist()) if m}
