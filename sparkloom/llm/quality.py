@@ -10,8 +10,8 @@ unless there is too little in the histogram for it to say anything (``min_chars`
 that alone, however long it is.  A text whose letters are mostly of scripts that no reference covers
 isn't judged by distances.  The base rules (too few words, too much repetition) reject by themselves.
 
-``fit`` learns references from a bounded sample of rows with known languages, and their limits from rows
-known to be good; ``BUILT_IN`` ones stand in for languages of which there are too few rows.  Markup, code
+``fit`` learns references from all rows with known languages, and their limits from all rows known to be
+good; ``BUILT_IN`` ones stand in for languages of which there are too few rows.  Markup, code
 and tables diverge from prose, and go.
 
 Defined results: null and empty texts have no words and fail the base rule; repeated rows, and rows with
@@ -246,9 +246,9 @@ def judged(block: B.Block, references: tuple[Reference, ...] = BUILT_IN, rules:
 
 @dataclass(frozen=True)
 class Fit:
-    """Production parameters of ``fit``.  ``sample`` bounds the rows learnt from."""
+    """Production parameters of ``fit``.  ``sample`` bounds the ids learnt from, where that is wanted."""
 
-    sample: int = 4000
+    sample: int | None = None
     words: int = 50
     least_rows: int = 100
     quantile: float = 0.999
@@ -256,53 +256,69 @@ class Fit:
     seed: int = 11
 
 
+#: Up to so many ids of good rows are broadcast; beyond, a shuffle brings them to their rows.
+BROADCAST_IDS = 2_000_000
+#: Shares are summed as whole multiples of 1 / _UNIT, so that the order of rows changes nothing.
+_UNIT = 1 << 32
+_BINS = 4096
+
+
 def fit(
     docs: DataFrame, good: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     s: Fit = Fit(), rules: Rules = Rules(),
 ) -> tuple[Reference, ...]:
-    """References of the languages in ``docs`` with at least ``s.least_rows`` rows in the sample.
+    """References of the languages in ``docs`` with at least ``s.least_rows`` rows to learn from.
 
-    The sample is the ``s.sample`` ids with the smallest hash, one row each: of the ids in ``good``, rows
-    known to be good, or else of all.  Limits are learnt from good rows alone: the distance that all but
+    These are all rows whose ids are in ``good``, rows known to be good, or else all; every row of a
+    repeated id counts.  With ``s.sample`` they are the rows of that many ids, those with the smallest hash.
+    Limits are learnt from good rows alone: the distance that all but
     1 - ``s.quantile`` of a language's rows keep to, times ``s.margin``; else they are the built-in ones.
     Languages of ``BUILT_IN`` that aren't learnt stay as they are.
     """
     known = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     key = F.col(f"`{id_col}`").alias("id")
-    ids = (known if good is None else good).select(key).where("id is not null").distinct()
-    chosen = [r.id for r in ids.orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.sample).collect()]
-    if not chosen:
-        return BUILT_IN
-    few = docs.sparkSession.createDataFrame([(i,) for i in chosen], f"id {docs.schema[id_col].dataType.simpleString()}")
     rows = known.select(key, F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ensure_checkpoint_dir(docs)
-    rows = rows.join(F.broadcast(few), "id", "left_semi")  # at most s.sample ids
-    rows = rows.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row")).select("id", "row.lang", "row.text").checkpoint()
-    langs = [r.lang for r in rows.groupBy("lang").count().where(F.col("count") >= s.least_rows).orderBy("lang").collect()]
-    shares: dict[str, list[np.ndarray]] = {}
-    for r in _map.measured(rows, "id", "text", "classes array<double>", _listed, also=("lang",)).collect():
-        own = np.array(r.classes)
-        if own.sum() >= rules.min_chars:
-            shares.setdefault(r.lang, []).append(own / own.sum())
+    if good is not None or s.sample is not None:
+        ids = (known if good is None else good).select(key).where("id is not null").distinct()
+        if s.sample is not None:
+            ids = ids.orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.sample)
+        ids = ids.checkpoint()
+        few = ids.count() <= BROADCAST_IDS
+        rows = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        if not few:
+            rows = rows.checkpoint()
+
+    def shares(block: B.Block) -> dict:
+        own = _classes(block)
+        total = own.sum(1)
+        parts = np.rint(own / np.maximum(total, 1)[:, None] * _UNIT).astype(np.int64).tolist()
+        return {"shares": [x if n >= rules.min_chars else None for x, n in zip(parts, total.tolist())]}
+
+    measured = _map.measured(rows, "id", "text", "shares array<long>", shares, also=("lang",))
+    sums = [F.sum(F.col("shares")[k]).alias(f"s{k}") for k in range(len(CLASS_NAMES))]
+    per_lang = measured.groupBy("lang").agg(F.count("*").alias("n"), F.count("shares").alias("judged"), *sums)
+    classes = {
+        r.lang: tuple(r[f"s{k}"] / _UNIT / r.judged for k in range(len(CLASS_NAMES)))
+        for r in per_lang.where(F.col("judged") >= s.least_rows).orderBy("lang").collect() if r.judged
+    }
+    if not classes:
+        return BUILT_IN
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = rows.select("lang", F.explode(F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))).alias("word"))
-    words = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    total = Window.partitionBy("lang")
-    top = words.select("lang", "word", (F.col("n") / F.sum("n").over(total)).alias("share"), F.row_number().over(total.orderBy(F.desc("n"), "word")).alias("rank"))
+    words = rows.where(F.col("lang").isin(list(classes))).select("lang", F.explode(F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))).alias("word"))
+    words = words.groupBy("lang", "word").agg(F.count("*").alias("n")).checkpoint()
+    total = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    top = words.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
     common: dict[str, list[tuple[str, float]]] = {}
     for r in top.where(F.col("rank") <= s.words).orderBy("lang", "rank").collect():
-        common.setdefault(r.lang, []).append((r.word, float(r.share)))
-    learnt = [Reference(x, tuple(np.mean(shares[x], axis=0).tolist()), tuple(common[x])) for x in langs if x in common and len(shares.get(x, ())) >= s.least_rows]
+        common.setdefault(r.lang, []).append((r.word, r.n / total[r.lang]))
+    learnt = [Reference(x, classes[x], tuple(common[x])) for x in classes if x in common]
     if good is not None and learnt:
         learnt = _limited(rows, learnt, s, rules)
     have = {r.lang for r in learnt}
     return (*learnt, *(r for r in BUILT_IN if r.lang not in have))
 
 
-def _listed(block: B.Block) -> dict:
-    return {"classes": _classes(block).tolist()}
-
-
 def _limited(rows: DataFrame, references: list[Reference], s: Fit, rules: Rules) -> list[Reference]:
     """The references with limits learnt from good rows of their languages."""
     refs = tuple(references)
@@ -316,15 +332,36 @@ def _limited(rows: DataFrame, references: list[Reference], s: Fit, rules: Rules)
                 own = [by[:, at[x], i].tolist() if x in at else None for i, x in enumerate(lang)]
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(own, pa.list_(pa.float64()))], names=["lang", "own"])
 
-    seen: dict[str, list[list[float]]] = {}
-    for r in rows.select("lang", "text").mapInArrow(run, "lang string, own array<double>").where("own is not null").collect():
-        seen.setdefault(r.lang, []).append(r.own)
+    measured = rows.select("lang", "text").mapInArrow(run, "lang string, own array<double>").where("own is not null")
+    each = measured.select("lang", F.posexplode("own").alias("k", "d")).where("d > 0").withColumn("bin", F.floor(F.col("d") * _BINS)).checkpoint()
+    bins: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for r in each.groupBy("lang", "k", "bin").agg(F.count("*").alias("n")).orderBy("bin").collect():
+        bins.setdefault((r.lang, r.k), []).append((r.bin, r.n))
+    # The quantile lies between two ranks: the values of their bins alone are looked at.
+    ranks: dict[tuple[str, int], tuple[int, float]] = {}
+    wanted: list[tuple[str, int, int]] = []
+    for at, listed in bins.items():
+        end = np.cumsum([n for _, n in listed])
+        if end[-1] >= s.least_rows:
+            place = (int(end[-1]) - 1) * s.quantile
+            lower = int(place)
+            first, last = (int(np.searchsorted(end, min(x, int(end[-1]) - 1), "right")) for x in (lower, lower + 1))
+            ranks[at] = lower - (int(end[first - 1]) if first else 0), place - lower
+            wanted += [(*at, listed[i][0]) for i in sorted({first, last})]
+    values: dict[tuple[str, int], list[tuple[float, int]]] = {}
+    if wanted:
+        few = rows.sparkSession.createDataFrame(wanted, "lang string, k int, bin long")
+        for r in each.join(F.broadcast(few), ["lang", "k", "bin"]).groupBy("lang", "k", "d").agg(F.count("*").alias("n")).orderBy("d").collect():
+            values.setdefault((r.lang, r.k), []).append((r.d, r.n))
     out = []
     for r in references:
-        limits = []
-        for k, column in enumerate(np.array(seen[r.lang]).T):
-            judged = column[column > 0]
-            limits.append(float(np.quantile(judged, s.quantile)) * s.margin if len(judged) >= s.least_rows else r.limits[k])
+        limits = list(r.limits)
+        for k in range(3):
+            if (r.lang, k) in ranks:
+                (lower, part), listed = ranks[r.lang, k], values[r.lang, k]
+                end = np.cumsum([n for _, n in listed])
+                pair = [listed[int(np.searchsorted(end, min(x, int(end[-1]) - 1), "right"))][0] for x in (lower, lower + 1)]
+                limits[k] = float(np.quantile(pair, part)) * s.margin
         out.append(Reference(r.lang, r.classes, r.words, tuple(limits)))
     return out
 

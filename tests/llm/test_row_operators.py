@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +140,26 @@ def test_quality_fit(spark):
     assert unsure[0].limits == quality.BUILT_IN[0].limits
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_quality_fit_learns_from_all_good_rows(spark, monkeypatch, broadcast):
+    """Shares, common words and limits of more than 4,000 good rows are those of all of them."""
+    monkeypatch.setattr(quality, "BROADCAST_IDS", broadcast)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(("na", "so", "ti", f"velo{rng.randrange(40)}")) for _ in range(rng.randint(70, 90))), "aa") for i in range(4300)]
+    df = spark.createDataFrame([*rows, *((9000 + i, "bad " * 90, "aa") for i in range(200))], "doc_id long, text string, lang string")
+    ref = quality.fit(df, spark.createDataFrame([(r[0],) for r in rows], "doc_id long"))[0]
+    count = Counter(w for _, t, _ in rows for w in t.split())
+    top = sorted(count.items(), key=lambda x: (-x[1], x[0]))[:50]
+    assert ref.lang == "aa" and ref.words == tuple((w, n / sum(count.values())) for w, n in top)
+    blocks = list(B.blocks(pa.array([t for _, t, _ in rows])))
+    classes = np.concatenate([quality._classes(b) for b in blocks])
+    assert len(classes) == len(rows)
+    large = classes[classes.sum(1) >= quality.Rules().min_chars]
+    assert ref.classes == pytest.approx((large / large.sum(1, keepdims=True)).mean(0).tolist(), abs=1e-9)
+    by = np.concatenate([np.stack(quality.distances(b, (ref,), quality.Rules()))[:, 0] for b in blocks], axis=1)
+    assert ref.limits == pytest.approx([np.quantile(d[d > 0], 0.999) * 1.1 for d in by], rel=1e-12)
+
+
 def test_js_distance():
     p = np.array([[1.0, 1, 0], [0, 0, 5], [2, 2, 0]])
     d = quality.js_distance(p, np.array([1.0, 1, 0]))
