@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.pretokenize import check_pattern
 from sparkloom.operators import chat, decode, packing, post, sqlfunctions
-from sparkloom.operators.encode import Encoder, token_frequency
+from sparkloom.operators.encode import Encoder, looked_up, token_frequency
 from sparkloom.plans.spec import AddedToken, Spec, load
 from sparkloom.sources import ranks, tables
 
@@ -246,23 +246,23 @@ class SparkAutoTokenizer(SparkTokenizer):
 
     def convert_ids_to_tokens(self, ids: Column | str, skip_special_tokens: bool = False) -> Column:
         """Token strings of ids, null for unknown ones."""
-        names, special = self.spark.sparkContext.broadcast(self.spec.surface), set(self.spec.special_ids)
+        names, special = self.spec.surface, self.spec.special_ids if skip_special_tokens else []
+        own = self.spark.sparkContext.broadcast((pa.array(list(names), pa.int64()), pa.array(list(names.values()), pa.string())))
 
         @F.arrow_udf("array<string>")
         def run(lists: pa.Array) -> pa.Array:
-            t = names.value
-            return pa.array([None if x is None else [t.get(i) for i in x if not (skip_special_tokens and i in special)] for x in lists.to_pylist()], pa.list_(pa.string()))
+            return looked_up(lists, *own.value, special)
 
         return run(_column(ids))
 
     def convert_tokens_to_ids(self, tokens: Column | str) -> Column:
         """Ids of token strings, null for unknown ones."""
-        ids = self.spark.sparkContext.broadcast(self.spec.ids)
+        ids = self.spec.ids
+        own = self.spark.sparkContext.broadcast((pa.array(list(ids), pa.string()), pa.array(list(ids.values()), pa.int32())))
 
         @F.arrow_udf("array<int>")
         def run(lists: pa.Array) -> pa.Array:
-            t = ids.value
-            return pa.array([None if x is None else [t.get(i) for i in x] for x in lists.to_pylist()], pa.list_(pa.int32()))
+            return looked_up(lists, *own.value)
 
         return run(_column(tokens))
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkloom.operators.encode import Encoder, Tables, rows_of
 
 TOP = 1 << 32
+#: Ids that are decoded together, unless one row has more.
+BLOCK_IDS = 1 << 17
 
 
 def decode_rows(t: Tables, ids: np.ndarray, first: np.ndarray) -> list[str]:
@@ -31,6 +34,21 @@ def decode_rows(t: Tables, ids: np.ndarray, first: np.ndarray) -> list[str]:
     return out
 
 
+def decode_lists(t: Tables, lists: pa.Array) -> pa.Array:
+    """Texts of an array of lists of ids, some rows at a time."""
+    values, first = rows_of(lists)
+    if not pa.types.is_integer(values.type):
+        values = values.cast(pa.int64(), safe=False)
+    values = values.to_numpy(zero_copy_only=False)
+    out, lo, n = [], 0, len(lists)
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + BLOCK_IDS, "right")) - 1)
+        out.append(pa.array(decode_rows(t, values[first[lo] : first[hi]].astype(np.int64), first[lo : hi + 1] - first[lo]), pa.string()))
+        lo = hi
+    texts = pa.concat_arrays(out) if out else pa.array([], pa.string())
+    return pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string())) if lists.null_count else texts
+
+
 def decode(encoder: Encoder, ids: Column, skip_special: bool = False) -> Column:
     """Text of an array of ids; null for null."""
     shared = encoder.shared
@@ -40,11 +58,9 @@ def decode(encoder: Encoder, ids: Column, skip_special: bool = False) -> Column:
 
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
-        values, first = rows_of(lists)
-        texts = decode_rows(shared.value, values.to_numpy(zero_copy_only=False).astype(np.int64), first)
-        return pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+        return decode_lists(shared.value, lists)
 
-    return run(ids.cast("array<long>"))
+    return run(ids)  # without a cast in between, so that encoding and decoding are one step in one worker
 
 
 def decode_packed(encoder: Encoder, packed: Column) -> Column:

@@ -91,7 +91,7 @@ def around(t: Template, a: Column, b: Column | None = None) -> tuple[Column, Col
         value = own[part] if isinstance(part, str) else _ints(part)
         ids.append(value)
         types.append(F.array_repeat(F.lit(kind), F.size(value)))
-    return F.concat(*ids), F.concat(*types).cast("array<int>")
+    return ids[0] if len(ids) == 1 else F.concat(*ids), F.concat(*types).cast("array<int>")
 
 
 def truncate(ids: Column, length: int | Column, side: str = "right") -> Column:

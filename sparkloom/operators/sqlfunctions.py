@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.normalize import MARK
 from sparkloom.functions.pretokenize import MARK_PIECES, stage_pattern
-from sparkloom.operators.decode import decode_rows
-from sparkloom.operators.encode import Encoder, merger, rows_of
+from sparkloom.operators.decode import decode_lists
+from sparkloom.operators.encode import Encoder, merger, rows_of, spans_of
 
 
 def literal(text: str) -> str:
@@ -50,34 +50,40 @@ def register(encoder: Encoder, prefix: str) -> None:
     def rows(lists: pa.Array) -> pa.Array:
         m, t = merger(shared.value, engine), shared.value
         values, first = rows_of(lists)
-        ids, first = m.gather(m.slots(values), first)
-        length = t.lengths[ids]
-        end = np.cumsum(length)
-        end -= np.repeat(np.concatenate(([0], end))[first[:-1]], np.diff(first))
-        distinct, place = np.unique(ids, return_inverse=True)
-        names = pa.array([t.arena[t.arena_first[i] : t.arena_first[i + 1]].tobytes().decode("utf-8", "replace") for i in distinct.tolist()], pa.string())
-        fields = [pa.array(ids.astype(np.int32)), names.take(pa.array(place)), pa.array((end - length).astype(np.int32)), pa.array(end.astype(np.int32))]
+        ids, first = m.encoded(values, first)
+        start, end = spans_of(t.lengths, ids, first)
+        seen = np.zeros(len(t.lengths), bool)
+        seen[ids] = True
+        names = pa.array([t.arena[t.arena_first[i] : t.arena_first[i + 1]].tobytes().decode("utf-8", "replace") if k else None for i, k in enumerate(seen.tolist())], pa.string())
+        fields = [pa.array(ids), names.take(pa.array(ids)), pa.array(start), pa.array(end)]
         mask = lists.is_null() if lists.null_count else None
         return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(fields, names=["id", "token", "start", "end"]), mask=mask)
 
+    @F.arrow_udf("array<struct<start: int, `end`: int>>")
+    def spans(lists: pa.Array) -> pa.Array:
+        m = merger(shared.value, engine)
+        values, first = rows_of(lists)
+        ids, first = m.encoded(values, first)
+        fields = [pa.array(x) for x in spans_of(shared.value.lengths, ids, first)]
+        mask = lists.is_null() if lists.null_count else None
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(fields, names=["start", "end"]), mask=mask)
+
     @F.arrow_udf("string")
     def text_of(lists: pa.Array) -> pa.Array:
-        values, first = rows_of(lists)
-        texts = decode_rows(shared.value, values.to_numpy(zero_copy_only=False).astype(np.int64), first)
-        return pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+        return decode_lists(shared.value, lists)
 
     spark.udf.register(f"{prefix}__ids", encoder.merge_function())
     spark.udf.register(f"{prefix}__count", encoder.count_function())
     spark.udf.register(f"{prefix}__rows", rows)
+    spark.udf.register(f"{prefix}__spans", spans)
     spark.udf.register(f"{prefix}_decode", text_of)
     if encoder.spec.forms:
         spark.udf.register(f"{prefix}__normal", encoder.normal_function())
     chunks = chunks_sql(encoder, "t", f"{prefix}__normal")
-    spans = f"transform({prefix}__rows({chunks}), r -> named_struct('start', r.start, 'end', r.`end`))"
     for name, kind, body in (
         ("encode", "ARRAY<INT>", f"{prefix}__ids({chunks})"),
         ("count", "BIGINT", f"{prefix}__count({chunks})"),
-        ("offsets", "ARRAY<STRUCT<start: INT, `end`: INT>>", spans),
+        ("offsets", "ARRAY<STRUCT<start: INT, `end`: INT>>", f"{prefix}__spans({chunks})"),
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_{name}(t STRING) RETURNS {kind} RETURN {body}")
     columns = "pos INT, id INT, token STRING, start INT, `end` INT"
