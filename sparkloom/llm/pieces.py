@@ -715,6 +715,22 @@ def encode_both(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_
     return _map.measured(docs, id_col, text_col, "ids array<int>, best array<int>", measure)
 
 
+def round_trips(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, best): the texts to which both segmentations decode; each row is encoded once, where it lies."""
+
+    def measure(block: B.Block) -> dict:
+        c = codec(model)
+        full, offsets, units, slot = c.units(block)
+        out = {}
+        for name, (ids, first) in (("text", c._gather(units, slot, "ids")), ("best", c.best(full, offsets, units, slot)[:2])):
+            raw, at = decode(c.v, ids, first)
+            raw = raw.tobytes()
+            out[name] = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return out
+
+    return _map.measured(docs, id_col, text_col, "text string, best string", measure)
+
+
 def decode_ids(rows: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of rows of ids; bytes that are no UTF-8 become U+FFFD, ids out of range are skipped."""
     from pyspark.sql import functions as F

@@ -649,3 +649,14 @@ def test_hashes_tell_texts_apart():
     block = next(B.blocks(pa.array(t)))
     h = B.hash_spans(block.data, block.offsets[:-1], block.offsets[1:])
     assert len(set(h.tolist())) == len(set(t))
+
+
+def test_round_trips_encode_once_where_the_rows_lie(spark):
+    """No join and no exchange of texts: one Arrow map gives both decodings."""
+    from sparkloom.llm import queries
+
+    plan = queries.piece_round_trip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    rows = [(1, "two  words"), (2, ""), (3, None), (4, " é日\U0001f600 "), (5, "x y " * 9000)]
+    got = {r.doc_id: (r.text, r.best) for r in pieces.round_trips(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (t or "", t or "") for i, t in rows}
