@@ -79,9 +79,13 @@ def isolate(text: Column, stages: tuple[str, ...]) -> Column:
     def split(pattern: str) -> Callable[[Column], Column]:
         return lambda piece: F.regexp_extract_all(piece, F.lit(stage_pattern(pattern)), F.lit(0))
 
+    def again(pattern: str) -> Callable[[Column], Column]:
+        # A piece of one character is a match or a gap, so it stays; splits by classes leave many.
+        return lambda piece: F.when(F.char_length(piece) == 1, F.array(piece)).otherwise(split(pattern)(piece))
+
     pieces: Column | None = None
     for pattern in stages:
-        pieces = split(pattern)(text) if pieces is None else F.flatten(F.transform(pieces, split(pattern)))
+        pieces = split(pattern)(text) if pieces is None else F.flatten(F.transform(pieces, again(pattern)))
     if pieces is None:
         return F.when(text == "", F.array().cast("array<string>")).when(text.isNotNull(), F.array(text))
     return pieces

@@ -607,3 +607,22 @@ def test_plan_has_no_shuffle(spark):
     t = SparkTokenizer(queries.MODEL, spark)
     plan = df.select("doc_id", t.encode("text").alias("x"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1 and "lang" not in plan
+
+
+def test_one_character_pieces_skip_later_splits(spark):
+    """Pieces of one character stay as they are, without a regular expression; the pieces are the same."""
+    from sparkloom.functions.pretokenize import stage_pattern
+
+    rows = [("",), (None,), ("a",), ("\U0001f600",), ("12345",), ("日a本 b1の2é́ ć\r\n  x",), ("a日" * 50,), (" \n",)]
+    df = spark.createDataFrame(rows, "text string").repartition(2)
+    stages = (r"\p{N}{1,3}", "[一-龥぀-ゟ゠-ヿ]+", generic_grammar(3, True))
+
+    def split(p):
+        return lambda x: F.regexp_extract_all(x, F.lit(stage_pattern(p)), F.lit(0))
+
+    plain = split(stages[0])(F.col("text"))
+    for p in stages[1:]:
+        plain = F.flatten(F.transform(plain, split(p)))
+    got = df.select(isolate(F.col("text"), stages).alias("a"), plain.alias("b"))
+    assert all(r.a == r.b for r in got.collect())
+    assert "char_length(lambda" in got.select("a")._jdf.queryExecution().optimizedPlan().toString()
